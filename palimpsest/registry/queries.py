@@ -479,10 +479,17 @@ def _(log):
     return rounded(big(out), "token_overlap", "edit_distance_ratio", "structure_similarity", "avg_word_similarity")
 
 
-@query("T12_T15_edit_operations")
+@query("T12_T14_edit_operations")
 def _(log):
     df = log.features_text.select("revision_id", "old_value", "new_value")
-    return big(text_features(df).select("revision_id", "char_insertions", "char_deletions", "char_substitutions", "adjacent_char_swap"))
+    return big(text_features(df).select("revision_id", "char_insertions", "char_deletions", "char_substitutions"))
+
+
+@query("T12_T15_edit_identities")
+def _(log):
+    df = text_features(log.features_text.select("revision_id", "old_value", "new_value"))
+    inserted, deleted, replaced = (F.col(f"char_{c}") for c in ("insertions", "deletions", "substitutions"))
+    return big(df.select("revision_id", (inserted + deleted + replaced).alias("distance"), (inserted - deleted).alias("gap"), "adjacent_char_swap"))
 
 
 @query("T21_cosine_similarity")
@@ -637,7 +644,7 @@ def _(log):
 def _(log):
     classes = prompts.class_table(log.spark)
     df = log.features_entity.join(log.revision.select("revision_id", "entity_id"), "revision_id")
-    return big(prompts.prompt_table(df, "entity", classes, ("change_id",)).select("change_id", F.length("system").alias("system_chars"), "user"))
+    return big(prompts.prompt_table(df, "entity", classes, ("change_id",)))
 
 
 @query("L3_answer_metrics")

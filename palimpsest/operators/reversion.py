@@ -17,13 +17,13 @@ REVERTED_COLUMNS = [
 ]
 
 
-def _undo_of(old: Column, new: Column) -> Column:
+def undo_of(old: Column, new: Column) -> Column:
     """What a later change must restore to undo this one: the old state, or the absence before a create."""
     return F.when(old != "", F.concat(F.lit("U:"), old)).when(old == "", F.concat(F.lit("C:"), new))
 
 
-def _restores(old: Column, new: Column) -> Column:
-    """What this change restores, in the terms of ``_undo_of``."""
+def restores(old: Column, new: Column) -> Column:
+    """What this change restores, in the terms of ``undo_of``."""
     return F.when(new != "", F.concat(F.lit("U:"), new)).when(new == "", F.concat(F.lit("C:"), old))
 
 
@@ -37,9 +37,9 @@ def _seek_and_offer(df: DataFrame, keys, seeks: Column, offers: Column, value: s
     shared = [c for c in (*keys, US, CHUNK) if c in df.columns]
     carried = F.struct(*[c for c in df.columns if c not in shared])
     row_type = df.select(carried.alias("s")).schema["s"].dataType
-    seek = F.when(seeks, F.struct(_undo_of(old, new).alias("match"), carried.alias("row"), F.lit(None).cast("bigint").alias("at")))
-    offer = F.when(offers, F.struct(_restores(old, new).alias("match"), F.lit(None).cast(row_type).alias("row"),
-                                    F.when(_restores(old, new).isNotNull(), F.col(value)).alias("at")))
+    seek = F.when(seeks, F.struct(undo_of(old, new).alias("match"), carried.alias("row"), F.lit(None).cast("bigint").alias("at")))
+    offer = F.when(offers, F.struct(restores(old, new).alias("match"), F.lit(None).cast(row_type).alias("row"),
+                                    F.when(restores(old, new).isNotNull(), F.col(value)).alias("at")))
     sides = df.select(*shared, F.explode(F.array_compact(F.array(seek, offer))).alias("_s"))
     return sides.select(*shared, F.col("_s.match").alias("_match"), F.col("_s.row").alias("_row"), F.col("_s.at").alias("_at"))
 

@@ -1,9 +1,11 @@
 """Every query of the library over a folder of base tables, by inventory id."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import labels as L
 from palimpsest.functions.calendar import age
@@ -24,7 +26,13 @@ from palimpsest.operators.reversion import (
 from palimpsest.operators.text_features import similarity_features, text_features
 from palimpsest.operators.value_features import geo_features, quantity_features, time_features
 from palimpsest.plans import counts, distribution, patterns, reverts
+from palimpsest.learn import classifiers, prepare
+from palimpsest.operators.routing import datatype_group
+from palimpsest.sources import csvfiles
 from palimpsest.sources.derived import ChangeLog
+from palimpsest.sources.store import load_or_compute, write_back, write_metrics
+from palimpsest.streaming.classify import change_stream, classify_stream
+from palimpsest.streaming.reversions import first_reversions, reversion_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -129,16 +137,16 @@ def _(log):
 
 @query("A4_rollup_by_label")
 def _(log):
-    return distribution.rollup_by_label(QUERIES_A1(log))
+    return distribution.rollup_by_label(overall(log))
 
 
-def QUERIES_A1(log):
+def overall(log):
     return distribution.change_type_distribution(features(log), log.value_change, log.qualifier_change, log.reference_change)
 
 
 @query("A4_rollup_by_source")
 def _(log):
-    return rounded(distribution.rollup_by_source(QUERIES_A1(log)), "reverted_percentage")
+    return rounded(distribution.rollup_by_source(overall(log)), "reverted_percentage")
 
 
 @query("A4_share_by_user_type")
@@ -320,8 +328,6 @@ def _(log):
 
 @query("S7_label_write_back")
 def _(log):
-    from palimpsest.sources.store import write_back
-
     predictions = log.features_text.where(L.is_pending(F.col("label"))).select(
         "revision_id", "property_id", "value_id", "change_target",
         F.when(F.col("is_reverted") == 0, F.lit("refinement")).alias("predicted_labels"))
@@ -330,8 +336,6 @@ def _(log):
 
 @query("P1_datatype_routing")
 def _(log):
-    from palimpsest.operators.routing import datatype_group
-
     return log.value_change.groupBy(datatype_group(F.col("new_datatype")).alias("dt_group")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -469,6 +473,56 @@ def _(log):
     return big(log.conversations.select("conv_id", "turn", F.size(tokens(F.col("text"))).alias("tokens")))
 
 
+# ---- sources and sinks ---------------------------------------------------------------
+
+TEXT_FIELDS = ["revision_id", "property_id", "value_id", "change_target", "old_value", "new_value"]
+
+
+@query("S2_normalised_csv")
+def _(log):
+    """Written with semicolons, normalised to commas, read back with a declared schema."""
+    raw, clean = log.scratch("raw_csv"), log.scratch("clean_csv")
+    log.features_text.select(*[F.col(c).cast("string") for c in TEXT_FIELDS]).write.mode("overwrite").csv(
+        raw, header=True, sep=";", quoteAll=True, escape='"')
+    csvfiles.normalise_csv(log.spark, raw, clean)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in TEXT_FIELDS])
+    return csvfiles.labelled_csv(log.spark, clean, schema).select("revision_id", "old_value", "new_value")
+
+
+@query("S3_clean_load")
+def _(log):
+    """Every row twice, the second copy newer, NULL as a token; the newer copy stays."""
+    path = log.scratch("dirty_csv")
+    rows = log.features_text.select(*[F.col(c).cast("string") for c in TEXT_FIELDS]).withColumn(
+        "loaded", F.explode(F.array(F.lit("1"), F.lit("2"))))
+    dirty = rows.withColumn("new_value", F.when(F.col("loaded") == "1", F.lit("NULL")).otherwise(F.col("new_value")))
+    dirty.unionByName(dirty).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    out = csvfiles.load_clean(log.spark, path, [*TEXT_FIELDS, "loaded"], ["revision_id", "property_id", "value_id"], ["loaded"])
+    return out.select("revision_id", "property_id", "value_id", "change_target", "new_value", "loaded")
+
+
+@query("S5_accumulated_labels")
+def _(log):
+    out = distribution.labelled_changes(features(log), ("is_reverted",))
+    return big(out.groupBy("source", "individual_label").agg(F.sum("is_reverted").alias("reverted"), F.count(F.lit(1)).alias("count")))
+
+
+@query("S6_S9_cached_result")
+def _(log):
+    path = log.scratch("cached_features")
+    make = lambda: quantity_features(log.features_quantity.select("value_id", "property_id", "old_value", "new_value"))
+    load_or_compute(log.spark, path, make, reload=True, partition_by=["property_id"])
+    cached = load_or_compute(log.spark, path, make)
+    return big(cached.groupBy("property_id").agg(F.sum("precision_change").alias("precision_changes"), F.count(F.lit(1)).alias("count")))
+
+
+@query("S8_metric_files")
+def _(log):
+    path = log.scratch("metrics_json")
+    write_metrics(rounded(model_metrics(log), "precision", "recall", "accuracy", "f1"), path)
+    return log.spark.read.schema("model string, datatype string, label string, precision double, recall double, accuracy double, f1 double").json(path)
+
+
 # ---- features ---------------------------------------------------------------------
 
 @query("T1_T19_text_features")
@@ -650,3 +704,137 @@ def _(log):
 @query("L3_answer_metrics")
 def _(log):
     return rounded(prompts.evaluate_answers(quality_rows(log), by=["datatype"]), "precision", "recall", "accuracy", "f1")
+
+
+# ---- classifiers ------------------------------------------------------------------------
+
+DOC_COLUMNS = ["n_chars", "n_tokens", "n_lines", "n_digits"]
+DOC_KEY = ["doc_id"]
+
+
+def document_rows(log: ChangeLog) -> DataFrame:
+    """Documents with simple text features; those without a quality label are pending ('')."""
+    d = log.documents.join(log.labels, "doc_id", "left")
+    label = F.when(F.col("quality").isNull(), "").otherwise(
+        F.coalesce(F.nullif(F.concat_ws(", ", F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")), F.lit("")),
+                   F.lit("plain")))
+    return d.select("doc_id", "n_chars", F.size(tokens(F.col("text"))).alias("n_tokens"),
+                    F.size(F.split("text", "\n")).alias("n_lines"), F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"),
+                    label.alias("label"))
+
+
+def labelled_documents(log: ChangeLog) -> DataFrame:
+    return document_rows(log).where(L.is_labelled(F.col("label")))
+
+
+def held_out(log: ChangeLog, algo: str, params: dict) -> DataFrame:
+    bundle, predictions = classifiers.train(labelled_documents(log), "documents", DOC_COLUMNS, algo, params, folds=3, key=DOC_KEY)
+    per_fold = classifiers.fold_metrics(predictions, bundle.classes).withColumn("fold", F.col("fold").cast("string"))
+    pooled = classifiers.fold_metrics(predictions, bundle.classes, pooled=True).withColumn("fold", F.lit("all"))
+    return per_fold.unionByName(pooled)
+
+
+@query("M1_M2_standardised")
+def _(log):
+    df = prepare.numeric(log.documents.select("doc_id", "n_chars", (F.col("doc_id") % 7).alias("weekday")), ["n_chars", "weekday"])
+    scaler = prepare.fit_scaler(df, ["n_chars", "weekday"])
+    out = scaler.apply(df, ["n_chars", "weekday"])
+    return out.select("doc_id", F.round(F.col("features")[0], 6).alias("n_chars"), F.round(F.col("features")[1], 6).alias("weekday"))
+
+
+@query("M3_binarised")
+def _(log):
+    df = labelled_documents(log).select("doc_id", "label")
+    return prepare.binarise(df, ["plain", "quality", "toxic"])
+
+
+@query("M4_binarised_single")
+def _(log):
+    df = log.value_change.select("revision_id", F.when(F.col("is_reverted") == 1, "reverted_edit").alias("label"))
+    return prepare.binarise_single(df, "reverted_edit")
+
+
+@query("M5_stratified_folds")
+def _(log):
+    folds = prepare.stratified_folds(log.features_time.select("revision_id", "property_id", "value_id", "label"), ["value_id"])
+    return big(folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("count")))
+
+
+@query("M6_grid_search")
+def _(log):
+    best = classifiers.grid_search(labelled_documents(log), "documents", DOC_COLUMNS, "kn", {"k": [3, 5]}, folds=3, key=DOC_KEY)
+    return labelled_documents(log).agg(F.lit(best["k"]).alias("k"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("M7_random_forest_metrics")
+def _(log):
+    return held_out(log, "random_forest", {"trees": 10, "depth": 5})
+
+
+@query("M8_nearest_neighbour_metrics")
+def _(log):
+    return held_out(log, "kn", {"k": 5})
+
+
+@query("M9_boosted_tree_metrics")
+def _(log):
+    return held_out(log, "xgboost", {"trees": 5, "depth": 3})
+
+
+@query("M10_threshold_labels")
+def _(log):
+    p = [(F.col("doc_id") % 10) / 10, (F.col("n_chars") % 100) / 100, (F.col("n_chars") % 7) / 10]
+    return log.documents.select("doc_id", L.pick_labels(p, ["a", "b", "c"]).alias("picked"))
+
+
+@query("M11_M13_classified_pending")
+def _(log):
+    """All pending documents labelled by the mean of the fold models; labelled ones stay as they are."""
+    rows = document_rows(log)
+    bundle, _ = classifiers.train(labelled_documents(log), "documents", DOC_COLUMNS, "kn", {"k": 5}, folds=3, key=DOC_KEY)
+    return classifiers.classify_pending(rows, bundle, key=DOC_KEY).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("M14_stored_models")
+def _(log):
+    """Models read back from storage label as the ones that were stored; both labels are reported per document."""
+    df = labelled_documents(log)
+    bundle, _ = classifiers.train(df, "documents", DOC_COLUMNS, "random_forest", {"trees": 5, "depth": 4}, folds=2, key=DOC_KEY)
+    path = log.scratch("models")
+    classifiers.save(bundle, log.spark, path)
+    again = classifiers.load(log.spark, path, "documents", "random_forest")
+    both = classifiers.score(df, bundle).select("doc_id", "predicted_labels").join(
+        classifiers.score(df, again).select("doc_id", F.col("predicted_labels").alias("reloaded")), "doc_id")
+    return both.agg(F.count_if(F.col("predicted_labels") != F.col("reloaded")).alias("differing"), F.count(F.lit(1)).alias("documents"))
+
+
+# ---- streams --------------------------------------------------------------------------------
+
+@query("ST1_stream_classified")
+def _(log):
+    rows = document_rows(log)
+    bundle, _ = classifiers.train(labelled_documents(log), "documents", DOC_COLUMNS, "kn", {"k": 5}, folds=2, key=DOC_KEY)
+    run = f"stream_classified/{uuid.uuid4().hex}"
+    source, out = log.scratch(f"{run}/in"), log.scratch(f"{run}/out")
+    rows.write.parquet(source)
+    stream = classify_stream(change_stream(log.spark, source, rows.schema), bundle, lambda b: b, out, log.scratch(f"{run}/state"))
+    stream.awaitTermination()
+    done = log.spark.read.parquet(out)
+    return done.agg(F.count(F.lit(1)).alias("documents"), F.count_if(L.is_labelled(F.col("label"))).alias("labelled"))
+
+
+@query("ST2_stream_reversions")
+def _(log):
+    run = f"stream_reversions/{uuid.uuid4().hex}"
+    out, state = log.scratch(f"{run}/out"), log.scratch(f"{run}/state")
+    changes = change_stream(log.spark, _table_path(log), log.value_change.schema)
+    pairs = reversion_stream(changes, salts=2)
+    pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+        availableNow=True).start().awaitTermination()
+    first = first_reversions(log.spark.read.parquet(out)).where("first_reversion is not null")
+    return first.select("revision_id", F.unix_micros("first_reversion").alias("first_reversion_us"))
+
+
+def _table_path(log: ChangeLog) -> str:
+    log.value_change  # noqa: B018 - written on first use
+    return log.scratch("value_change")

@@ -251,11 +251,14 @@ class ChangeLog:
         used = {t: self.base(t) for t in BASE_TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
+    def scratch(self, name: str) -> str:
+        """A path in the shared folder, private to this application and input folder."""
+        mark = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
+        return f"{shared_dir(self.spark)}/palimpsest/{self.spark.sparkContext.applicationId}/{mark}/{name}"
+
     def _value_change(self) -> DataFrame:
         """Build once per application; later queries scan the table with pruning and pushdown."""
-        sc = self.spark.sparkContext
-        mark = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
-        path = f"{shared_dir(self.spark)}/palimpsest/{sc.applicationId}/{mark}/value_change"
+        path = self.scratch("value_change")
         if path not in self._written:
             build_value_change(self._view(CHAIN_SQL)).write.mode("overwrite").parquet(path)
             self._written[path] = True

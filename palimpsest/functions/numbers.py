@@ -1,71 +1,75 @@
-"""Column expressions comparing two numbers kept as text."""
+"""Column expressions comparing two numbers kept as text, given as their ``anatomy``."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import flag
 
-_NUMBER = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
-
-
 def to_number(c: Column) -> Column:
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    """The text as DOUBLE, NULL where it is no decimal number (also for NaN, infinity and suffixes such as 1d)."""
+    return F.when(c.rlike("^[0-9eE+. -]*$"), c.try_cast("double"))
 
 
-def whole_part(c: Column) -> Column:
-    return F.split_part(c, F.lit("."), F.lit(1))
+def anatomy(c: Column) -> Column:
+    """struct(text, number, floor, whole, decimals, digits) of a number text; NULL for no text.
 
+    ``number`` is NULL for what is no number; ``decimals`` is '' without a point.
+    """
+    number = to_number(c)
+    return F.when(c.isNotNull(), F.struct(
+        c.alias("text"), number.alias("number"), F.floor(F.abs(number)).alias("floor"),
+        F.substring_index(c, ".", 1).alias("whole"),
+        F.when(c.contains("."), F.split_part(c, F.lit("."), F.lit(2))).otherwise("").alias("decimals"),
+        F.length(_without(c, "+", "-", ".")).alias("digits")))
 
-def decimal_part(c: Column) -> Column:
-    return F.when(c.contains("."), F.split_part(c, F.lit("."), F.lit(2))).otherwise("")
 
+def _without(c: Column, *marks: str) -> Column:
+    for mark in marks:
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return c
 
-def _significant_decimals(c: Column) -> Column:
-    part = decimal_part(c)
-    return F.when(part.rlike("^[0-9]*[1-9][0-9]*$"), part).otherwise("0")
 
-
-def digit_count(c: Column) -> Column:
-    return F.length(F.translate(c, "+-.", ""))
+def _significant(a: Column) -> Column:
+    part = a["decimals"]
+    return F.when(part.rlike("^[0-9]*[1-9][0-9]*$"), part).otherwise("0")
 
 
-def precision_change(old: Column, new: Column) -> Column:
-    return flag((whole_part(old) == whole_part(new)) & (_significant_decimals(old) != _significant_decimals(new)))
+def precision_change(a: Column, b: Column) -> Column:
+    return flag((a["whole"] == b["whole"]) & (a["decimals"] != b["decimals"]) & (_significant(a) != _significant(b)))
 
 
-def sign_change(old: Column, new: Column) -> Column:
-    a, b = to_number(old), to_number(new)
-    return flag((a * b < 0) & (F.floor(F.abs(a)) == F.floor(F.abs(b))))
+def sign_change(a: Column, b: Column) -> Column:
+    return flag((a["number"] * b["number"] < 0) & (a["floor"] == b["floor"]))
 
 
-def whole_number_change(old: Column, new: Column) -> Column:
-    return flag(F.floor(F.abs(to_number(old))) != F.floor(F.abs(to_number(new))))
+def whole_number_change(a: Column, b: Column) -> Column:
+    return flag(a["floor"] != b["floor"])
 
 
-def length_increase(old: Column, new: Column) -> Column:
-    return flag((digit_count(new) > digit_count(old)) & new.startswith(old))
+def length_increase(a: Column, b: Column) -> Column:
+    return flag((b["digits"] > a["digits"]) & b["text"].startswith(a["text"]))
 
 
-def length_decrease(old: Column, new: Column) -> Column:
-    return flag((digit_count(new) < digit_count(old)) & old.startswith(new))
+def length_decrease(a: Column, b: Column) -> Column:
+    return flag((b["digits"] < a["digits"]) & a["text"].startswith(b["text"]))
 
 
-def length_decrease_crossed(old: Column, new: Column) -> Column:
+def length_decrease_crossed(a: Column, b: Column) -> Column:
     """Asks whether the shorter new text starts with the longer old one, which never holds."""
-    return flag((digit_count(new) < digit_count(old)) & new.startswith(old))
+    return flag((b["digits"] < a["digits"]) & b["text"].startswith(a["text"]))
 
 
-def same_float(old: Column, new: Column) -> Column:
-    return flag(to_number(old) == to_number(new))
+def same_float(a: Column, b: Column) -> Column:
+    return flag(a["number"] == b["number"])
 
 
-def precision_added(old: Column, new: Column) -> Column:
-    return flag((whole_part(old) == whole_part(new)) & new.contains(".") & ~old.contains("."))
+def precision_added(a: Column, b: Column) -> Column:
+    return flag((a["whole"] == b["whole"]) & b["text"].contains(".") & ~a["text"].contains("."))
 
 
-def precision_removed(old: Column, new: Column) -> Column:
-    return precision_added(new, old)
+def precision_removed(a: Column, b: Column) -> Column:
+    return precision_added(b, a)
 
 
-def same_decimal_length(old: Column, new: Column) -> Column:
-    return flag(F.length(decimal_part(old)) == F.length(decimal_part(new)))
+def same_decimal_length(a: Column, b: Column) -> Column:
+    return flag(F.length(a["decimals"]) == F.length(b["decimals"]))

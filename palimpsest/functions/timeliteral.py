@@ -4,18 +4,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def date_parts(value: Column) -> Column:
-    """struct(year, month, day), year signed; NULL when the text is not a date literal."""
+def date_text(value: Column) -> Column:
+    """The date of a literal: only digits and separators, up to the T, without the Z."""
     kept = F.replace(F.regexp_replace(value, "[^0-9TZ:\\-]", ""), F.lit("Z"), F.lit(""))
-    date = F.split_part(kept, F.lit("T"), F.lit(1))
-    shape = "^(-?)([0-9]+)-([0-9]+)-([0-9]+)(-.*)?$"
+    return F.split_part(kept, F.lit("T"), F.lit(1))
 
-    def group(i):
-        return F.regexp_extract(date, shape, i).try_cast("bigint")
 
+def date_fields(date: Column) -> Column:
+    """The texts of year, month and day of a ``date_text``; a leading minus belongs to the year."""
+    return F.split(F.when(date.startswith("-"), F.substring(date, 2, 1 << 30)).otherwise(date), "-")
+
+
+def date_parts(date: Column, fields: Column) -> Column:
+    """struct(year, month, day), year signed; NULL unless all three are numbers."""
+    year, month, day = (F.get(fields, i).try_cast("bigint") for i in range(3))
     sign = F.when(date.startswith("-"), -1).otherwise(1)
-    return F.when(date.rlike(shape), F.struct(
-        (sign * group(2)).alias("year"), group(3).alias("month"), group(4).alias("day")))
+    return F.when((year + month + day).isNotNull(), F.struct((sign * year).alias("year"), month.alias("month"), day.alias("day")))
 
 
 def unknown_value(value: Column) -> Column:

@@ -13,10 +13,12 @@ _PAIR = ["relation", "src", "dst"]
 def closure(edges: DataFrame, relations=None, max_depth: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """All (relation, src, dst) with a path src to dst, without self pairs.
 
-    Semi-naive: each round extends only the pairs found in the round before, and each
-    round's result is a checkpoint in the shared folder, so plans stay short and a lost
-    executor costs no recomputation. Cycles end because known pairs are dropped. ``seeds``
-    (one column ``src``) limits the work to the sources that will be asked for.
+    Each round extends only the pairs that were new in the round before, by all known
+    paths, so path lengths double and the rounds are logarithmic in the depth. With
+    ``max_depth``, or with ``seeds`` (one column ``src``: the only sources that will be
+    asked for), a round extends by single edges. Each round's new pairs are a checkpoint in
+    the shared folder: plans stay short, a lost executor costs no recomputation. Known
+    pairs are dropped, so cycles end.
     """
     shared_dir(edges.sparkSession)
     edges = edges.select(*_PAIR).where("src is not null and dst is not null").distinct()
@@ -27,7 +29,8 @@ def closure(edges: DataFrame, relations=None, max_depth: int | None = None, seed
     found = front = front.checkpoint()
     rounds = 1
     while (max_depth is None or rounds < max_depth) and not front.isEmpty():
-        reached = front.toDF("relation", "src", "mid").join(step, ["relation", "mid"]).select(
+        onward = step if max_depth is not None or seeds is not None else found.toDF("relation", "mid", "next")
+        reached = front.toDF("relation", "src", "mid").join(onward, ["relation", "mid"]).select(
             "relation", "src", F.col("next").alias("dst")).distinct()
         front = reached.join(found, _PAIR, "left_anti").checkpoint()
         found = found.unionByName(front)

@@ -27,6 +27,7 @@ from palimpsest.operators.text_features import similarity_features, text_feature
 from palimpsest.operators.value_features import geo_features, quantity_features, time_features
 from palimpsest.plans import counts, distribution, patterns, reverts
 from palimpsest.learn import classifiers, prepare
+from palimpsest.learn.neighbours import neighbour_shares, weighted_points
 from palimpsest.operators.routing import datatype_group
 from palimpsest.sources import csvfiles
 from palimpsest.sources.derived import ChangeLog
@@ -58,15 +59,6 @@ def big(df: DataFrame) -> DataFrame:
                        for n, t in df.dtypes])
 
 
-def edits(log: ChangeLog) -> DataFrame:
-    """The value-change log with the editor and comment of each revision, and the anchor revision of its property."""
-    who = log.revision.select("revision_id", "username", "comment")
-    joined = log.value_change.join(who, "revision_id")
-    anchors = joined.groupBy("entity_id", "property_id").agg(
-        F.min_by("revision_id", F.struct("timestamp", "revision_id")).alias("anchor_revision_id"))
-    return joined.join(anchors, ["entity_id", "property_id"])
-
-
 def vector_pairs(log: ChangeLog) -> DataFrame:
     """Each embedding as old vector with the next one as new vector."""
     e = log.embeddings
@@ -408,7 +400,7 @@ def _(log):
 
 @query("W6_same_user_last_24h")
 def _(log):
-    df = edits(log).select("revision_id", "entity_id", "property_id", "value_id", "username", "timestamp")
+    df = log.edits.select("revision_id", "entity_id", "property_id", "value_id", "username", "timestamp")
     return big(trailing_count(df).drop("timestamp"))
 
 
@@ -442,7 +434,7 @@ def _(log):
 
 @query("G18_training_sample")
 def _(log):
-    df = edits(log).select("anchor_revision_id", "revision_id", "entity_id", "property_id",
+    df = log.edits.select("anchor_revision_id", "revision_id", "entity_id", "property_id",
                            F.when(F.col("is_reverted") == 1, "reverted_edit").otherwise("other").alias("label"))
     out = sample_training_set(df)
     return out.groupBy("anchor_revision_id").agg(
@@ -463,7 +455,7 @@ def _(log):
 @query("F_C1_encodings")
 def _(log):
     u = user_class(F.col("username"))
-    df = edits(log)
+    df = log.edits
     return big(df.select("revision_id", u.alias("user_type"), user_code(u).alias("user_type_encoded"),
                          day_code(F.col("timestamp")).alias("day_of_week_encoded"), action_code(F.col("action")).alias("action_encoded")))
 
@@ -597,7 +589,7 @@ def _(log):
 
 @query("R1_R12_reverted_features")
 def _(log):
-    df = edits(log).select("revision_id", "entity_id", "property_id", "value_id", "change_target", "timestamp", "username",
+    df = log.edits.select("revision_id", "entity_id", "property_id", "value_id", "change_target", "timestamp", "username",
                            "comment", "action", "old_hash", "new_hash")
     return big(reverted_features(df).drop("timestamp", "username", "comment", "action", "old_hash", "new_hash"))
 
@@ -610,7 +602,7 @@ def _(log):
 
 @query("R9_keyword_in_next_10")
 def _(log):
-    df = edits(log).select("revision_id", "entity_id", "property_id", "value_id", "timestamp", "comment")
+    df = log.edits.select("revision_id", "entity_id", "property_id", "value_id", "timestamp", "comment")
     return big(keyword_in_next(df).select("revision_id", "rv_keyword_in_comment_next_10"))
 
 
@@ -776,6 +768,16 @@ def _(log):
     return held_out(log, "kn", {"k": 5})
 
 
+@query("M8_neighbour_shares")
+def _(log):
+    """Class shares among the 5 nearest of all embeddings, each one included."""
+    e = log.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+    points = weighted_points(e.select("features", *[(F.col("label") == i).cast("double").alias(f"y{i}") for i in range(3)]),
+                             ["y0", "y1", "y2"])
+    out = neighbour_shares(e.select("vec_id", "features"), points, 5)
+    return out.select("vec_id", *[F.round(F.col("shares")[i], 6).alias(f"share_{i}") for i in range(3)])
+
+
 @query("M9_boosted_tree_metrics")
 def _(log):
     return held_out(log, "xgboost", {"trees": 5, "depth": 3})

@@ -13,6 +13,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "palim
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # above 8000 bytes HotSpot does not compile a method: wide feature projections are faster split
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
     )

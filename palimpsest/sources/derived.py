@@ -1,8 +1,9 @@
 """Change-log tables derived from the driver's base tables.
 
 ``VIEW_SQL`` holds portable SQL projections, the same text on Spark and on the oracle's
-engine. The one order-dependent table, ``value_change``, is built here with the library's
-skew-safe operators and kept as a parquet table in the shared folder.
+engine. The order-dependent table, ``value_change``, is built here with the library's
+skew-safe operators and kept as a parquet table in the shared folder, as is its join with
+the revisions, ``edits``.
 """
 
 import hashlib
@@ -227,6 +228,14 @@ def build_value_change(chain: DataFrame) -> DataFrame:
     )
 
 
+def build_edits(value_change: DataFrame, revision: DataFrame) -> DataFrame:
+    """The log with editor and comment of each revision, and the first revision of its property as anchor."""
+    joined = value_change.join(revision.select("revision_id", "username", "comment"), "revision_id")
+    anchors = value_change.join(revision.select("revision_id"), "revision_id").groupBy("entity_id", "property_id").agg(
+        F.min_by("revision_id", F.struct("timestamp", "revision_id")).alias("anchor_revision_id"))
+    return joined.join(anchors, ["entity_id", "property_id"])
+
+
 class ChangeLog:
     """Named change-log DataFrames over one folder of base tables."""
 
@@ -240,7 +249,9 @@ class ChangeLog:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "value_change":
-            return self._value_change()
+            return self._stored(name, lambda: build_value_change(self._view(CHAIN_SQL)))
+        if name == "edits":
+            return self._stored(name, lambda: build_edits(self.value_change, self.revision))
         if name in VIEW_SQL:
             return self._view(VIEW_SQL[name])
         if name in BASE_TABLES:
@@ -256,11 +267,11 @@ class ChangeLog:
         mark = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
         return f"{shared_dir(self.spark)}/palimpsest/{self.spark.sparkContext.applicationId}/{mark}/{name}"
 
-    def _value_change(self) -> DataFrame:
+    def _stored(self, name: str, build) -> DataFrame:
         """Build once per application; later queries scan the table with pruning and pushdown."""
-        path = self.scratch("value_change")
+        path = self.scratch(name)
         if path not in self._written:
-            build_value_change(self._view(CHAIN_SQL)).write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").parquet(path)
             self._written[path] = True
         return self.spark.read.parquet(path)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-_SHIFT = 1 << 31
+_WHOLE = -(1 << 63)  # the chunk of a key that is not cut
 
 
 @dataclass(frozen=True)
@@ -48,31 +48,35 @@ def _stats(order: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")]
 
 
-def _hot(df: DataFrame, keys, order: str, split: Split) -> DataFrame | None:
-    """The hot groups with their range and chunk width, or None; looks at one row of totals."""
-    sized = df.groupBy(*keys).agg(*_stats(order))
-    total, most = sized.agg(F.sum("_n"), F.max("_n")).first()
+def _hot(df: DataFrame, groups, order: str, split: Split) -> DataFrame | None:
+    """The groups to cut with their first order value and span width, or None; looks at one row of totals."""
+    sized = df.groupBy(*groups).agg(*_stats(order))
+    can = F.col("_hi") > F.col("_lo")
+    total, most = sized.agg(F.sum("_n"), F.max(F.when(can, F.col("_n")))).first()
     limit = max(split.floor, (total or 0) // split.max_hot)
     if not most or most <= limit:
         return None
     pieces = F.ceil(F.col("_n") / F.lit(split.floor))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).cast("bigint")
-    return sized.where(F.col("_n") > limit).select(*keys, "_lo", width.alias("_width"))
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces).cast("bigint")
+    return sized.where(can & (F.col("_n") > limit)).select(*groups, "_lo", width.alias("_width"))
 
 
-def _tagged(df: DataFrame, groups: DataFrame, on, how: str) -> DataFrame:
+def _cut(df: DataFrame, hot: DataFrame, on, order: str, how: str) -> DataFrame:
+    """Set ``_chunk`` of the hot groups' rows to the start of their span."""
     tags = [f"_g{i}" for i in range(len(on))]
-    right = groups.select(*[F.col(k).alias(t) for k, t in zip(on, tags)], "_lo", "_width")
-    return df.join(F.broadcast(right), [F.col(k) == F.col(t) for k, t in zip(on, tags)], how)
+    right = hot.select(*[F.col(k).alias(t) for k, t in zip(on, tags)], "_lo", "_width")
+    joined = df.join(F.broadcast(right), [F.col(k) == F.col(t) for k, t in zip(on, tags)], how)
+    start = F.expr(f"_lo + ((`{order}` - _lo) div _width) * _width")
+    return joined.select(*[c for c in df.columns if c != CHUNK], F.coalesce(start, F.col(CHUNK)).alias(CHUNK))
 
 
 def with_chunk(df: DataFrame, keys, order: str, split: Split | None = DEFAULT_SPLIT):
     """(df with ``_chunk``, split), or (df, None) where no key is hot.
 
-    ``_chunk`` is 0 for ordinary keys and grows with ``order`` (BIGINT) within hot ones. A
-    hot key is cut into equal spans; a span that is itself above the floor (a burst) is
-    cut once more. Chunks of a coarse key also serve any finer key. Key columns must not
-    be NULL.
+    A hot key is cut into equal spans of ``order`` (BIGINT), and a span that is itself
+    above the floor (a burst) again, until all are small or hold a single order value.
+    Each further round looks at the hot rows only. Chunks of a coarse key also serve any
+    finer key. Key columns must not be NULL.
     """
     if split is None or CHUNK in df.columns:
         return df, split
@@ -80,14 +84,13 @@ def with_chunk(df: DataFrame, keys, order: str, split: Split | None = DEFAULT_SP
     hot = _hot(df, keys, order, split)
     if hot is None:
         return df, None
-    span = F.expr(f"(`{order}` - _lo) div _width")
-    coarse = _tagged(df, hot, keys, "left").select(*df.columns, F.coalesce((span + 1) * _SHIFT, F.lit(0)).alias(CHUNK))
-    hot_rows = _tagged(df.select(*keys, order), hot, keys, "inner").select(*keys, order, ((span + 1) * _SHIFT).alias(CHUNK))
-    bursts = _hot(hot_rows, [*keys, CHUNK], order, split)
-    if bursts is None:
-        return coarse, split
-    return _tagged(coarse, bursts, [*keys, CHUNK], "left").select(
-        *df.columns, (F.col(CHUNK) + F.coalesce(span, F.lit(0))).alias(CHUNK)), split
+    whole = F.lit(_WHOLE).cast("bigint").alias(CHUNK)
+    out = _cut(df.select("*", whole), hot, keys, order, "left")
+    crowded = _cut(df.select(*keys, order, whole), hot, keys, order, "inner")
+    while (bursts := _hot(crowded, [*keys, CHUNK], order, split)) is not None:
+        out = _cut(out, bursts, [*keys, CHUNK], order, "left")
+        crowded = _cut(crowded, bursts, [*keys, CHUNK], order, "inner")
+    return out, split
 
 
 def settled(df: DataFrame, split: Split | None) -> DataFrame:
@@ -132,7 +135,7 @@ def running(df: DataFrame, order: str, folds, split: Split | None = None) -> Dat
     out = df.select("*", *[_agg(f.kind, F.col(f.column)).over(frame(f.keys, f.later)).alias(f.name) for f in folds])
     for keys in dict.fromkeys(f.keys for f in folds) if split else ():
         mine = [f for f in folds if f.keys == keys]
-        sums = df.where(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(*[_agg(f.kind, f.column).alias(f"_p_{f.name}") for f in mine])
+        sums = df.where(F.col(CHUNK) > _WHOLE).groupBy(*keys, CHUNK).agg(*[_agg(f.kind, f.column).alias(f"_p_{f.name}") for f in mine])
 
         def chunks(later, keys=keys):
             way = F.col(CHUNK).desc() if later else F.col(CHUNK).asc()
@@ -150,7 +153,7 @@ def position(df: DataFrame, keys, order: str, ties=(), name: str = "position", s
     inside = df.select("*", F.row_number().over(w).cast("bigint").alias(name))
     if not split:
         return inside
-    sizes = df.where(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = df.where(F.col(CHUNK) > _WHOLE).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
     chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select(*keys, CHUNK, F.sum("_size").over(chunks).alias("_before"))
     return _carry_join(inside, carry, keys).select(
@@ -176,7 +179,7 @@ def adjacent(df: DataFrame, keys, order: str, ties, columns: dict, split: Split
     for off in offsets:
         edge = F.struct(F.col(order).alias("_o"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)], cells(off).alias("_cells"))
         pick, move = (F.max, F.lag) if off < 0 else (F.min, F.lead)
-        ends = df.where(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(pick(edge).alias("_e"))
+        ends = df.where(F.col(CHUNK) > _WHOLE).groupBy(*keys, CHUNK).agg(pick(edge).alias("_e"))
         carry = ends.select(*keys, CHUNK, move("_e._cells").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias(f"_out{off + 1}"))
         joined = _carry_join(joined, carry, keys)
     return joined.select(*df.columns, *[

@@ -119,14 +119,14 @@ def _cell_shares(queries: DataFrame, points: DataFrame, k: int, out: str, pivots
         "features", "cell", F.pmod(F.xxhash64("features"), F.lit(salts)).alias("salt"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"))
     held = placed.join(parts, "cell").select(
-        "features", "ys", "w", "h", "cell", F.pmod(F.col("h"), F.col("chunks")).cast("long").alias("chunk"),
+        F.col("features").alias("point"), "ys", "w", "h", "cell", F.pmod(F.col("h"), F.col("chunks")).cast("long").alias("chunk"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
     def candidates(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or have.empty:
             return pd.DataFrame({"features": [], "near": []}, dtype=object)
         have = have.sort_values("h")
-        known, ys = np.stack(have["features"].to_numpy()), have["ys"].to_numpy()
+        known, ys = np.stack(have["point"].to_numpy()), have["ys"].to_numpy()
         w, h = have["w"].to_numpy(), have["h"].to_numpy()
         rows = []
         features = ask["features"].to_numpy()

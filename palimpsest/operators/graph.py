@@ -24,9 +24,12 @@ def closure(edges: DataFrame, relations=None, max_depth: int | None = None, seed
     edges = edges.select(*_PAIR).where("src is not null and dst is not null").distinct()
     if relations is not None:
         edges = edges.where(F.col("relation").isin(list(relations)))
+    edges = edges.checkpoint()
     step = edges.toDF("relation", "mid", "next")
-    front = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi").select(*_PAIR)
-    found = front = front.checkpoint()
+    front = edges
+    if seeds is not None:
+        front = edges.join(seeds.select("src").distinct(), "src", "left_semi").select(*_PAIR).checkpoint()
+    found = front
     rounds = 1
     while (max_depth is None or rounds < max_depth) and not front.isEmpty():
         onward = step if max_depth is not None or seeds is not None else found.toDF("relation", "mid", "next")

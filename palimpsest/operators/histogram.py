@@ -4,23 +4,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Counts per equal-width bin over [min, max]; the last bin is closed, empty bins are listed with 0.
+def histograms(df: DataFrame, columns, bins: int = 50) -> DataFrame:
+    """(metric, bin, bin_start, bin_end, count) per column: equal-width bins over [min, max].
 
-    A column with a single value gets the range value-0.5 .. value+0.5. Values are counted
-    per distinct value first, so only those travel.
+    The last bin is closed, empty bins are listed with 0. A column with a single value
+    gets the range value-0.5 .. value+0.5. Values are counted per distinct value first, in
+    one pass over ``df`` for all columns; the range of a column is one row of a broadcast.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    bounds = values.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).select(
-        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    bin_of = F.least(F.floor((F.col("_v") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    counted = values.groupBy(bin_of.alias("bin")).agg(F.sum("_n").alias("count"))
-    edges = bounds.where(F.col("lo").isNotNull()).select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = df.select(F.explode(cells).alias("x")).select("x.metric", "x.v").where("v is not null").groupBy("metric", "v").agg(
+        F.count(F.lit(1)).alias("n"))
+    single = F.min("v") == F.max("v")
+    ranges = values.groupBy("metric").agg(
+        F.when(single, F.min("v") - 0.5).otherwise(F.min("v")).alias("lo"),
+        F.when(single, F.max("v") + 0.5).otherwise(F.max("v")).alias("hi"))
+    # one row per column
+    placed = values.join(F.broadcast(ranges), "metric")
+    bin_of = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    counted = placed.groupBy("metric", bin_of.alias("bin")).agg(F.sum("n").alias("count"))
+    edges = ranges.select("metric", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return edges.join(counted, "bin", "left").select(
-        "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),
+    return edges.join(counted, ["metric", "bin"], "left").select(
+        "metric", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),
         (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
+    return histograms(df, [column], bins).drop("metric")

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.histogram import histogram
+from palimpsest.operators.histogram import histograms
 
 # metric name -> summed column, in report order (fixed values; one name occurs twice)
 STAT_METRICS = (
@@ -92,5 +92,4 @@ def entity_histograms(stats: DataFrame, max_revisions: int | None = None, bins:
     """(metric, bin, bin_start, bin_end, count) for the main counters, large entities optionally left out."""
     if max_revisions is not None:
         stats = stats.where(F.col("num_revisions") < max_revisions)
-    return reduce(DataFrame.unionByName, [
-        histogram(stats, c, bins).withColumn("metric", F.lit(c)) for c in HISTOGRAM_COLUMNS])
+    return histograms(stats, HISTOGRAM_COLUMNS, bins)

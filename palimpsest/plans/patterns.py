@@ -36,12 +36,14 @@ def oscillations(features_entity: DataFrame, revision: DataFrame, at_least: int
     following = adjacent(changes, _KEY, "us", ties + ["label"], {"next_label": (1, "label")}, split)
     swings = following.where("label <> next_label")
     keys = [*_KEY, "property_label"]
-    counts = swings.groupBy(*keys).agg(F.count(F.lit(1)).alias("oscillation_count")).where(F.col("oscillation_count") >= at_least)
     placed = position(swings, keys, "us", ties, "_rn", split)
     step = F.concat("old_value_label", F.lit(arrow), "new_value_label")
     parts = placed.groupBy(*keys, ((F.col("_rn") - 1) / segment).cast("bigint").alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", step.alias("s")))), lambda x: x["s"]).alias("change_sequence"))
-    return counts.join(parts, keys).select(*keys, "oscillation_count", "part", "change_sequence")
+    # a statement has one row per segment here
+    total = F.sum(F.size("change_sequence")).over(Window.partitionBy(*keys))
+    counted = parts.withColumn("oscillation_count", total).where(F.col("oscillation_count") >= at_least)
+    return counted.select(*keys, "oscillation_count", "part", "change_sequence")
 
 
 def quantity_unrefinement(features_quantity: DataFrame) -> DataFrame:

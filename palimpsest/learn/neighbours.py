@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.shipping import by_value
+from palimpsest.session import shared_dir
 
 by_value(__name__)
 
@@ -86,6 +87,7 @@ def _broadcast_vote(points: DataFrame, k: int):
 
 def _cell_shares(queries: DataFrame, points: DataFrame, k: int, out: str, pivots: int, block: int) -> DataFrame:
     spark = points.sparkSession
+    shared_dir(spark)
     centres = np.stack([r["features"] for r in points.orderBy("h").limit(pivots).select("features").collect()])
     sent = spark.sparkContext.broadcast(centres)
 

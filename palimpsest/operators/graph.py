@@ -89,6 +89,34 @@ def reach_flags(df: DataFrame, closed: DataFrame, relations: dict, old: str = "o
     return joined.select(*names, *columns)
 
 
+def metaclass_flags(df: DataFrame, closed: DataFrame, relation: str = "metaclass", old: str = "old_value",
+                    new: str = "new_value") -> DataFrame:
+    """Add is-metaclass-for flags; "new is metaclass for old" holds where a path leads from old to new."""
+    flags = reach_flags(df, closed, {relation: "_m"}, old, new)
+    return flags.withColumnsRenamed({
+        "old_value__m_new_value": "new_value_is_metaclass_for_old_value",
+        "new_value__m_old_value": "old_value_is_metaclass_for_new_value"})
+
+
+def composite_flags(df: DataFrame, first: DataFrame, second: DataFrame, old: str = "old_value", new: str = "new_value",
+                    name: str = "subclass_part_of") -> DataFrame:
+    """Add {old,new}_value_<name>_{new,old}_value: a path of the first closure, then one of the second.
+
+    Only the distinct pairs that occur in ``df`` are followed.
+    """
+    names = df.columns
+    base = df.select("*", _cleaned(old).alias("_o"), _cleaned(new).alias("_n"))
+    ways = F.array(F.struct(F.col("_o").alias("a"), F.col("_n").alias("b")), F.struct(F.col("_n").alias("a"), F.col("_o").alias("b")))
+    asked = base.select(F.explode(ways).alias("w")).select("w.a", "w.b").where("a <> b").distinct()
+    hops = asked.join(first.select(F.col("src").alias("a"), F.col("dst").alias("mid")), "a")
+    linked = hops.join(second.select(F.col("src").alias("mid"), F.col("dst").alias("b")), ["mid", "b"], "left_semi").select("a", "b").distinct()
+    forward = linked.select(F.col("a").alias("_o"), F.col("b").alias("_n"), F.lit(1).alias("_f"))
+    backward = linked.select(F.col("b").alias("_o"), F.col("a").alias("_n"), F.lit(1).alias("_b"))
+    joined = base.join(forward, ["_o", "_n"], "left").join(backward, ["_o", "_n"], "left")
+    return joined.select(*names, F.coalesce("_f", F.lit(0)).alias(f"old_value_{name}_new_value"),
+                         F.coalesce("_b", F.lit(0)).alias(f"new_value_{name}_old_value"))
+
+
 # Relation of the closure -> name in the feature columns (fixed values).
 ENTITY_RELATIONS = {"subclass": "subclass", "located_in": "located_in", "has_part": "has_parts", "part_of": "part_of"}
 ENTITY_COLUMNS = [

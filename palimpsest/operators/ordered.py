@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import shared_dir
+
 CHUNK = "_chunk"
 _WHOLE = -(1 << 63)  # the chunk of a key that is not cut
 
@@ -95,7 +97,10 @@ def with_chunk(df: DataFrame, keys, order: str, split: Split | None = DEFAULT_SP
 
 def settled(df: DataFrame, split: Split | None) -> DataFrame:
     """With hot keys, a checkpoint in the shared folder: each later step reads its input twice."""
-    return df if split is None else df.checkpoint()
+    if split is None:
+        return df
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _carry_join(df: DataFrame, carry: DataFrame, keys) -> DataFrame:

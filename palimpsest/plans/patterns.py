@@ -161,7 +161,7 @@ def _created(qualifier_change: DataFrame, qualifier: int) -> DataFrame:
 def soft_changes_with_reason(value_change: DataFrame, qualifier_change: DataFrame, label: str, qualifier: int) -> DataFrame:
     """Lasting soft changes of a statement that (ever) got a reason qualifier."""
     reasons = _created(qualifier_change, qualifier).select(*_KEY).distinct()
-    return _soft(value_change, label).join(reasons, _KEY, "left_semi").agg(F.count(F.lit(1)).alias("count"))
+    return _soft_counts(value_change, label).join(reasons, _KEY, "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
 
 
 def _soft_counts(value_change: DataFrame, label: str) -> DataFrame:

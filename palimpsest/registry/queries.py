@@ -40,7 +40,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(name: str):
     def add(fn):
-        QUERIES[name] = lambda spark, folder: fn(ChangeLog(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(ChangeLog(spark, folder))
+
+        QUERIES[name] = run
         return fn
     return add
 
@@ -569,7 +573,21 @@ def _(log):
     return rounded(big(out), "token_overlap", "edit_distance_ratio")
 
 
-@query("E13_E14_composite_path")
+@query("E13_metaclass_flags")
+def _(log):
+    # the derived edges hold no metaclass relation; another one stands in
+    df = log.features_entity.select("change_id", "old_value", "new_value")
+    return big(graph.metaclass_flags(df, graph.closure(log.edges), "part_of"))
+
+
+@query("E14_composite_flags")
+def _(log):
+    closed = graph.closure(log.edges)
+    df = log.features_entity.select("change_id", "old_value", "new_value")
+    return big(graph.composite_flags(df, closed.where("relation = 'part_of'"), closed.where("relation = 'subclass'"), name="part_of_subclass"))
+
+
+@query("E14_composite_path")
 def _(log):
     closed = graph.closure(log.edges)
     return graph.composite_path(closed.where("relation = 'part_of'"), closed.where("relation = 'subclass'"))

@@ -18,6 +18,7 @@ from palimpsest.session import shared_dir
 
 CHUNK = "_chunk"
 _WHOLE = -(1 << 63)  # the chunk of a key that is not cut
+_FINE = 64  # spans per floor of rows: few rounds for bursts, and still one summary row for thousands of rows
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def _hot(df: DataFrame, groups, order: str, split: Split) -> DataFrame | None:
     limit = max(split.floor, (total or 0) // split.max_hot)
     if not most or most <= limit:
         return None
-    pieces = F.ceil(F.col("_n") / F.lit(split.floor))
+    pieces = F.ceil(F.col("_n") / F.lit(split.floor)) * _FINE
     width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces).cast("bigint")
     return sized.where(can & (F.col("_n") > limit)).select(*groups, "_lo", width.alias("_width"))
 

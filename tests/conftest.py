@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, partitions=4, app="tests")
+    session = local_session(8, partitions=2, app="tests")
     shared_dir(session)
     yield session
     session.stop()

@@ -10,12 +10,12 @@ from palimpsest.operators.reversion import (
     first_reversion, keyword_in_next, reversion_pairs, reverted_features, time_to_neighbour, trailing_count,
 )
 
-TINY = Split(floor=20, max_hot=1000)
+TINY = Split(floor=15, max_hot=1000)
 SPLITS = [pytest.param(None, id="plain"), pytest.param(TINY, id="cut")]
 KEY = ("entity_id", "property_id", "value_id")
 
 
-def log_rows(n=400, seed=1):
+def log_rows(n=240, seed=1):
     """One statement holds a third of all rows and half of those fall into one burst; instants repeat."""
     rnd = random.Random(seed)
     rows = []
@@ -44,7 +44,7 @@ def df(spark, rows):
         [tuple(r[c] for c in COLUMNS) for r in rows],
         "revision_id long, entity_id long, property_id int, value_id string, us long, username string, comment string, "
         "old_hash string, new_hash string, is_reverted int, reversion int, action string")
-    return frame.withColumn("timestamp", F.timestamp_micros("us")).repartition(3).cache()
+    return frame.withColumn("timestamp", F.timestamp_micros("us")).repartition(2).cache()
 
 
 def later(rows, r, keys=KEY):

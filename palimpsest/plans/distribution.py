@@ -15,12 +15,8 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def labelled_changes(features: dict, columns=("is_reverted", "reversion"), labels_on_entity: bool = True) -> DataFrame:
-    """(source, individual_label, columns) over all feature tables, one scan per table.
-
-    Both coordinate axes come out of a single scan. ``labels_on_entity`` keeps an entity
-    change only if both values have a label.
-    """
+def _labels(features: dict, columns, labels_on_entity: bool) -> DataFrame:
+    """(source, label, columns) of all labelled rows, one scan per table; both axes come out of a single scan."""
     frames = []
     for name, df in features.items():
         if name == "globecoordinate":
@@ -30,10 +26,30 @@ def labelled_changes(features: dict, columns=("is_reverted", "reversion"), label
             if name == "entity" and labels_on_entity:
                 df = df.where((F.col("old_value_label") != "") & (F.col("new_value_label") != ""))
             wide = df.select(*columns, F.lit(name).alias("source"), "label")
-        frames.append(explode_labels(wide).select("source", "individual_label", *columns))
+        frames.append(wide.where(is_labelled(F.col("label"))))
     return _union(frames)
 
 
+def labelled_changes(features: dict, columns=("is_reverted", "reversion"), labels_on_entity: bool = True) -> DataFrame:
+    """(source, individual_label, columns): one row per label of each change.
+
+    ``labels_on_entity`` keeps an entity change only if both values have a label.
+    """
+    return explode_labels(_labels(features, columns, labels_on_entity)).select("source", "individual_label", *columns)
+
+
+def label_counts(features: dict, by=(), reverted: bool = True, labels_on_entity: bool = True) -> DataFrame:
+    """Counts per (by, source, individual_label), the last not yet added up.
+
+    Rows are counted under their whole label text before it is split: there are few such
+    texts, so only counts are exploded.
+    """
+    flags = ("is_reverted", "reversion") if reverted else ()
+    counted = _labels(features, (*by, *flags), labels_on_entity).groupBy(*by, "source", "label").agg(
+        *(_reverted() if reverted else [F.count(F.lit(1)).alias("n")]))
+    return explode_labels(counted).drop("label")
+
+
 def _reverted() -> list[Column]:
     return [
         F.count_if(F.col("is_reverted") == 1).alias("count_reverted"),
@@ -86,7 +102,7 @@ def reference_rules(reference_change: DataFrame) -> DataFrame:
 def change_type_distribution(features: dict, value_change: DataFrame, qualifier_change: DataFrame,
                              reference_change: DataFrame) -> DataFrame:
     """Reverted and other changes per (source, label), with the reversion rate."""
-    by_label = labelled_changes(features).groupBy("source", F.col("individual_label").alias("label")).agg(*_reverted())
+    by_label = label_counts(features).groupBy("source", F.col("individual_label").alias("label")).agg(*_sums()[:2])
     parts = [by_label, value_change_rules(value_change), qualifier_rules(qualifier_change), reference_rules(reference_change)]
     return _with_rate(_union(parts))
 
@@ -97,19 +113,16 @@ def distribution_per_user_type(features: dict, revision: DataFrame) -> DataFrame
     Rows are counted per revision and label before the join: a revision with many changes
     travels as a handful of counts.
     """
-    counted = labelled_changes(features, ("revision_id", "is_reverted", "reversion")).groupBy(
-        "revision_id", F.col("source").alias("datatype"), F.col("individual_label").alias("label")).agg(*_reverted())
-    joined = counted.join(revision.select("revision_id", "user_type"), "revision_id")
-    return _with_rate(joined.groupBy("datatype", "user_type", "label").agg(
-        F.sum("count_reverted").alias("count_reverted"), F.sum("count_non_reverted").alias("count_non_reverted")))
+    joined = label_counts(features, ("revision_id",)).join(revision.select("revision_id", "user_type"), "revision_id")
+    return _with_rate(joined.groupBy(
+        F.col("source").alias("datatype"), "user_type", F.col("individual_label").alias("label")).agg(*_sums()[:2]))
 
 
 def change_types_overtime(features: dict, revision: DataFrame) -> DataFrame:
     """Changes per (datatype, label, year), reverted ones included, entity labels not required."""
-    counted = labelled_changes(features, ("revision_id",), labels_on_entity=False).groupBy(
-        "revision_id", F.col("source").alias("datatype"), "individual_label").agg(F.count(F.lit(1)).alias("n"))
+    counted = label_counts(features, ("revision_id",), reverted=False, labels_on_entity=False)
     joined = counted.join(revision.select("revision_id", "year"), "revision_id")
-    return joined.groupBy("datatype", "individual_label", "year").agg(F.sum("n").alias("count"))
+    return joined.groupBy(F.col("source").alias("datatype"), "individual_label", "year").agg(F.sum("n").alias("count"))
 
 
 def dense_years(overtime: DataFrame, first: int = 2012, last: int = 2025, per_datatype: bool = True) -> DataFrame:
@@ -163,7 +176,8 @@ def share_by_user_type(per_user: DataFrame) -> DataFrame:
 
 
 def label_frequencies(df: DataFrame, label: str = "label") -> DataFrame:
-    return explode_labels(df, label).groupBy("individual_label").agg(F.count(F.lit(1)).alias("count"))
+    whole = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return explode_labels(whole, label).groupBy("individual_label").agg(F.sum("n").alias("count"))
 
 
 def pending_summary(df: DataFrame, label: str = "label") -> DataFrame:

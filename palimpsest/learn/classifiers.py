@@ -78,6 +78,13 @@ def _fit_one(rows: DataFrame, algo: str, params: dict, label: str, positives: in
     return GBTClassifier(**shared, maxIter=params.get("trees", 50)).fit(rows)
 
 
+def _packed(rows: DataFrame, count: int, per_partition: int = 20_000) -> DataFrame:
+    """A small training set in few partitions: every tree level is a pass over all of them."""
+    wanted = max(1, -(-count // per_partition))
+    have = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.coalesce(wanted) if wanted < have else rows
+
+
 def _prepared(df: DataFrame, scaler: Scaler, columns) -> DataFrame:
     scaled = scaler.apply(numeric(df, columns), columns)
     return scaled.withColumn("vector", array_to_vector("features"))
@@ -116,7 +123,8 @@ def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", pa
     rows = stratified_folds(binarise(numeric(df, columns), classes, label), key, folds, label, seed)
     scaler = fit_scaler(rows, columns)
     truths = [truth_column(c) for c in classes]
-    rows = _prepared(rows, scaler, columns).select(*key, label, FOLD, *truths, "features", "vector").persist()
+    rows = _prepared(rows, scaler, columns).select(*key, label, FOLD, *truths, "features", "vector")
+    rows = _packed(rows, scaler.rows).persist()
     bundle = Bundle(dt_class, algo, params, columns, classes, scaler)
 
     # one small row of counts per fold

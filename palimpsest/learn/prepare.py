@@ -30,6 +30,7 @@ class Scaler:
 
     mean: dict
     scale: dict
+    rows: int = 0
 
     def apply(self, df: DataFrame, columns, out: str = "features") -> DataFrame:
         cells = [(F.col(c) - F.lit(self.mean[c])) / F.lit(self.scale[c]) for c in columns]
@@ -38,8 +39,9 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, columns) -> Scaler:
     """One aggregate over all columns; its single row of moments comes to the driver."""
-    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return Scaler({c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)}, {c: row[f"s{i}"] or 1.0 for i, c in enumerate(columns)})
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return Scaler({c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)}, {c: row[f"s{i}"] or 1.0 for i, c in enumerate(columns)},
+                  row["rows"])
 
 
 def label_classes(df: DataFrame, label: str = "label") -> list[str]:

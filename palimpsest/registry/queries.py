@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -830,6 +831,18 @@ def _(log):
 
 # ---- streams --------------------------------------------------------------------------------
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """A stream keeps the partition count it starts with: one per core, if fewer than configured."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("ST1_stream_classified")
 def _(log):
     rows = document_rows(log)
@@ -837,8 +850,9 @@ def _(log):
     run = f"stream_classified/{uuid.uuid4().hex}"
     source, out = log.scratch(f"{run}/in"), log.scratch(f"{run}/out")
     rows.write.parquet(source)
-    stream = classify_stream(change_stream(log.spark, source, rows.schema), bundle, lambda b: b, out, log.scratch(f"{run}/state"))
-    stream.awaitTermination()
+    with state_partitions(log.spark):
+        stream = classify_stream(change_stream(log.spark, source, rows.schema), bundle, lambda b: b, out, log.scratch(f"{run}/state"))
+        stream.awaitTermination()
     done = log.spark.read.parquet(out)
     return done.agg(F.count(F.lit(1)).alias("documents"), F.count_if(L.is_labelled(F.col("label"))).alias("labelled"))
 
@@ -849,8 +863,9 @@ def _(log):
     out, state = log.scratch(f"{run}/out"), log.scratch(f"{run}/state")
     changes = change_stream(log.spark, _table_path(log), log.value_change.schema)
     pairs = reversion_stream(changes, salts=2)
-    pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
-        availableNow=True).start().awaitTermination()
+    with state_partitions(log.spark):
+        pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            availableNow=True).start().awaitTermination()
     first = first_reversions(log.spark.read.parquet(out)).where("first_reversion is not null")
     return first.select("revision_id", F.unix_micros("first_reversion").alias("first_reversion_us"))
 

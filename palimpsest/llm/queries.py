@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import decontaminate, simhash, substrings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,5 +14,42 @@ def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    made = substrings.deduplicated(_table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op6_benchmark_decontamination, op7_substring_dedup)}
+
+ORACLES = {
+    "op6_benchmark_decontamination": r"""
+        WITH texts AS (
+            SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+            UNION ALL
+            SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+        widths AS (SELECT DISTINCT least(5, len(w)) AS k FROM texts WHERE kind = 'b' AND len(w) > 0),
+        places AS (SELECT kind, id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM texts, widths
+                   WHERE kind = 'd' OR k = least(5, len(w))),
+        shingles AS (SELECT DISTINCT kind, id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM places),
+        sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INTEGER AS item_shingles, count(*)::INTEGER AS shared_shingles,
+               count(*)::DOUBLE / any_value(n) AS containment
+        FROM shingles d JOIN shingles b ON d.s = b.s AND d.k = b.k AND d.kind = 'd' AND b.kind = 'b' JOIN sizes ON sizes.id = b.id
+        GROUP BY d.id, b.id HAVING 5 * count(*) >= 4 * any_value(n)""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+                    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)),
+        firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+}

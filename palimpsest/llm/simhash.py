@@ -65,16 +65,15 @@ def _probes(distance: int, count: int):
 
     Two values one bit apart meet in the bucket of the larger, so only half of each ball needs to be sent.
     """
-    keys = []
-    for shift, width, radius in segments(distance, count):
+    def keys(shift: int, width: int, radius: int):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         mine = F.array(value)
         if radius:
-            more = F.array(*[F.lit(1 << b).cast("long") for b in range(width)])
-            mine = F.concat(mine, F.transform(F.filter(more, lambda b, v=value: v.bitwiseAND(b) == 0),
-                                              lambda b, v=value: v.bitwiseOR(b)))
-        keys.append(F.transform(mine, lambda v, s=shift: F.struct(F.lit(s).alias("segment"), v.alias("value"))))
-    return F.concat(*keys)
+            clear = F.filter(F.array(*[F.lit(1 << b).cast("long") for b in range(width)]), lambda bit: value.bitwiseAND(bit) == 0)
+            mine = F.concat(mine, F.transform(clear, lambda bit: value.bitwiseOR(bit)))
+        return F.transform(mine, lambda key: F.struct(F.lit(shift).alias("segment"), key.alias("value")))
+
+    return F.concat(*[keys(*s) for s in segments(distance, count)])
 
 
 def _forest(fp: np.ndarray, check: np.ndarray, ids: np.ndarray, distance: int, check_distance: int):

@@ -1,15 +1,20 @@
 """The queries of this package over a folder of tables, and SQL for those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, simhash, substrings
+from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
@@ -23,7 +28,12 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op6_benchmark_decontamination, op7_substring_dedup)}
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepieces.encoded(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_token_counts, op4_simhash_near_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_sentencepiece)}
 
 ORACLES = {
     "op6_benchmark_decontamination": r"""

@@ -4,13 +4,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, token_counts
+from palimpsest.llm import (
+    ann, decontaminate, sentencepieces, simhash, substrings, token_counts, toolcalls, toxicity, urlgraph, warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: rules of the URL query: verdict, host, path
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+         ("block", "com", "/de/")]
+
+
+def op1_hnsw_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf, "embeddings"))
+
+
+def op2_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    made = toxicity.scored(_table(spark, sf, "documents").select("doc_id", "text"), toxicity.chain_labels(_table(spark, sf, "labels")))
+    return made.drop("text")
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,6 +35,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(_table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -32,10 +52,80 @@ def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepieces.encoded(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op9_url_link_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return urlgraph.judged(_table(spark, sf, "pages"), RULES).drop("trust", "distrust")
+
+
+def op10_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    schemas = spark.sql("""SELECT * FROM VALUES ('lookup', 'query', 'string', true), ('lookup', 'words', 'integer', true),
+        ('answer', 'query', 'string', true), ('answer', 'words', 'integer', true), ('answer', 'lang', 'string', true)
+        AS schemas(tool, parameter, type, required)""")
+    calls, results = toolcalls.exchanges(_table(spark, sf, "conversations"))
+    return toolcalls.formatted(calls, results, schemas).withColumn("problems", F.array_join("problems", "; "))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_token_counts, op4_simhash_near_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_sentencepiece)}
+    op1_hnsw_neighbours, op2_toxicity_chain, op3_token_counts, op4_simhash_near_dedup, op5_warc_archives,
+    op6_benchmark_decontamination, op7_substring_dedup, op8_sentencepiece, op9_url_link_graph, op10_tool_calls)}
+
+
+
+_LINK = r"(?i)href\s*=\s*[\x22\x27]?(?:https?:)?//([^/?#\x22\x27\s<>]+)"
+
+
+def _graph_sql(rounds: int = urlgraph.ROUNDS, damping: float = urlgraph.DAMPING) -> str:
+    """The propagation of op9, a common table expression for each round."""
+    cases = "\n".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'"
+        for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = "".join(f""",
+        r{i} AS MATERIALIZED (SELECT host, kind, sum(rank) AS rank FROM (
+            SELECT dst AS host, s.kind, rank * share * {damping} AS rank FROM steps s JOIN r{i - 1} r ON s.kind = r.kind AND s.src = r.host
+            UNION ALL SELECT host, kind, rank * {1 - damping} FROM r0) GROUP BY host, kind)""" for i in range(1, rounds + 1))
+    return rf"""
+        WITH parts AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        hit AS MATERIALIZED (SELECT *, CASE {cases} END AS hit FROM parts),
+        links AS (SELECT host AS src, {lower.format(f"unnest(regexp_extract_all(html, '{_LINK}', 1))")} AS dst
+            FROM hit WHERE host <> ''),
+        up AS (SELECT DISTINCT host, regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1) AS parent FROM hit WHERE host <> ''),
+        edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM links WHERE src <> dst
+            UNION ALL SELECT host, parent FROM up WHERE parent <> '' UNION ALL SELECT parent, host FROM up WHERE parent <> '') GROUP BY src, dst),
+        both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+        steps AS MATERIALIZED (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+        seeds AS (SELECT host, CASE WHEN hit LIKE 'allow%' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS n FROM hit WHERE hit IS NOT NULL GROUP BY ALL),
+        r0 AS MATERIALIZED (SELECT host, kind, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds){steps},
+        scores AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d
+            FROM r{rounds} GROUP BY host)
+        SELECT page_id, host, path, split_part(hit, '|', 2) AS rule,
+            CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 1) WHEN coalesce(d, 0) > coalesce(t, 0) * {urlgraph.FACTOR} THEN 'block' ELSE 'allow' END AS verdict
+        FROM hit LEFT JOIN scores USING (host)"""
+
 
 ORACLES = {
+    "op5_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+              min(page_id) OVER (PARTITION BY h) AS head FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to FROM d""",
+    "op9_url_link_graph": _graph_sql(),
+    "op10_tool_calls": r"""
+        WITH RECURSIVE t AS (SELECT conv_id AS conversation, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations),
+        calls AS (SELECT 'call_' || conversation || '_' || turn AS call_id, conversation, turn, CASE WHEN words <= 20 THEN 'lookup' ELSE 'answer' END AS name, text, words,
+                  CASE WHEN turn >= 2 THEN 'call_' || conversation || '_' || (turn - 2) END AS parent FROM t WHERE role = 'user'),
+        levels AS (SELECT call_id, 0 AS level FROM calls WHERE parent IS NULL OR parent NOT IN (SELECT call_id FROM calls)
+                   UNION ALL SELECT c.call_id, level + 1 FROM levels l JOIN calls c ON c.parent = l.call_id),
+        answers AS (SELECT 'call_' || conversation || '_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS results FROM t WHERE role = 'assistant' GROUP BY ALL),
+        told AS (SELECT c.*, level, content, coalesce(results, 0)::BIGINT AS results,
+                 concat_ws('; ', CASE WHEN name = 'answer' THEN 'missing lang' END, CASE WHEN level = 0 AND parent IS NOT NULL THEN 'unknown parent' END) AS problems
+                 FROM calls c JOIN levels USING (call_id) LEFT JOIN answers USING (call_id))
+        SELECT conversation, turn, call_id, level::BIGINT AS level, CASE WHEN results = 0 THEN 'pending' ELSE 'linked' END AS status, results, problems,
+               problems = '' AS valid,
+               '{"arguments":{"query":' || to_json(text) || ',"words":' || words || '},"id":"' || call_id || '","name":"' || name || '"' ||
+               CASE WHEN parent IS NOT NULL THEN ',"parent":"' || parent || '"' ELSE '' END ||
+               CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}' AS message FROM told""".replace("\\\\x", "\\x"),
     "op6_benchmark_decontamination": r"""
         WITH texts AS (
             SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -40,11 +40,17 @@ class Words:
         weight = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _BASE, np.uint64)]))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * weight[:-1])])
         back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _INVERSE, np.uint64)]))
-        self.hash = mixed((total[self.end] - total[self.start]) * back[self.start])
+        self._total, self._back = total, back
+        self.hash = self.prefix(None)
 
     def __len__(self):
         return len(self.start)
 
+    def prefix(self, size: int | None) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word, of the whole word if it is shorter or ``size`` is None."""
+        end = self.end if size is None else np.minimum(self.end, self.start + size)
+        return mixed((self._total[end] - self._total[self.start]) * self._back[self.start])
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; sequences that leave their row have a hash too, see :meth:`inside`."""
         count = max(0, len(self) - n + 1)

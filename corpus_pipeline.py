@@ -1,14 +1,76 @@
 """The corpus pipeline: documents through the stages in order, each written as Parquet and read again."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, toxicity
+from palimpsest.llm.common import stored
+
+#: near copies: fingerprints of five-word shingles within 8 of 64 bits, and within 16 of 64 others, so that chance agrees in none
+NEAR = {"words": 5, "distance": 8, "count": 6, "check_distance": 16}
+#: words of a passage that is cut where an earlier document has it too
+PASSAGE = 50
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    labels = toxicity.chain_labels(_table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, labels).where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id. Of rows that repeat this doc_id one stays,
+    whichever; rows without a doc_id all stay."""
+    judged = simhash.near_duplicates(docs, **NEAR).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("component_id").alias("_head"), F.count("*").alias("_n"))
+    judged = stored(judged, "judged")
+    gone = judged.where("_head < _id").select("_id")
+    again = judged.where("_head = _id and _n > 1").select("_id")
+    match = docs["doc_id"] == F.col("_id")
+    once = docs.join(again, match, "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(gone.unionByName(again), match, "left_anti").unionByName(once)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one has too; where words go, the others are joined by one space."""
+    made = substrings.deduplicated(docs, PASSAGE)
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return made.withColumns(new).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece ids, their number and digest, and whether decoding gives the text back."""
+    return sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+
+#: neither the classifier nor the pieces can be expressed in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the table documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,7 +77,26 @@ def _probes(distance: int, count: int):
 
 
 def _forest(fp: np.ndarray, check: np.ndarray, ids: np.ndarray, distance: int, check_distance: int):
-    """Edges of a spanning forest of the links within one bucket; each row is compared with what is still unreached."""
+    """Edges that connect what is linked within one bucket, not more than a few per row.
+
+    Most buckets hold few links: all pairs are compared, and links are the result as long as there are no more than four
+    per row. Else a spanning forest is: each row reached is compared with what is still unreached.
+    """
+    heads, tails, count = [], [], 0
+    step = max(1, (1 << 21) // len(fp))
+    for s in range(0, len(fp), step):
+        near = np.bitwise_count(fp[s:s + step, None] ^ fp[None, s:]) <= distance
+        if check_distance < 64:
+            near &= np.bitwise_count(check[s:s + step, None] ^ check[None, s:]) <= check_distance
+        a, b = np.nonzero(near)
+        a, b = a[a < b], b[a < b]
+        heads.append(ids[s + a])
+        tails.append(ids[s + b])
+        count += len(a)
+        if count > 4 * len(fp):
+            break
+    else:
+        return heads, tails
     left = np.arange(len(fp))
     heads, tails = [], []
     while len(left):

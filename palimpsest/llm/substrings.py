@@ -241,18 +241,18 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
     Words ``[^\\x20\\x09-\\x0D]+`` stay unchanged. A word goes if one of the windows of ``length`` words that cover it
     has a word sequence which also starts in a document with a smaller doc_id; windows are judged on the input. NULL,
     empty and short texts have no window and lose nothing (``kept`` of NULL is ''). A NULL doc_id takes no part. Rows that
-    repeat a doc_id do not count as earlier than one another. Ties cannot occur: only a smaller id counts. Extra columns
-    must not be called kept, n_words or n_removed. Empty input: empty.
+    repeat a doc_id do not count as earlier than one another. Ties cannot occur: only a smaller id counts. Input columns
+    with the names of the new ones give way. Empty input: empty.
 
     Windows are dealt to shards by the smallest hash of the word grams they hold, so equal windows meet. A first pass
     finds minimizers of two documents or more and keeps them as a filter of bounded size; only spans under those travel.
     Each shard's distinct spans make a suffix automaton, in order of documents, and stream through it for matching
     statistics.
     """
-    places = repeated_windows(docs, length).withColumnsRenamed({"doc_id": "_doc", "th": "_th"})
-    text = F.col("text").cast("string")
-    rows = docs.join(places, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_th")), "left")
-    rows = rows.select(*[docs[c] for c in docs.columns], F.col("places").alias("_places"))
+    docs = docs.drop("kept", "n_words", "n_removed")
+    places = repeated_windows(docs, length)
+    rows = docs.join(places, (docs["doc_id"].cast("long") == places["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == places["th"]), "left")
+    rows = rows.select(*[docs[c] for c in docs.columns], places["places"])
     at = docs.columns.index("text")
     schema = T.StructType(list(docs.schema.fields) + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
                                                       T.StructField("n_removed", T.LongType())])

@@ -147,13 +147,14 @@ def scored(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("l
 
     labels: doc_id and a 0/1 column per category; rows with a NULL among these are left out, of rows that repeat an id the
     larger values count. NULL and empty texts have probability 0. Without labelled rows nothing is rejected. Rows
-    that repeat a doc_id are scored one by one. Other columns stay as they are; they must not have the names of the new
-    ones. Scoring streams whole texts and shuffles nothing; the models' size is fixed (one weight per hashed feature).
+    that repeat a doc_id are scored one by one. Other columns stay as they are; those with the names of the new ones give
+    way. Scoring streams whole texts and shuffles nothing; the models' size is fixed (one weight per hashed feature).
     """
     categories = list(categories)
     chain = docs.sparkSession.sparkContext.broadcast([(m.weights.astype(np.float32), m.dense, m.bias) for m in train(docs, labels, categories, sample)])
-    at = docs.columns.index("text")
     names = [f"p_{c}" for c in categories]
+    docs = docs.drop(*names, "rejected")
+    at = docs.columns.index("text")
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("rejected", T.BooleanType())])
 
     def run(batches):

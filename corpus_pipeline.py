@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, toxicity
 from palimpsest.llm.common import stored
 
-#: near copies: fingerprints of five-word shingles within 8 of 64 bits, and within 16 of 64 others, so that chance agrees in none
-NEAR = {"words": 5, "distance": 8, "count": 6, "check_distance": 16}
+#: near copies: found by fingerprints of their distinct words within 8 of 64 bits, and held to be copies if those of their
+#: five-word shingles are within 14, which texts of similarity 0.8 and more are
+NEAR = {"words": 1, "distinct": True, "distance": 8, "count": 6, "check_words": 5, "check_distance": 14}
 #: words of a passage that is cut where an earlier document has it too
 PASSAGE = 50
 

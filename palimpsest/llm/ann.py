@@ -163,7 +163,7 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     shards = max(1, -(-few.count() // shard))
     dealt = few.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
 
-    def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.embedding.to_numpy()).astype(np.float32)
         order = np.lexsort((pdf.ids.map(lambda i: i[0]).to_numpy(),))  # the same graph however rows arrive
         x, ids = x[order], pdf.ids.to_numpy()[order]

@@ -16,29 +16,32 @@ _BUCKET = 20_000
 _SEED = 42
 
 
-def fingerprint(text: bytes | None, words: int) -> tuple[int, int]:
-    """Two SimHash words of the shingles of a text: of their XXH64, and of a mix of it. No words: (0, 0)."""
-    tokens = (text or b"").lower().split()
+def _simhash(tokens: list[bytes], words: int, distinct: bool) -> int:
+    """The SimHash of the ``words``-word shingles of a text, as a signed 64-bit number; 0 without words."""
     n = max(1, len(tokens) - words + 1) if tokens else 0
-    votes = np.zeros(128, np.int64)
+    if distinct:
+        shingles = list({b" ".join(tokens[i:i + words]) for i in range(n)})
+        n = len(shingles)
+    votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for start in range(0, n, _BLOCK):
-        h = np.fromiter((digest(b" ".join(tokens[i:i + words]), _SEED) for i in range(start, min(n, start + _BLOCK))), np.uint64)
-        mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        pair = np.stack([h, mixed ^ (mixed >> np.uint64(29))], axis=1).byteswap()
-        votes += np.unpackbits(pair.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    first, second = np.packbits(2 * votes > n).view(">u8").astype(np.uint64).view(np.int64).tolist()
-    return first, second
+        part = shingles[start:start + _BLOCK] if distinct else (
+            b" ".join(tokens[i:i + words]) for i in range(start, min(n, start + _BLOCK)))
+        h = np.fromiter((digest(x, _SEED) for x in part), np.uint64).byteswap()
+        votes += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n).view(">u8").astype(np.uint64).view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp, check) of whole texts. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``."""
+def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False, check_words: int = 0) -> DataFrame:
+    """(doc_id, fp, check) of whole texts. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. ``check`` is a second
+    fingerprint, of shingles of ``check_words`` words with repeats, or 0."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()),
                            T.StructField("check", T.LongType())])
 
     def run(ids, texts):
-        made = [fingerprint(t, words) for t in texts]
-        return {"doc_id": ids, "fp": [a for a, _ in made], "check": [b for _, b in made]}
+        tokens = [(t or b"").lower().split() for t in texts]
+        return {"doc_id": ids, "fp": [_simhash(t, words, distinct) for t in tokens],
+                "check": [_simhash(t, check_words, False) if check_words else 0 for t in tokens]}
 
     return map_texts(docs, "doc_id", "text", run, schema)
 
@@ -185,22 +188,21 @@ def links(classes: DataFrame, distance: int, count: int, check_distance: int = 6
         run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, count: int = 3, check_distance: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, count: int = 3, distinct: bool = False,
+                    check_words: int = 0, check_distance: int = 64) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
-    Texts become ``words``-word shingles, repeats included (fewer words: the whole sequence); a fingerprint bit is set
-    if it is set in over half of the shingles' XXH64. Fingerprints link at ``distance`` or fewer differing bits, and
-    at ``check_distance`` in a second, independent word. NULL and empty texts have fingerprint 0 and link like any other.
-    Equal fingerprints are one class before anything is compared. A row without doc_id gets its fingerprint and a NULL
-    component_id; rows that repeat a doc_id are kept and share links. Other columns are not read. Empty input: empty.
+    Texts become ``words``-word shingles, with repeats unless ``distinct`` (fewer words: the whole sequence); a fingerprint
+    bit is set if it is set in over half of the shingles' XXH64. Fingerprints link at ``distance`` or fewer differing
+    bits; with ``check_words``, only if fingerprints of shingles of so many words also differ in at most
+    ``check_distance`` bits. NULL and empty texts have fingerprint 0 and link like any other. Equal fingerprints are one
+    class before anything is compared. A row without doc_id gets its fingerprint and a NULL component_id; rows that repeat
+    a doc_id are kept and share links. Other columns are not read. Empty input: empty.
     """
-    made = stored(fingerprints(docs, words), "fingerprints")
-    classes = stored(made.where("doc_id is not null").groupBy("fp", "check" if check_distance < 64 else F.lit(0).cast("long").alias("check"))
-                     .agg(F.min("doc_id").alias("id")), "classes")
+    made = stored(fingerprints(docs, words, distinct, check_words), "fingerprints")
+    classes = stored(made.where("doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("id")), "classes")
     roots = components(links(classes, distance, count, check_distance))
     found = classes.join(roots, classes.id == roots.node, "left").select("fp", "check", F.coalesce("root", "id").alias("component_id"))
-    same = [F.col("d.fp") == F.col("c.fp"), F.col("d.doc_id").isNotNull()]
-    if check_distance < 64:
-        same.append(F.col("d.check") == F.col("c.check"))
+    same = (F.col("d.fp") == F.col("c.fp")) & (F.col("d.check") == F.col("c.check")) & F.col("d.doc_id").isNotNull()
     return made.alias("d").join(found.alias("c"), same, "left").select(
         "d.doc_id", F.lower(F.lpad(F.hex("d.fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.domain import AXES, CHANGE_KEY
 from palimpsest.functions.labels import blank_unchanged, is_pending, pick_labels
-from palimpsest.learn.neighbours import neighbour_shares, weighted_points
+from palimpsest.learn.neighbours import neighbour_shares, send_points, weighted_points
 from palimpsest.learn.prepare import FOLD, Scaler, binarise, fit_scaler, label_classes, numeric, stratified_folds, truth_column
 from palimpsest.operators.evaluation import label_metrics
+from palimpsest.session import shared_dir
 from palimpsest.sources.store import write_back
 
 # Best parameters found so far per algorithm and class (fixed values).
@@ -57,18 +58,37 @@ class Bundle:
     scaler: Scaler
     models: dict = field(default_factory=dict)
     points: dict = field(default_factory=dict)
+    sent: dict = field(default_factory=dict)  # points of each fold as a broadcast, made once
 
     @property
     def folds(self) -> list[int]:
         return sorted(self.points or {fold for fold, _ in self.models})
 
 
+def _depth(asked: int | None) -> int:
+    """None is as deep as Spark can; more than that is refused."""
+    if asked is not None and not 0 <= asked <= _DEEPEST:
+        raise ValueError(f"a depth of {asked}: Spark builds trees of up to {_DEEPEST} levels")
+    return _DEEPEST if asked is None else asked
+
+
+def _trainable(combos: list[dict]) -> list[dict]:
+    """Without combinations that Spark cannot tell apart: depths beyond its limit are its limit, once."""
+    seen, out = [], []
+    for c in combos:
+        same = c | ({"depth": min(c["depth"] or _DEEPEST, _DEEPEST)} if "depth" in c else {})
+        if same not in seen:
+            seen.append(same)
+            out.append(same)
+    return out
+
+
 def _fit_one(rows: DataFrame, algo: str, params: dict, label: str, positives: int, total: int, seed: int):
     """A model for one class, or its constant probability where only one outcome occurs."""
     if positives in (0, total):
         return float(positives > 0)
     truth = truth_column(label)
-    depth = min(params.get("depth") or _DEEPEST, _DEEPEST)
+    depth = _depth(params.get("depth"))
     shared = {"featuresCol": "vector", "labelCol": truth, "seed": seed, "maxDepth": depth}
     if algo == "random_forest":
         weight = F.when(F.col(truth) == 1, total / (2 * positives)).otherwise(total / (2 * (total - positives)))
@@ -78,13 +98,6 @@ def _fit_one(rows: DataFrame, algo: str, params: dict, label: str, positives: in
     return GBTClassifier(**shared, maxIter=params.get("trees", 50)).fit(rows)
 
 
-def _packed(rows: DataFrame, count: int, per_partition: int = 20_000) -> DataFrame:
-    """A small training set in few partitions: every tree level is a pass over all of them."""
-    wanted = max(1, -(-count // per_partition))
-    have = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.coalesce(wanted) if wanted < have else rows
-
-
 def _prepared(df: DataFrame, scaler: Scaler, columns) -> DataFrame:
     scaled = scaler.apply(numeric(df, columns), columns)
     return scaled.withColumn("vector", array_to_vector("features"))
@@ -102,7 +115,9 @@ def _fold_probabilities(df: DataFrame, bundle: Bundle, fold: int) -> DataFrame:
     """Add p_{fold}_{i} for every class i."""
     names = [f"p_{fold}_{i}" for i in range(len(bundle.classes))]
     if bundle.algo == "kn":
-        shares = neighbour_shares(df, bundle.points[fold], bundle.params.get("k", 5), "_shares")
+        if fold not in bundle.sent:
+            bundle.sent[fold] = send_points(bundle.points[fold])
+        shares = neighbour_shares(df, bundle.sent[fold], bundle.params.get("k", 5), "_shares")
         return shares.select("*", *[F.col("_shares")[i].alias(n) for i, n in enumerate(names)]).drop("_shares")
     for i, label in enumerate(bundle.classes):
         df = _probability(df, bundle.models[(fold, label)], names[i])
@@ -111,11 +126,12 @@ def _fold_probabilities(df: DataFrame, bundle: Bundle, fold: int) -> DataFrame:
 
 def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", params: dict | None = None, folds: int = 5,
           key=CHANGE_KEY, label: str = "label", threshold: float = 0.5, seed: int = 42, parallelism: int = 4,
-          classes=None) -> tuple[Bundle, DataFrame]:
+          classes=None, partitions: int | None = None) -> tuple[Bundle, DataFrame]:
     """Fit one model per fold and class; returns the bundle and the held-out predictions.
 
     The predictions hold key, fold, the label, the 0/1 truths and ``predicted_labels``. The
-    scaler is fitted on all rows before they are cut into folds.
+    scaler is fitted on all rows before they are cut into folds. The prepared rows are a
+    checkpoint, in ``partitions`` parts if that is given: every tree level is a pass over them.
     """
     params = params or KNOWN_PARAMS.get(algo, {}).get(dt_class, {})
     columns, key = list(columns), list(key)
@@ -124,7 +140,8 @@ def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", pa
     scaler = fit_scaler(rows, columns)
     truths = [truth_column(c) for c in classes]
     rows = _prepared(rows, scaler, columns).select(*key, label, FOLD, *truths, "features", "vector")
-    rows = _packed(rows, scaler.rows).persist()
+    shared_dir(df.sparkSession)
+    rows = (rows.repartition(partitions) if partitions else rows).checkpoint()
     bundle = Bundle(dt_class, algo, params, columns, classes, scaler)
 
     # one small row of counts per fold
@@ -188,7 +205,7 @@ def grid_search(df: DataFrame, dt_class: str, columns, algo: str, grid: dict | N
     for name, values in (grid or GRIDS[algo]).items():
         combos = [c | {name: v} for c in combos for v in values]
     best, best_score = None, -1.0
-    for params in combos:
+    for params in _trainable(combos):
         bundle, predictions = train(df, dt_class, columns, algo, params, folds, **options)
         score = exact_match(predictions, bundle.classes)
         if score > best_score:

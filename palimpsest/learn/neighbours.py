@@ -1,9 +1,7 @@
-"""Exact k-nearest-neighbour class shares as a Spark job.
+"""Exact k-nearest-neighbour class shares.
 
-Equal training points are counted once with a weight, and equal queries are answered
-once, so masses of copies cost nothing. A training set within a checked size is sent to
-all tasks. A larger one is cut into cells around pivots; a query visits only cells that
-can hold one of its k nearest points (triangle inequality), in blocks of bounded size.
+Equal training points are counted once with a weight. The distinct points are sent to all
+tasks once per bundle, under a bound in bytes; queries are answered where they are.
 """
 
 import numpy as np
@@ -13,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.shipping import by_value
-from palimpsest.session import shared_dir
 
 by_value(__name__)
 
 _SHARES = T.ArrayType(T.DoubleType())
+#: bytes of training points (rows x numbers x 8) that may be sent to all tasks
+MOST_BYTES = 512 << 20
 
 
 def weighted_points(df: DataFrame, truths) -> DataFrame:
@@ -57,21 +56,23 @@ def _vote(dist, ys, weights, k):
     return (taken[:, :, None] * ys[near]).sum(axis=1) / total
 
 
-def neighbour_shares(queries: DataFrame, points: DataFrame, k: int, out: str = "shares", small: int = 100_000,
-                     pivots: int = 256, block: int = 20_000) -> DataFrame:
-    """Add the share of each class among the k nearest training points of ``features``."""
-    total = points.count()
-    if total <= small:
-        return queries.withColumn(out, _broadcast_vote(points, k)(F.col("features")))
-    shares = _cell_shares(queries.select("features").distinct(), points, k, out, pivots, block)
-    return queries.join(shares, "features")
+def send_points(points: DataFrame, most_bytes: int = MOST_BYTES):
+    """The points as a broadcast, sorted by hash; more than ``most_bytes`` of them is an error, never another method.
 
+    Reduce the labelled rows that are used to fit, or raise the bound, if it does not fit.
+    """
+    rows, wide = points.agg(F.count(F.lit(1)), F.max(F.size("features") + F.size("ys"))).first()
+    if rows * ((wide or 0) + 2) * 8 > most_bytes:
+        raise ValueError(f"{rows} training points of {wide} numbers exceed {most_bytes} bytes")
+    if not rows:
+        raise ValueError("no training points")
+    table = points.orderBy("h").toPandas()
+    return points.sparkSession.sparkContext.broadcast((
+        np.stack(table["features"].to_numpy()), np.stack(table["ys"].to_numpy()), table["w"].to_numpy()))
 
-def _broadcast_vote(points: DataFrame, k: int):
-    rows = points.orderBy("h").toPandas()
-    sent = points.sparkSession.sparkContext.broadcast((
-        np.stack(rows["features"].to_numpy()), np.stack(rows["ys"].to_numpy()), rows["w"].to_numpy()))
 
+def neighbour_shares(queries: DataFrame, sent, k: int, out: str = "shares") -> DataFrame:
+    """Add the share of each class among the k nearest training points of ``features``; ``sent`` is from send_points."""
     @F.pandas_udf(_SHARES)
     def vote(features: pd.Series) -> pd.Series:
         known, ys, w = sent.value
@@ -82,73 +83,4 @@ def _broadcast_vote(points: DataFrame, k: int):
         parts = [_vote(_distances(asked[i:i + step], known), ys, w, k) for i in range(0, len(asked), step)]
         return pd.Series(list(np.concatenate(parts)))
 
-    return vote
-
-
-def _cell_shares(queries: DataFrame, points: DataFrame, k: int, out: str, pivots: int, block: int) -> DataFrame:
-    spark = points.sparkSession
-    shared_dir(spark)
-    centres = np.stack([r["features"] for r in points.orderBy("h").limit(pivots).select("features").collect()])
-    sent = spark.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("cell int, far double")
-    def place(features: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(features.to_numpy()), sent.value)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "far": d[np.arange(len(d)), cell]})
-
-    placed = points.withColumn("_at", place("features")).select("*", "_at.cell", "_at.far").drop("_at").checkpoint()
-    # one row per pivot
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("reach")).toPandas()
-    chunks = np.maximum(1, np.ceil(cells["n"].to_numpy() / block)).astype(int)
-    salts = max(1, -(-queries.count() // block))
-    plan = spark.sparkContext.broadcast((cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["reach"].to_numpy()))
-
-    @F.pandas_udf("array<int>")
-    def visits(features: pd.Series) -> pd.Series:
-        cell, n, reach = plan.value
-        d = _distances(np.stack(features.to_numpy()), sent.value)[:, cell]
-        worst = d + reach
-        order = np.argsort(worst, axis=1)
-        enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
-        bound = np.take_along_axis(worst, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
-        near = d - reach <= bound * (1 + 1e-9)
-        return pd.Series([cell[row].astype("int32") for row in near])
-
-    parts = spark.createDataFrame([(int(c), int(x)) for c, x in zip(cells["cell"], chunks)], "cell int, chunks int")
-    parts = F.broadcast(parts)
-    asked = queries.select("features", F.explode(visits("features")).alias("cell")).join(parts, "cell").select(
-        "features", "cell", F.pmod(F.xxhash64("features"), F.lit(salts)).alias("salt"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"))
-    held = placed.join(parts, "cell").select(
-        F.col("features").alias("point"), "ys", "w", "h", "cell", F.pmod(F.col("h"), F.col("chunks")).cast("long").alias("chunk"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-
-    def candidates(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if ask.empty or have.empty:
-            return pd.DataFrame({"features": [], "near": []}, dtype=object)
-        have = have.sort_values("h")
-        known, ys = np.stack(have["point"].to_numpy()), have["ys"].to_numpy()
-        w, h = have["w"].to_numpy(), have["h"].to_numpy()
-        rows = []
-        features = ask["features"].to_numpy()
-        step = max(1, (1 << 22) // len(known))
-        for i in range(0, len(features), step):
-            d = _distances(np.stack(features[i:i + step]), known)
-            for j, near in enumerate(_nearest(d, k)):
-                rows.append([{"d": d[j, p], "h": h[p], "w": w[p], "ys": ys[p]} for p in near])
-        return pd.DataFrame({"features": list(features), "near": rows})
-
-    keys = ["cell", "chunk", "salt"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
-        candidates, "features array<double>, near array<struct<d:double,h:bigint,w:bigint,ys:array<double>>>")
-    # at most k candidates from each block a query visits
-    merged = found.groupBy("features").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    start = F.struct(F.lit(k).cast("bigint").alias("left"), F.transform(F.col("near")[0]["ys"], lambda y: y * 0).alias("sums"))
-
-    def add(state, c):
-        take = F.least(c["w"], state["left"])
-        return F.struct((state["left"] - take).alias("left"), F.zip_with(state["sums"], c["ys"], lambda a, y: a + y * take).alias("sums"))
-
-    shares = F.aggregate("near", start, add, lambda s: F.transform(s["sums"], lambda x: x / (F.lit(k) - s["left"])))
-    return merged.select("features", shares.alias(out))
+    return queries.withColumn(out, vote(F.col("features")))

@@ -25,12 +25,11 @@ _FINE = 64  # spans per floor of rows: few rounds for bursts, and still one summ
 class Split:
     """When to cut a key: above ``floor`` rows, what one task may order on its own.
 
-    At most ``max_hot`` keys are cut (each holds more than 1/max_hot of all rows), which
-    bounds the table of hot keys that is broadcast.
+    The bound does not grow with the data. The table of hot keys has at most one row per
+    ``floor`` rows; Spark broadcasts it where it is small and shuffles it where it is not.
     """
 
     floor: int = 1_000_000
-    max_hot: int = 100_000
 
 
 DEFAULT_SPLIT = Split()
@@ -55,20 +54,19 @@ def _hot(df: DataFrame, groups, order: str, split: Split) -> DataFrame | None:
     """The groups to cut with their first order value and span width, or None; looks at one row of totals."""
     sized = df.groupBy(*groups).agg(*_stats(order))
     can = F.col("_hi") > F.col("_lo")
-    total, most = sized.agg(F.sum("_n"), F.max(F.when(can, F.col("_n")))).first()
-    limit = max(split.floor, (total or 0) // split.max_hot)
-    if not most or most <= limit:
+    most = sized.agg(F.max(F.when(can, F.col("_n")))).first()[0]
+    if not most or most <= split.floor:
         return None
     pieces = F.ceil(F.col("_n") / F.lit(split.floor)) * _FINE
     width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces).cast("bigint")
-    return sized.where(can & (F.col("_n") > limit)).select(*groups, "_lo", width.alias("_width"))
+    return sized.where(can & (F.col("_n") > split.floor)).select(*groups, "_lo", width.alias("_width"))
 
 
 def _cut(df: DataFrame, hot: DataFrame, on, order: str, how: str) -> DataFrame:
     """Set ``_chunk`` of the hot groups' rows to the start of their span."""
     tags = [f"_g{i}" for i in range(len(on))]
     right = hot.select(*[F.col(k).alias(t) for k, t in zip(on, tags)], "_lo", "_width")
-    joined = df.join(F.broadcast(right), [F.col(k) == F.col(t) for k, t in zip(on, tags)], how)
+    joined = df.join(right, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(on, tags)], how)
     start = F.expr(f"_lo + ((`{order}` - _lo) div _width) * _width")
     return joined.select(*[c for c in df.columns if c != CHUNK], F.coalesce(start, F.col(CHUNK)).alias(CHUNK))
 
@@ -79,7 +77,7 @@ def with_chunk(df: DataFrame, keys, order: str, split: Split | None = DEFAULT_SP
     A hot key is cut into equal spans of ``order`` (BIGINT), and a span that is itself
     above the floor (a burst) again, until all are small or hold a single order value.
     Each further round looks at the hot rows only. Chunks of a coarse key also serve any
-    finer key. Key columns must not be NULL.
+    finer key. NULL is a key like any other.
     """
     if split is None or CHUNK in df.columns:
         return df, split
@@ -108,7 +106,7 @@ def _carry_join(df: DataFrame, carry: DataFrame, keys) -> DataFrame:
     tags = [f"_c{i}" for i in range(len(keys) + 1)]
     right = carry.select(*[F.col(k).alias(t) for k, t in zip([*keys, CHUNK], tags)],
                          *[c for c in carry.columns if c not in (*keys, CHUNK)])
-    cond = [F.col(k) == F.col(t) for k, t in zip([*keys, CHUNK], tags)]
+    cond = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip([*keys, CHUNK], tags)]
     return df.join(right, cond, "left").drop(*tags)
 
 

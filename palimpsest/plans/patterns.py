@@ -21,12 +21,12 @@ def _total(condition):
 
 
 def oscillations(features_entity: DataFrame, revision: DataFrame, at_least: int = 2, arrow: str = " -> ",
-                 segment: int = 10_000, split: Split | None = DEFAULT_SPLIT) -> DataFrame:
-    """Statements whose value swings between refinement and unrefinement, with the sequence of swings.
+                 split: Split | None = DEFAULT_SPLIT) -> DataFrame:
+    """Swings of statements whose value moves between refinement and unrefinement at least ``at_least`` times.
 
-    The sequence comes as an array in time order. A statement with more than ``segment``
-    swings has one row per ``segment`` of them (0-based number ``part``), each repeating the
-    statement's full count, so no row grows without bound.
+    One row per swing: its ``position`` in time order within the statement, the statement's
+    ``oscillation_count`` and the ``swing`` itself, most swings first. Rows stay small
+    however often a statement swings.
     """
     ties = ["revision_id", "old_value_label", "new_value_label"]
     kept = features_entity.where("label in ('refinement', 'unrefinement') and is_reverted = 0").select(
@@ -36,14 +36,13 @@ def oscillations(features_entity: DataFrame, revision: DataFrame, at_least: int
     following = adjacent(changes, _KEY, "us", ties + ["label"], {"next_label": (1, "label")}, split)
     swings = following.where("label <> next_label")
     keys = [*_KEY, "property_label"]
-    placed = position(swings, keys, "us", ties, "_rn", split)
+    placed = position(swings, keys, "us", ties, "position", split)
+    counts = swings.groupBy(*keys).agg(F.count(F.lit(1)).alias("oscillation_count")).where(F.col("oscillation_count") >= at_least)
+    right = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "oscillation_count")
+    joined = placed.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     step = F.concat("old_value_label", F.lit(arrow), "new_value_label")
-    parts = placed.groupBy(*keys, ((F.col("_rn") - 1) / segment).cast("bigint").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", step.alias("s")))), lambda x: x["s"]).alias("change_sequence"))
-    # a statement has one row per segment here
-    total = F.sum(F.size("change_sequence")).over(Window.partitionBy(*keys))
-    counted = parts.withColumn("oscillation_count", total).where(F.col("oscillation_count") >= at_least)
-    return counted.select(*keys, "oscillation_count", "part", "change_sequence")
+    return joined.select(*keys, "oscillation_count", "position", step.alias("swing")).orderBy(
+        F.desc("oscillation_count"), *keys, "position")
 
 
 def quantity_unrefinement(features_quantity: DataFrame) -> DataFrame:

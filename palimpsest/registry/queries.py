@@ -185,8 +185,7 @@ def _(log):
 
 @query("A9_oscillations")
 def _(log):
-    df = patterns.oscillations(log.features_entity, log.revision)
-    return big(df.withColumn("change_sequence", F.concat_ws("; ", "change_sequence")).drop("part"))
+    return big(patterns.oscillations(log.features_entity, log.revision))
 
 
 @query("A10_general_counts")
@@ -832,11 +831,11 @@ def _(log):
 # ---- streams --------------------------------------------------------------------------------
 
 @contextmanager
-def state_partitions(spark: SparkSession):
-    """A stream keeps the partition count it starts with: one per core, if fewer than configured."""
+def state_partitions(spark: SparkSession, count: int = 8):
+    """A stream keeps for life the number of state partitions that it starts with, so it is named, not found."""
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    spark.conf.set(name, count)
     try:
         yield
     finally:
@@ -860,16 +859,28 @@ def _(log):
 @query("ST2_stream_reversions")
 def _(log):
     run = f"stream_reversions/{uuid.uuid4().hex}"
-    out, state = log.scratch(f"{run}/out"), log.scratch(f"{run}/state")
-    changes = change_stream(log.spark, _table_path(log), log.value_change.schema)
-    pairs = reversion_stream(changes, salts=2)
+    out, state, source = (log.scratch(f"{run}/{x}") for x in ("out", "state", "in"))
+    _in_time_order(log.value_change, source, files=4)
+    pairs = reversion_stream(change_stream(log.spark, source, log.value_change.schema, files_per_batch=1), salts=2)
     with state_partitions(log.spark):
-        pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
-            availableNow=True).start().awaitTermination()
+        stream = pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    progress = [p for p in stream.recentProgress if p["numInputRows"]]
+    late = sum(s["numRowsDroppedByWatermark"] for p in stream.recentProgress for s in p["stateOperators"])
+    if len(progress) < 2 or late:
+        raise ValueError(f"{len(progress)} batches, {late} rows dropped as late")
     first = first_reversions(log.spark.read.parquet(out)).where("first_reversion is not null")
     return first.select("revision_id", F.unix_micros("first_reversion").alias("first_reversion_us"))
 
 
-def _table_path(log: ChangeLog) -> str:
-    log.value_change  # noqa: B018 - written on first use
-    return log.scratch("value_change")
+def _in_time_order(changes: DataFrame, path: str, files: int) -> None:
+    """The changes as files that follow each other in time, as a log arrives."""
+    at = F.unix_micros("timestamp")
+    cuts = changes.agg(F.percentile_approx(at, [i / files for i in range(1, files)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = changes
+        if low is not None:
+            part = part.where(at > low)
+        if high is not None:
+            part = part.where(at <= high)
+        part.coalesce(1).write.mode("append").parquet(path)

@@ -7,30 +7,35 @@ from palimpsest.domain import CHANGE_KEY
 
 
 def load_or_compute(spark: SparkSession, path: str, compute, reload: bool = False, partition_by=()) -> DataFrame:
-    """Read a stored parquet result, or compute and store it when absent or ``reload`` is set."""
-    if not reload:
-        try:
-            return spark.read.parquet(path)
-        except Exception as missing:  # noqa: BLE001 - only an absent path falls through
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+    """Read a stored parquet result, or compute and store it when absent or ``reload`` is set.
+
+    Only a folder whose write was finished counts: Spark marks it with ``_SUCCESS``.
+    """
+    if not reload and _finished(spark, path):
+        return spark.read.parquet(path)
     compute().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_back(facts: DataFrame, predictions: DataFrame, label: str = "label", predicted: str = "predicted_labels",
                key=CHANGE_KEY) -> DataFrame:
     """Facts with the label replaced where a prediction with the same key exists.
 
     A prediction of NULL means "nothing to report" and replaces the label too, so a marker
-    tells it from an absent prediction. A NULL in the last key column equals ''.
+    tells it from an absent prediction. A NULL in the last key column equals ''. Of several
+    predictions for one key the greatest counts, and NULL only if there is no other.
     """
     def keyed(df):
         return [F.coalesce(F.col(k), F.lit("")) if k == key[-1] else F.col(k) for k in key]
 
     tags = [f"_k{i}" for i in range(len(key))]
-    right = predictions.select(*[c.alias(t) for c, t in zip(keyed(predictions), tags)], F.col(predicted).alias("_new"),
-                               F.lit(True).alias("_hit"))
+    right = predictions.groupBy(*[c.alias(t) for c, t in zip(keyed(predictions), tags)]).agg(
+        F.max(predicted).alias("_new"), F.lit(True).alias("_hit"))
     cond = [c == F.col(t) for c, t in zip(keyed(facts), tags)]
     chosen = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(label)).alias(label)
     return facts.join(right, cond, "left").select(*[chosen if c == label else F.col(c) for c in facts.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.domain import GOLD_SCHEMA
 from palimpsest.learn import classifiers, prepare
-from palimpsest.learn.neighbours import neighbour_shares, weighted_points
+from palimpsest.learn.neighbours import neighbour_shares, send_points, weighted_points
 from palimpsest.operators.ordered import Split
 from palimpsest.operators.reversion import first_reversion
 from palimpsest.operators.routing import features_for
@@ -44,15 +44,43 @@ def brute_shares(points, k):
     return out
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_neighbours_are_exact(points, small):
-    got = neighbour_shares(points, weighted_points(points, ["a", "b"]), 7, "s", small=small, pivots=9, block=11)
+def test_neighbours_are_exact(points):
+    got = neighbour_shares(points, send_points(weighted_points(points, ["a", "b"])), 7, "s")
     want = brute_shares(points, 7)
     rows = got.collect()
     assert len(rows) == 300
     assert all(tuple(round(x, 9) for x in r["s"]) == want[tuple(r["features"])] for r in rows)
 
 
+def test_too_many_training_points_are_an_error(points):
+    with pytest.raises(ValueError, match="exceed"):
+        send_points(weighted_points(points, ["a", "b"]), most_bytes=1000)
+
+
+def test_depths_beyond_the_limit_are_one_or_refused():
+    combos = [{"trees": 5, "depth": d} for d in (None, 5, 30, 40, 100)]
+    assert classifiers._trainable(combos) == [{"trees": 5, "depth": 30}, {"trees": 5, "depth": 5}]
+    with pytest.raises(ValueError):
+        classifiers._depth(31)
+
+
+def test_one_prediction_per_key(spark):
+    facts = spark.createDataFrame([(1, 1, "v", "", "old"), (1, 1, "w", "", "old"), (1, 1, "x", None, "old")],
+                                  "revision_id long, property_id int, value_id string, change_target string, label string")
+    said = spark.createDataFrame([(1, 1, "v", "", "b"), (1, 1, "v", "", "c"), (1, 1, "v", "", None), (1, 1, "x", "", None)],
+                                 "revision_id long, property_id int, value_id string, change_target string, predicted_labels string")
+    got = write_back(facts, said).orderBy("value_id").collect()
+    assert [(r.value_id, r.label) for r in got] == [("v", "c"), ("w", "old"), ("x", None)]
+
+
+def test_unfinished_folder_is_computed_again(spark, tmp_path):
+    path = str(tmp_path / "cached")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "cached" / "_SUCCESS").unlink()
+    assert load_or_compute(spark, path, lambda: spark.range(5)).count() == 5
+    assert load_or_compute(spark, path, lambda: spark.range(7)).count() == 5
+
+
 def test_scaler_uses_the_population_deviation(spark):
     df = prepare.numeric(spark.createDataFrame([(1.0, 5), (None, 5), (float("nan"), 5)], "a double, b int"), ["a", "b"])
     scaler = prepare.fit_scaler(df, ["a", "b"])
@@ -60,7 +88,7 @@ def test_scaler_uses_the_population_deviation(spark):
     assert scaler.scale["b"] == 1.0
 
 
-@pytest.mark.parametrize("split", [None, Split(floor=30, max_hot=100)])
+@pytest.mark.parametrize("split", [None, Split(floor=30)])
 def test_folds_are_stratified(spark, split):
     df = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").alias("label"))
     got = prepare.stratified_folds(df, ["id"], 5, split=split).groupBy("label", "fold").count().collect()

@@ -10,7 +10,7 @@ from palimpsest.operators.reversion import (
     first_reversion, keyword_in_next, reversion_pairs, reverted_features, time_to_neighbour, trailing_count,
 )
 
-TINY = Split(floor=15, max_hot=1000)
+TINY = Split(floor=15)
 SPLITS = [pytest.param(None, id="plain"), pytest.param(TINY, id="cut")]
 KEY = ("entity_id", "property_id", "value_id")
 

@@ -63,7 +63,7 @@ def test_derived_log_does_not_depend_on_cutting(spark, log, monkeypatch):
 
     whole = build_value_change(log._view(CHAIN_SQL))
     real = derived.with_chunk
-    monkeypatch.setattr(derived, "with_chunk", lambda df, keys, order: real(df, keys, order, Split(floor=4, max_hot=10_000)))
+    monkeypatch.setattr(derived, "with_chunk", lambda df, keys, order: real(df, keys, order, Split(floor=4)))
     cut = build_value_change(log._view(CHAIN_SQL))
     assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
 
@@ -77,12 +77,15 @@ def oscillating(spark, n):
     return f, r.select("revision_id", "entity_id", F.timestamp_seconds("s").alias("timestamp"))
 
 
-@pytest.mark.parametrize("split", [None, Split(floor=5, max_hot=100)])
-def test_oscillations_stay_whole_in_segments(spark, split):
+@pytest.mark.parametrize("split", [None, Split(floor=5)])
+@pytest.mark.parametrize("named", [True, False])
+def test_oscillations_are_one_row_per_swing_in_order(spark, split, named):
     f, r = oscillating(spark, 30)
-    got = sorted(patterns.oscillations(f, r, segment=10, split=split).collect(), key=lambda x: x["part"])
-    assert [x["part"] for x in got] == [0, 1, 2] and {x["oscillation_count"] for x in got} == {29}
-    assert [s for x in got for s in x["change_sequence"]] == [f"o{i} -> n{i}" for i in range(29)]
+    if not named:  # a NULL in the key must not tear a hot statement apart
+        f = f.withColumn("property_label", F.lit(None).cast("string"))
+    got = patterns.oscillations(f, r, split=split).collect()
+    assert [x["position"] for x in got] == list(range(1, 30)) and {x["oscillation_count"] for x in got} == {29}
+    assert [x["swing"] for x in got] == [f"o{i} -> n{i}" for i in range(29)]
 
 
 def test_repeated_comment_pools_its_coordinate(spark):

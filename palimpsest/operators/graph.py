@@ -61,6 +61,11 @@ def _cleaned(c: str) -> Column:
     return trimmed(unquoted(F.col(c)))
 
 
+def sources(df: DataFrame, old: str = "old_value", new: str = "new_value") -> DataFrame:
+    """Both values of every change, as the ``seeds`` of a closure that is asked for these changes only."""
+    return df.select(F.explode(F.array(_cleaned(old), _cleaned(new))).alias("src")).where(F.col("src").isNotNull()).distinct()
+
+
 def reach_flags(df: DataFrame, closed: DataFrame, relations: dict, old: str = "old_value",
                 new: str = "new_value") -> DataFrame:
     """Add {old,new}_value_<name>_{new,old}_value flags for each relation, both directions.

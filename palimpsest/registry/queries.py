@@ -95,7 +95,7 @@ def model_metrics(log: ChangeLog) -> DataFrame:
 
 
 def stats(log: ChangeLog) -> DataFrame:
-    return counts.entity_stats(log.value_change, log.revision, log.qualifier_change)
+    return counts.entity_stats(log.value_change, log.revision, log.qualifier_change, log.reference_change)
 
 
 # ---- analyses ---------------------------------------------------------------
@@ -569,22 +569,22 @@ def _(log):
 @query("E1_E12_entity_features")
 def _(log):
     df = log.features_entity.select("change_id", "old_value", "new_value", "old_value_label", "new_value_label")
-    out = graph.entity_features(df, graph.closure(log.edges))
+    out = graph.entity_features(df, graph.closure(log.edges, graph.ENTITY_RELATIONS, seeds=graph.sources(df)))
     return rounded(big(out), "token_overlap", "edit_distance_ratio")
 
 
 @query("E13_metaclass_flags")
 def _(log):
-    # the derived edges hold no metaclass relation; another one stands in
     df = log.features_entity.select("change_id", "old_value", "new_value")
-    return big(graph.metaclass_flags(df, graph.closure(log.edges), "part_of"))
+    return big(graph.metaclass_flags(df, graph.closure(log.edges, ["metaclass"], seeds=graph.sources(df))))
 
 
 @query("E14_composite_flags")
 def _(log):
-    closed = graph.closure(log.edges)
     df = log.features_entity.select("change_id", "old_value", "new_value")
-    return big(graph.composite_flags(df, closed.where("relation = 'part_of'"), closed.where("relation = 'subclass'"), name="part_of_subclass"))
+    first = graph.closure(log.edges, ["part_of"], seeds=graph.sources(df))
+    second = graph.closure(log.edges, ["subclass"], seeds=first.select(F.col("dst").alias("src")))
+    return big(graph.composite_flags(df, first, second, name="part_of_subclass"))
 
 
 @query("E14_composite_path")
@@ -596,7 +596,7 @@ def _(log):
 @query("E15_entity_types")
 def _(log):
     seen = log.features_entity.select("old_value").distinct()
-    out = graph.entity_types(seen, log.edges, "old_value", relation="subclass")
+    out = graph.entity_types(seen, log.edges, "old_value")
     return out.withColumn("types", F.concat_ws(",", "types"))
 
 

@@ -83,7 +83,7 @@ select event_id as revision_id, user_id % 20 as entity_id, k % 5 as property_id,
 from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e
 """,
     "reference_change": """
-select l_orderkey as revision_id, l_linenumber as property_id,
+select l_orderkey as revision_id, l_suppkey % 20 as entity_id, l_linenumber as property_id,
   case when l_returnflag = 'N' then 'CREATE' else 'DELETE' end as action from {lineitem}
 """,
     "features_text": """
@@ -105,7 +105,7 @@ select p_partkey as revision_id, case when p_partkey % 3 = 0 then 2035 when p_pa
 from {part}
 """,
     "features_time": """
-select o_orderkey % 1000 as revision_id, case when o_orderkey % 2 = 0 then 569 else 570 end as property_id,
+select cast(floor(o_orderkey / 2.0) as bigint) as revision_id, case when o_orderkey % 2 = 0 then 569 else 570 end as property_id,
   concat('prop ', cast(o_orderkey % 2 as string)) as property_label,
   cast(o_orderkey as string) as value_id, '' as change_target,
   case when t in (0, 2) then concat('"+', y, '-00-00T00:00:00Z"') when t = 1 then concat('"+', y, '-', m, '-00T00:00:00Z"')
@@ -118,13 +118,13 @@ select o_orderkey % 1000 as revision_id, case when o_orderkey % 2 = 0 then 569 e
   case when t in (0, 1, 2, 7) then 'refinement' when t in (3, 4) then 'unrefinement' when t = 6 then ''
     else 'property_value_update' end as label,
   case when o_orderkey % 5 = 0 then 1 else 0 end as is_reverted, case when o_orderkey % 7 = 0 then 1 else 0 end as reversion,
-  case when o_orderkey % 5 = 0 then (o_orderkey * 3 + 1) % 1000 end as revision_id_reversion
+  case when o_orderkey % 5 = 0 then cast(floor(o_orderkey / 2.0) as bigint) + 3 end as revision_id_reversion
 from (select o_orderkey, o_orderkey % 9 as t, cast(year(o_orderdate) as string) as y,
         lpad(cast(month(o_orderdate) as string), 2, '0') as m, lpad(cast(day(o_orderdate) as string), 2, '0') as d
       from {orders}) o
 """,
     "features_quantity": """
-select l_orderkey % 1000 as revision_id, l_linenumber as property_id,
+select cast(floor(l_orderkey / 2.0) as bigint) as revision_id, l_linenumber as property_id,
   concat('prop ', cast(l_linenumber as string)) as property_label,
   concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
     cast(l_suppkey as string)) as value_id, '' as change_target,
@@ -149,12 +149,16 @@ select c_custkey as revision_id, 625 as property_id, 'coordinate location' as pr
   case when lo = ln then null when c_custkey % 4 = 3 then 'property_value_update' else 'refinement' end as label_latitude,
   case when go = gn then null when c_custkey % 4 = 2 then 'unrefinement' else 'refinement' end as label_longitude,
   case when c_custkey % 6 = 0 then 1 else 0 end as is_reverted, case when c_custkey % 10 = 0 then 1 else 0 end as reversion
-from (select c_custkey, cast(c_custkey % 60 as string) as lo,
-   case when c_custkey % 4 = 3 then concat('-', cast(c_custkey % 60 as string), '.5')
+from (select c_custkey,
+   case when c_custkey % 20 = 18 then concat(cast(c_custkey % 60 as string), '.123456') else cast(c_custkey % 60 as string) end as lo,
+   case when c_custkey % 20 = 18 then concat(cast(c_custkey % 60 as string), '.12')
+     when c_custkey % 20 = 6 then cast(c_custkey % 60 + 7 as string) when c_custkey % 4 = 3 then concat('-', cast(c_custkey % 60 as string), '.5')
      when c_custkey % 4 = 1 then cast(c_custkey % 60 as string)
      else concat(cast(c_custkey % 60 as string), '.', lpad(cast(am as string), 6, '0')) end as ln,
    concat(cast(c_custkey % 120 as string), '.25') as go,
-   case when c_custkey % 4 = 2 then cast(c_custkey % 120 as string)
+   case when c_custkey % 20 = 10 then concat('-', cast(c_custkey % 120 as string), '.25')
+     when c_custkey % 20 = 14 then concat(cast(c_custkey % 120 + 3 as string), '.25')
+     when c_custkey % 4 = 2 then cast(c_custkey % 120 as string)
      when c_custkey % 4 = 0 then concat(cast(c_custkey % 120 as string), '.25')
      else concat(cast(c_custkey % 120 as string), '.', lpad(cast(gm as string), 6, '0')) end as gn
    from (select c_custkey,
@@ -163,16 +167,17 @@ from (select c_custkey, cast(c_custkey % 60 as string) as lo,
      from {customer}) m) c
 """,
     "features_entity": """
-select event_id % 1000 as revision_id, cast(k % 5 as int) as property_id, concat('prop ', cast(k % 5 as string)) as property_label,
+select event_id as revision_id, cast(k % 5 as int) as property_id, concat('prop ', cast(k % 5 as string)) as property_label,
   cast(k % 2 as string) as value_id, '' as change_target,
   case when event_id % 40 = 0 then concat('Q', cast((a + 7) % 25 as string)) else concat('Q', cast(a as string)) end as old_value,
   case when event_id % 40 = 0 then concat('Q', cast(500 + a as string)) else concat('Q', cast(b as string)) end as new_value,
   concat('NATION ', cast(a % 20 as string)) as old_value_label,
-  case when k % 17 = 0 then '' else concat('NATION ', cast(b % 20 as string)) end as new_value_label,
+  case when k % 17 = 0 then '' when event_id % 9 = 4 and a % 20 <> b % 20 then concat('LAND ', cast(b % 20 as string))
+    else concat('NATION ', cast(b % 20 as string)) end as new_value_label,
   case when a % 20 = b % 20 or event_id % 40 = 0 then 'link_change' when k % 4 < 2 then 'refinement'
     when k % 4 = 2 then 'unrefinement' else 'property_value_update, refinement' end as label,
   case when event_id % 6 = 0 then 1 else 0 end as is_reverted, case when event_id % 8 = 0 then 1 else 0 end as reversion,
-  case when event_id % 6 = 0 then (event_id + 1) % 1000 end as revision_id_reversion, event_id as change_id
+  case when event_id % 6 = 0 then event_id + 1 end as revision_id_reversion, event_id as change_id
 from (select event_id, cast(regexp_extract(props, '[0-9]+', 0) as int) as k, user_id % 25 as a,
         case when cast(floor(value) as int) % 3 = 0 then 100 + user_id % 5
              else (user_id + cast(floor(value) as int) * 5) % 25 end as b from {events}) e where a <> b
@@ -182,7 +187,14 @@ select relation, src, dst from (
   select 'subclass' as relation, concat('Q', cast(n_nationkey as string)) as src, concat('Q', cast(100 + n_regionkey as string)) as dst from {nation}
   union all select 'subclass', concat('Q', cast(100 + r_regionkey as string)), 'Q200' from {region}
   union all select 'part_of', concat('Q', cast(n_nationkey as string)), concat('Q', cast((n_nationkey + 1) % 25 as string)) from {nation} where n_nationkey % 5 <> 4
-  union all select 'located_in', concat('Q', cast(100 + r_regionkey as string)), concat('Q', cast(100 + (r_regionkey + 1) % 5 as string)) from {region}) u
+  union all select 'located_in', concat('Q', cast(100 + r_regionkey as string)), concat('Q', cast(100 + (r_regionkey + 1) % 5 as string)) from {region}
+  union all select 'subclass', concat('Q', cast(n_nationkey as string)), concat('Q', cast(n_nationkey + 5 as string)) from {nation} where n_nationkey < 20 and n_nationkey % 5 in (0, 1)
+  union all select 'part_of', concat('Q', cast(n_nationkey as string)), concat('Q', cast(n_nationkey + 5 as string)) from {nation} where n_nationkey < 20 and n_nationkey % 5 in (1, 2)
+  union all select 'metaclass', concat('Q', cast(n_nationkey as string)), concat('Q', cast(n_nationkey + 5 as string)) from {nation} where n_nationkey < 20 and n_nationkey % 5 = 2
+  union all select 'has_part', concat('Q', cast(n_nationkey as string)), concat('Q', cast(n_nationkey + 5 as string)) from {nation} where n_nationkey < 20 and n_nationkey % 5 = 3
+  union all select 'located_in', concat('Q', cast(n_nationkey as string)), concat('Q', cast(n_nationkey + 5 as string)) from {nation} where n_nationkey < 20 and n_nationkey % 5 = 4
+  union all select 'instance_of', concat('Q', cast(n_nationkey as string)), concat('Q', cast(100 + n_regionkey as string)) from {nation}
+  union all select 'subclass', concat('P', cast(p_partkey as string)), concat('Q', cast(p_partkey % 25 as string)) from {part}) u
 """,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.domain import CHANGE_KEY
 from palimpsest.functions import labels as L
 from palimpsest.functions.calendar import age
 from palimpsest.functions.jsontext import number_text, scalar_text
@@ -28,8 +29,8 @@ from palimpsest.operators.text_features import similarity_features, text_feature
 from palimpsest.operators.value_features import geo_features, quantity_features, time_features
 from palimpsest.plans import counts, distribution, patterns, reverts
 from palimpsest.learn import classifiers, prepare
-from palimpsest.learn.neighbours import neighbour_shares, weighted_points
-from palimpsest.operators.routing import datatype_group
+from palimpsest.learn.neighbours import neighbour_shares, send_points, weighted_points
+from palimpsest.operators.routing import datatype_group, features_for
 from palimpsest.sources import csvfiles
 from palimpsest.sources.derived import ChangeLog
 from palimpsest.sources.store import load_or_compute, write_back, write_metrics
@@ -792,7 +793,7 @@ def _(log):
     e = log.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
     points = weighted_points(e.select("features", *[(F.col("label") == i).cast("double").alias(f"y{i}") for i in range(3)]),
                              ["y0", "y1", "y2"])
-    out = neighbour_shares(e.select("vec_id", "features"), points, 5)
+    out = neighbour_shares(e.select("vec_id", "features"), send_points(points), 5)
     return out.select("vec_id", *[F.round(F.col("shares")[i], 6).alias(f"share_{i}") for i in range(3)])
 
 
@@ -828,6 +829,39 @@ def _(log):
     return both.agg(F.count_if(F.col("predicted_labels") != F.col("reloaded")).alias("differing"), F.count(F.lit(1)).alias("documents"))
 
 
+def class_changes(log: ChangeLog, dt_class: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(features, feature columns, key) of all labelled changes that a classifier of the class works on."""
+    if dt_class == "reverted_edit":
+        key = ["revision_id", "change_target"]
+        edits = log.edits.select("revision_id", "entity_id", "property_id", "value_id", "change_target", "timestamp", "username", "comment",
+                                 "action", "old_hash", "new_hash", F.when(F.col("is_reverted") == 1, "reverted_edit").otherwise("kept").alias("label"))
+        features, columns = features_for(edits, dt_class)
+        return features, columns, key
+    name, datatype = {"text": ("text", "string"), "time": ("time", "time"), "quantity": ("quantity", "quantity"),
+                      "entity": ("entity", "wikibase-item")}.get(dt_class, ("globecoordinate", "globecoordinate"))
+    rows = getattr(log, f"features_{name}").withColumn("datatype", F.lit(datatype))
+    key = ["change_id"] if dt_class == "entity" else list(CHANGE_KEY)
+    closed = graph.closure(log.edges, graph.ENTITY_RELATIONS, seeds=graph.sources(rows)) if dt_class == "entity" else None
+    features, columns = features_for(rows, dt_class, closed)
+    return features.where(L.is_labelled(F.col("label"))), columns, key
+
+
+def classify_held_back(log: ChangeLog, dt_class: str) -> DataFrame:
+    """One change in five is made pending, the class's models are trained over folds on the others, and what is pending
+    is labelled and written back: rows and right answers per written label."""
+    features, columns, key = class_changes(log, dt_class)
+    held = F.pmod(F.xxhash64(*key), F.lit(5)) == 0
+    rows = features.withColumn("truth", F.col("label")).withColumn("label", F.when(held, "").otherwise(F.col("label")))
+    bundle, _ = classifiers.train(rows.where(L.is_labelled(F.col("label"))), dt_class, columns, "random_forest", {"trees": 5, "depth": 5},
+                                  folds=2, key=key)
+    done = classifiers.classify_pending(rows, bundle, key=key).where(held)
+    return done.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == F.col("truth")).alias("right"))
+
+
+for _class in ("text", "time", "quantity", "globecoordinate_latitude", "globecoordinate_longitude", "entity", "reverted_edit"):
+    query(f"M_class_{_class}")(lambda log, c=_class: classify_held_back(log, c))
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 @contextmanager

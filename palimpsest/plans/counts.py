@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.histogram import histograms
+from palimpsest.session import shared_dir
 
 # metric name -> summed column, in report order (fixed values; one name occurs twice)
 STAT_METRICS = (
@@ -92,4 +93,6 @@ def entity_histograms(stats: DataFrame, max_revisions: int | None = None, bins:
     """(metric, bin, bin_start, bin_end, count) for the main counters, large entities optionally left out."""
     if max_revisions is not None:
         stats = stats.where(F.col("num_revisions") < max_revisions)
-    return histograms(stats, HISTOGRAM_COLUMNS, bins)
+    # read twice below, but added up from the logs once
+    shared_dir(stats.sparkSession)
+    return histograms(stats.select(*HISTOGRAM_COLUMNS).checkpoint(), HISTOGRAM_COLUMNS, bins)

@@ -8,6 +8,7 @@ from palimpsest.functions.jsontext import scalar_text
 from palimpsest.functions.numbers import to_number
 from palimpsest.operators.latest import latest_per_key, no_later_row
 from palimpsest.operators.ordered import DEFAULT_SPLIT, Split, adjacent, position, with_chunk
+from palimpsest.session import shared_dir
 
 _KEY = list(STATEMENT_KEY)
 _LASTING = "is_reverted = 0 and reversion = 0"
@@ -237,7 +238,9 @@ def value_formats(features_text: DataFrame, revision: DataFrame, property_id: in
     rows = kept.join(revision.select("revision_id", "entity_id", "timestamp", "user_type", "username"), "revision_id")
     latest = latest_per_key(rows, ["entity_id"], ["timestamp", "revision_id", "value_id", "v"], ["v", "user_type", "username"])
     shape = F.when(F.col("v").endswith("/"), "with slash").otherwise("without slash")
-    groups = latest.groupBy(shape.alias("format"), "user_type", "username").agg(F.count(F.lit(1)).alias("total"))
+    # the total is taken from the grouped rows, which are made once
+    shared_dir(latest.sparkSession)
+    groups = latest.groupBy(shape.alias("format"), "user_type", "username").agg(F.count(F.lit(1)).alias("total")).checkpoint()
     whole = groups.agg(F.sum("total")).scalar()
     return groups.select("*", F.round(F.lit(100.0) * F.col("total") / whole, 2).cast("double").alias("pct"))
 

@@ -641,16 +641,14 @@ def replacement_pairs(log: ChangeLog) -> DataFrame:
     acts, split = with_chunk(acts, keys, "us")
     ranked = position(acts, keys, "us", ["revision_id"], "n", split)
     pair = F.concat_ws("-", "entity_id", "property_id", "value_id", "change_target", "n")
-    vectors = log.embeddings.select("vec_id", F.col("embedding").alias("vector"))
     slot = F.col("property_id") * 2 + F.when(F.col("action") == "CREATE", 1).otherwise(0)
-    both = ranked.select(pair.alias("pair_id"), "action", "timestamp", "revision_id", "username", slot.cast("bigint").alias("vec_id"))
-    complete = both.groupBy("pair_id").agg(F.count_distinct("action").alias("_a")).where("_a = 2").select("pair_id")
-    return both.join(complete, "pair_id", "left_semi").join(vectors, "vec_id", "left")
+    return ranked.select(pair.alias("pair_id"), "action", "timestamp", "revision_id", "username", slot.cast("bigint").alias("vec_id"))
 
 
 @query("PR1_PR7_pair_features")
 def _(log):
-    return rounded(big(pair_features(replacement_pairs(log), vector="vector")), "property_label_similarity")
+    made = pair_features(replacement_pairs(log), vector="vec_id", vectors=log.embeddings.select("vec_id", "embedding"), complete=True)
+    return rounded(big(made), "property_label_similarity")
 
 
 # ---- evaluation, prompts --------------------------------------------------------------

@@ -126,7 +126,7 @@ def change_types_overtime(features: dict, revision: DataFrame) -> DataFrame:
 
 
 def dense_years(overtime: DataFrame, first: int = 2012, last: int = 2025, per_datatype: bool = True) -> DataFrame:
-    """A full year x label (x datatype) grid with 0 for what did not occur; the axes are one datatype here.
+    """A full year x label (x datatype) grid with 0 for what did not occur, by year; the axes are one datatype here.
 
     The grid comes from the distinct labels of an already aggregated table: a few hundred rows.
     """
@@ -138,7 +138,7 @@ def dense_years(overtime: DataFrame, first: int = 2012, last: int = 2025, per_da
     else:
         grid = merged.select("individual_label").distinct()
     grid = grid.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
-    return grid.join(sums, [*keys, "year"], "left").fillna(0, ["count"])
+    return grid.join(sums, [*keys, "year"], "left").fillna(0, ["count"]).orderBy("year", *keys)
 
 
 def _pairs(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -148,9 +148,9 @@ def _pairs(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def rollup_by_label(distribution: DataFrame) -> DataFrame:
-    """Totals per label over all sources."""
+    """Totals per label over all sources, smallest first."""
     sums = distribution.groupBy("label").agg(*_sums())
-    return sums.withColumn("reversion_rate", F.try_divide(F.col("count_reverted").cast("double"), F.col("total")))
+    return sums.withColumn("reversion_rate", F.try_divide(F.col("count_reverted").cast("double"), F.col("total"))).orderBy("total", "label")
 
 
 def _sums():

@@ -130,3 +130,20 @@ def test_filters_and_columns_reach_the_scan(log):
     text = plan(patterns.year_only_creations(log.value_change))
     assert "PushedFilters: [IsNotNull(action)" in text and "EqualTo(action,CREATE)" in text
     assert "old_hash" not in text
+
+
+def test_ordered_results_are_in_order(spark, log):
+    """Rows come sorted as described, ties by key; the comparison with SQL does not look at order."""
+    from palimpsest.registry.queries import QUERIES
+
+    def rows(name):
+        return QUERIES[name](spark, log.folder).collect()
+
+    totals = [(r.total, r.label) for r in rows("A4_rollup_by_label")]
+    assert totals == sorted(totals) and len(totals) > 3
+    years = [(r.year, r.individual_label) for r in rows("A3a_dense_years_overall")]
+    assert years == sorted(years) and len(years) > 20
+    swings = [(-r.oscillation_count, r.entity_id, r.property_id, r.value_id, r.property_label, r.position) for r in rows("A9_oscillations")]
+    assert swings == sorted(swings) and len(swings) > 5
+    reasons = [-r["count"] for r in rows("A22_latest_reasons")]
+    assert reasons == sorted(reasons)

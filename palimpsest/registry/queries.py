@@ -574,6 +574,22 @@ def _(log):
     return rounded(big(out), "token_overlap", "edit_distance_ratio")
 
 
+@query("E2_E3_entity_similarity")
+def _(log):
+    """Entity features with the similarity of labels and of descriptions; an entity's vectors are those of its number."""
+    rows = log.features_entity.select("change_id", "old_value", "new_value", "old_value_label", "new_value_label").withColumn(
+        "datatype", F.lit("wikibase-item"))
+    for side in ("old", "new"):
+        number = F.expr(f"cast(substr({side}_value, 2) as bigint)")
+        for kind, shift in (("label", 0), ("description", 100)):
+            vectors = log.embeddings.select((F.col("vec_id") - shift).alias(f"_{side}_{kind}"), F.col("embedding").alias(f"{side}_{kind}_vector"))
+            rows = rows.join(vectors, number == F.col(f"_{side}_{kind}"), "left").drop(f"_{side}_{kind}")
+    closed = graph.closure(log.edges, graph.ENTITY_RELATIONS, seeds=graph.sources(rows))
+    names = {f"{kind}_cosine_similarity": (f"old_{kind}_vector", f"new_{kind}_vector") for kind in ("label", "description")}
+    out, _ = features_for(rows, "entity", closed, names)
+    return rounded(out.select("change_id", *names), *names)
+
+
 @query("E13_metaclass_flags")
 def _(log):
     df = log.features_entity.select("change_id", "old_value", "new_value")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from palimpsest.session import shared_dir
 
 #: UTF-8 bytes of text handled at once inside a task
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:

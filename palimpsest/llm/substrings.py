@@ -130,13 +130,14 @@ def _scan(docs: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _spans(docs: DataFrame, length: int, common, hot, texts: bool) -> DataFrame:
-    """Spans of windows that may occur in two documents: (key, sh, doc_id, th, pos, n, [span]).
+    """Spans of windows that may occur in two documents: (key, sh, doc_id, th, pos, n), or with ``texts`` the distinct spans
+    of each slice of the input, (key, sh, doc_id, span).
 
     A span is a run of windows with one minimizer. Windows of hot minimizers are spans of their own, under a hash of the
     whole window. Equal windows of any two documents get equal keys.
     """
-    schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()),
-                        ("n", pa.int32())] + ([("span", pa.binary())] if texts else []))
+    schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64())] + (
+        [("span", pa.binary())] if texts else [("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]))
 
     def fn(ids, hashes, found):
         m, inside = _minimizers(found, length)
@@ -158,18 +159,27 @@ def _spans(docs: DataFrame, length: int, common, hot, texts: bool) -> DataFrame:
         last = first + run + length - 2
         row = found.row[first]
         spans = [b" ".join(found.buffer[a:b].split()) for a, b in zip(found.start[first].tolist(), found.end[last].tolist())] if len(first) else []
-        columns = [key[begin].view(np.int64), np.array([xxhash.xxh64_intdigest(s) for s in spans], np.uint64).view(np.int64), ids[row],
-                   hashes[row], (first - found.first[row]).astype(np.int32), run.astype(np.int32)]
-        if texts:
-            columns.append(pa.array(spans, pa.binary()))
+        sh = np.array([xxhash.xxh64_intdigest(s) for s in spans], np.uint64).view(np.int64)
+        columns = [key[begin].view(np.int64), sh, ids[row]]
+        if texts:  # equal spans once, with the smallest document
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            once = np.ones(len(order), bool)
+            once[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            columns = [c[once] for c in columns] + [pa.array([spans[i] for i in order[once].tolist()], pa.binary())]
+        else:
+            columns += [hashes[row], (first - found.first[row]).astype(np.int32), run.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return _scan(docs, fn, "key long, sh long, doc_id long, th long, pos int, n int" + (", span binary" if texts else ""))
+    return _scan(docs, fn, "key long, sh long, doc_id long" + (", span binary" if texts else ", th long, pos int, n int"))
 
 
 def _firsts(spans: DataFrame, length: int) -> DataFrame:
-    """(key, sh, firsts): for each window of a distinct span the smallest document that has it."""
-    distinct = spans.groupBy("key", "sh", "span").agg(F.min("doc_id").alias("doc_id"))
+    """(key, sh, firsts): for each window of a distinct span the smallest document that has it.
+
+    Spans are dealt out by key once; what is equal has been combined before, slice by slice.
+    """
+    distinct = spans.repartition("key").groupBy("key", "sh", "span").agg(F.min("doc_id").alias("doc_id"))
     schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
     def solve(group):
@@ -206,7 +216,7 @@ def _firsts(spans: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(group)), pa.array([g[0] for g in group]),
                                               pa.array(solve(group), pa.list_(pa.int64()))], schema=schema)
 
-    return distinct.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "sh", "span", "doc_id").mapInArrow(
+    return distinct.sortWithinPartitions("key", "doc_id").select("key", "sh", "span", "doc_id").mapInArrow(
         run, "key long, sh long, firsts array<long>")
 
 
@@ -252,7 +262,10 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
     docs = docs.drop("kept", "n_words", "n_removed")
     places = repeated_windows(docs, length)
     rows = docs.join(places, (docs["doc_id"].cast("long") == places["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == places["th"]), "left")
-    rows = rows.select(*[docs[c] for c in docs.columns], places["places"])
+    name = "_places"
+    while name in docs.columns:
+        name = "_" + name
+    rows = rows.select(*[docs[c] for c in docs.columns], places["places"].alias(name))
     at = docs.columns.index("text")
     schema = T.StructType(list(docs.schema.fields) + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
                                                       T.StructField("n_removed", T.LongType())])

@@ -229,12 +229,13 @@ def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     more, NULL for that page itself.
 
     Only digests that occur more than once are joined back, so the table that a hot payload meets has one row for it.
+    That table is stored first: Spark knows its size and moves the payloads only if it is too large to broadcast.
     """
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("payload"),
                         F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
-    heads = rows.where(F.col("size") >= least).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    heads = stored(rows.where(F.col("size") >= least).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "heads")
     return rows.join(heads, "digest", "left").withColumn(
         "refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 

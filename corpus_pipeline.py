@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through the stages in order, each written as Parquet and read again."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, toxicity
@@ -28,13 +28,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies: that with the smallest doc_id. Of rows that repeat this doc_id one stays,
     whichever; rows without a doc_id all stay."""
     judged = simhash.near_duplicates(docs, **NEAR).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("component_id").alias("_head"), F.count("*").alias("_n"))
-    judged = stored(judged, "judged")
-    gone = judged.where("_head < _id").select("_id")
-    again = judged.where("_head = _id and _n > 1").select("_id")
-    match = docs["doc_id"] == F.col("_id")
-    once = docs.join(again, match, "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.unionByName(again), match, "left_anti").unionByName(once)
+        F.min("component_id").alias("_head"))
+    # texts move once: the join and the choice among repeated rows are dealt by the same key
+    heads = stored(judged.where("_head = _id").select("_id"), "heads")
+    turn = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(docs["doc_id"]))
+    once = docs.where("doc_id is not null").join(heads, docs["doc_id"] == heads["_id"]).select(
+        *[docs[c] for c in docs.columns], turn.alias("_turn")).where("_turn = 1")
+    return once.drop("_turn").unionByName(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

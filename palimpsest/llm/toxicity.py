@@ -87,7 +87,7 @@ def fit_chain(row, feature, n: int, labels: np.ndarray, fold: np.ndarray, size:
         for f in range(FOLDS if c + 1 < labels.shape[1] else 0):
             held = fold == f
             part = ~held[row]
-            place = np.cumsum(~held) - 1
+            place = (np.cumsum(~held) - 1).astype(np.int32)
             model = fit(place[row[part]], feature[part], int((~held).sum()), extra[~held], y[~held], size)
             out[held] = model.probability(row, feature, n, extra)[held]
         chain.append(fit(row, feature, n, extra, y, size))
@@ -123,10 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     if not made.num_rows:
         return [Linear(np.zeros(size), np.zeros(c), -30.0) for c in range(len(categories))]
     lists = made["features"].combine_chunks()
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(made.num_rows), lists.value_lengths().to_numpy())
-    y = np.column_stack([made[c].to_numpy() for c in categories])
-    return fit_chain(row, feature, made.num_rows, y, made["fold"].to_numpy(), size)
+    feature = lists.flatten().to_numpy()  # 32-bit, as are the rows: the two largest arrays of the driver
+    row = np.repeat(np.arange(made.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
+    y, fold, n = np.column_stack([made[c].to_numpy() for c in categories]), made["fold"].to_numpy(), made.num_rows
+    del made, lists
+    return fit_chain(row, feature, n, y, fold, size)
 
 
 def probabilities(texts: list, chain: list[Linear], bits: int = BITS) -> np.ndarray:

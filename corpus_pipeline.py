@@ -4,12 +4,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, sentencepieces, simhash, substrings, toxicity
+from palimpsest.llm import decontaminate, nearcopies, sentencepieces, substrings, toxicity
 from palimpsest.llm.common import stored
 
-#: near copies: found by fingerprints of their distinct words within 8 of 64 bits, and held to be copies if those of their
-#: five-word shingles are within 14, which texts of similarity 0.8 and more are
-NEAR = {"words": 1, "distinct": True, "distance": 8, "count": 6, "check_words": 5, "check_distance": 14}
+#: near copies: five-word shingles of similarity 0.8 and more; pairs are looked at if the fingerprints of their distinct
+#: words are within 8 of 64 bits and those of their shingles within 14
+NEAR = {"words": 5, "distance": 8, "count": 6, "check_distance": 14}
 #: words of a passage that is cut where an earlier document has it too
 PASSAGE = 50
 
@@ -27,10 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id. Of rows that repeat this doc_id one stays,
     whichever; rows without a doc_id all stay."""
-    judged = simhash.near_duplicates(docs, **NEAR).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("component_id").alias("_head"))
-    # texts move once: the join and the choice among repeated rows are dealt by the same key
-    heads = stored(judged.where("_head = _id").select("_id"), "heads")
+    # texts move once more: the join and the choice among repeated rows are dealt by the same key
+    heads = stored(nearcopies.heads(docs, **NEAR).select(F.col("doc_id").alias("_id")).distinct(), "heads")
     turn = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(docs["doc_id"]))
     once = docs.where("doc_id is not null").join(heads, docs["doc_id"] == heads["_id"]).select(
         *[docs[c] for c in docs.columns], turn.alias("_turn")).where("_turn = 1")

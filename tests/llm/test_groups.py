@@ -150,3 +150,65 @@ def test_neighbours(spark):
     assert hits / 240 >= 0.9
     assert [(r["rank"], r.vec_id, r.score) for r in got if r.query_id == 5500] == [(1, 5501, 1.0)]
     assert ann.nearest(table.limit(0)).count() == 0
+
+
+def similarity(a, b):
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts of near copies by four kinds of edits, similarity 0.5 to 1, some of them copies of copies."""
+    rng, rows = random.Random(11), []
+    new = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(3000)) for _ in range(n)]
+    for _ in range(60):
+        words = new(rng.randint(40, 500))
+        rows.append((len(rows), " ".join(words)))
+        for kind in ("append", "truncate", "replace", "scatter"):
+            n = max(1, int(len(words) * rng.uniform(0.01, 0.3)))
+            some, at = list(words), rng.randrange(len(words) - n)
+            if kind == "append":
+                some += new(n)
+            elif kind == "truncate":
+                some = some[:-n]
+            elif kind == "replace":
+                some[at:at + n] = new(n)
+            else:
+                for k in rng.sample(range(len(some)), max(1, n // 5)):
+                    some[k] = "other"
+            rows.append((len(rows), " ".join(some)))
+    return rows
+
+
+def grouped(spark, rows):
+    import corpus_pipeline
+    return {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, made(spark, rows), "").collect()}
+
+
+def test_documents_below_the_similarity_stay(spark, copies):
+    links = [(a, b) for k in range(0, len(copies), 5) for (a, s) in copies[k:k + 5] for (b, t) in copies[k:k + 5] if a < b and similarity(s, t) >= 0.8]
+    alone = {i for i, _ in copies} - {x for p in links for x in p}
+    root = joined(links, [i for i, _ in copies])
+    kept = grouped(spark, copies)
+    assert len(alone) > 20 and alone <= kept
+    # no text goes that exact links alone would not remove
+    assert {i for i in root if root[i] == i} <= kept
+
+
+def test_candidates_of_one_bucket_are_all_decided(spark):
+    """The first pairs of a full bucket fail, and links between others are still found."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(40):  # similar to its twin only
+        some = list(words)
+        for k in rng.sample(range(400), 25):
+            some[k] = f"x{rng.randrange(5000)}"
+        rows += [(2 * i, " ".join(some)), (2 * i + 1, " ".join(some[:200] + ["twin"] + some[201:]))]
+    root = joined([(a, b) for a, s in rows for b, t in rows if a < b and similarity(s, t) >= 0.8], [i for i, _ in rows])
+    assert grouped(spark, rows) == {i for i in root if root[i] == i}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontaminate, nearcopies, sentencepieces, substrings, toxicity
 from palimpsest.llm.common import stored
 
-#: near copies: five-word shingles of similarity 0.8 and more; pairs are looked at if the fingerprints of their distinct
-#: words are within 8 of 64 bits and those of their shingles within 14
-NEAR = {"words": 5, "distance": 8, "count": 6, "check_distance": 14}
+#: near copies: five-word shingles of similarity 0.8 and more; pairs are looked at if one of 24 bands of 5 minima is equal, or
+#: if the fingerprints of their distinct words are within 8 of 64 bits and those of their shingles within 20
+NEAR = {"words": 5, "distance": 8, "count": 6, "check_distance": 20, "bands": 24, "rows": 5}
 #: words of a passage that is cut where an earlier document has it too
 PASSAGE = 50
 

@@ -30,23 +30,38 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
 
 
+def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of ``bands`` bands of ``rows`` MinHash values each; none without shingles."""
+    if not len(h) or not bands:
+        return np.empty(0, np.int64)
+    rng = np.random.default_rng(_SEED)
+    factor, more, mix = (rng.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1) for _ in range(3))
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(h), _BLOCK):
+        least = np.minimum(least, (h[None, start:start + _BLOCK] * factor[:, None] + more[:, None]).min(axis=1))
+    least ^= least >> np.uint64(32)
+    return (least * mix).reshape(bands, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, content, n, fp, check) of whole texts: ``content`` is a 128-bit hash of the n distinct
-    ``words``-word shingles, ``check`` their SimHash, ``fp`` the SimHash of the distinct words."""
+def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, text_hash, content, n, fp, check, bands) of whole texts: ``content`` is a 128-bit hash of the n distinct
+    ``words``-word shingles, ``check`` their SimHash, ``bands`` keys of their minima, ``fp`` the SimHash of the distinct words."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("content", T.BinaryType()),
-        T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("check", T.LongType())])
+        T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("check", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(keys, texts):
         tokens = [_tokens(t) for t in texts]
         sets = [_shingles(t, words) for t in tokens]
         return {"doc_id": [k["doc_id"] for k in keys], "text_hash": [k["text_hash"] for k in keys],
                 "content": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets],
-                "fp": [_simhash(t, 1, True) for t in tokens], "check": [_majority(h) for h in sets]}
+                "fp": [_simhash(t, 1, True) for t in tokens], "check": [_majority(h) for h in sets],
+                "bands": [_bands(h, bands, rows) for h in sets]}
 
     return map_texts(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash")).alias("key"), "text"),
                      "key", "text", run, schema)
@@ -128,15 +143,16 @@ class _Bucketed:
 
 
 def candidates(classes: DataFrame, distance: int, count: int, check_distance: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of classes (id, n, fp, check, group) of different groups that fingerprints let be similar.
+    """Pairs (a, b) of classes (id, n, fp, check, bands, group) of different groups that may be similar.
 
-    Pairs are those of fingerprints at most ``distance`` bits apart, whose check fingerprints are at most
-    ``check_distance`` apart. With ``spanning``, a bucket of many gives edges that connect what all its pairs would;
+    Pairs are those with an equal band, and those of fingerprints at most ``distance`` bits apart, whose check fingerprints
+    are at most ``check_distance`` apart. With ``spanning``, a bucket of many gives edges that connect what all its pairs would;
     every class that has a candidate occurs in them. Buckets above a fixed size are cut into blocks, and each pair of
     blocks is a bucket.
     """
     names = ["id", "n", "fp", "check", "group"]
-    rows = classes.select(*names, F.explode(_probes(distance, count)).alias("k")).select(*names, "k.segment", "k.value")
+    rows = classes.select(*names, F.explode(F.concat(_probes(distance, count), F.transform("bands", lambda x, i: F.struct(
+        (i + _BANDS).alias("segment"), x.alias("value"))))).alias("k")).select(*names, "k.segment", "k.value")
     full = rows.groupBy("segment", "value").count().where(F.col("count") > _BUCKET).select(
         "segment", "value", F.ceil(F.col("count") / _BUCKET).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -196,21 +212,22 @@ def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["id"])
 
 
-def heads(docs: DataFrame, words: int, distance: int, count: int, check_distance: int) -> DataFrame:
+def heads(docs: DataFrame, words: int, distance: int, count: int, check_distance: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, text_hash) of the row that stays of each group of near copies: the smallest by doc_id and text hash.
 
     Texts are linked if the Jaccard similarity of their distinct ``words``-word shingles is at least 0.8, and groups are
     what links connect. A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, fewer words than ``words`` are one
     shingle; shingles count as equal if their XXH64 is. NULL and empty texts have none and are copies of each other.
-    Texts of equal sets are one class before anything is compared. Fingerprints say which pairs of classes are looked
-    at (:func:`candidates`), and every such pair is decided on the sets, unless it is in one group already: first come
+    Texts of equal sets are one class before anything is compared. Fingerprints and ``bands`` bands of ``rows`` minima say which
+    pairs of classes are looked at (:func:`candidates`): two texts of similarity s have an equal band with probability
+    1 - (1 - s^rows)^bands, wherever they differ. And every such pair is decided on the sets, unless it is in one group already: first come
     pairs that connect each bucket, then all pairs of a bucket that lie in different groups of the links found. Rows
     without a doc_id take no part. Other columns are not read. Empty input: empty.
     """
-    made = stored(sketches(docs.where("doc_id is not null"), words), "sketches")
+    made = stored(sketches(docs.where("doc_id is not null"), words, bands, rows), "sketches")
     classes = stored(made.groupBy("content").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("head"), *[F.first(c).alias(c) for c in ("n", "fp", "check")]).select(
-        F.monotonically_increasing_id().alias("id"), "head", "n", "fp", "check"), "classes")
+        F.min(F.struct("doc_id", "text_hash")).alias("head"), *[F.first(c).alias(c) for c in ("n", "fp", "check", "bands")]).select(
+        F.monotonically_increasing_id().alias("id"), "head", "n", "fp", "check", "bands"), "classes")
     find = (distance, count, check_distance)
     tried = stored(candidates(classes.withColumn("group", F.col("id")), *find, True), "tried")
     nodes = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -221,7 +238,7 @@ def heads(docs: DataFrame, words: int, distance: int, count: int, check_distance
         return classes.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
 
     # only classes that have a candidate can have another one
-    apart = stored(grouped(links).join(nodes, "id").select("id", "n", "fp", "check", "group"), "apart")
+    apart = stored(grouped(links).join(nodes, "id").select("id", "n", "fp", "check", "bands", "group"), "apart")
     rest = stored(candidates(apart, *find, False).join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(similar(rest, sets))
     return grouped(stored(links, "links")).groupBy("group").agg(F.min("head").alias("head")).select("head.*")

@@ -212,3 +212,9 @@ def test_candidates_of_one_bucket_are_all_decided(spark):
         rows += [(2 * i, " ".join(some)), (2 * i + 1, " ".join(some[:200] + ["twin"] + some[201:]))]
     root = joined([(a, b) for a, s in rows for b, t in rows if a < b and similarity(s, t) >= 0.8], [i for i, _ in rows])
     assert grouped(spark, rows) == {i for i in root if root[i] == i}
+
+
+def test_copies_are_found_wherever_they_differ(spark, copies):
+    root = joined([(a, b) for k in range(0, len(copies), 5) for (a, s) in copies[k:k + 5] for (b, t) in copies[k:k + 5]
+                   if a < b and similarity(s, t) >= 0.8], [i for i, _ in copies])
+    assert grouped(spark, copies) == {i for i in root if root[i] == i}

@@ -25,13 +25,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Of rows that repeat this doc_id one stays,
-    whichever; rows without a doc_id all stay."""
-    # texts move once more: the join and the choice among repeated rows are dealt by the same key
-    heads = stored(nearcopies.heads(docs, **NEAR).select(F.col("doc_id").alias("_id")).distinct(), "heads")
-    turn = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(docs["doc_id"]))
-    once = docs.where("doc_id is not null").join(heads, docs["doc_id"] == heads["_id"]).select(
-        *[docs[c] for c in docs.columns], turn.alias("_turn")).where("_turn = 1")
+    """One row of each group of near copies: that with the smallest doc_id, and of different texts with this doc_id that
+    with the smallest hash. Of rows that repeat doc_id and text the first by a hash of all columns stays; rows without a
+    doc_id all stay."""
+    # texts move once more: the join and the choice among repeated rows are dealt by the same keys
+    heads = stored(nearcopies.heads(docs, **NEAR).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_head")), "heads")
+    keyed = docs.where("doc_id is not null").withColumn("_text", nearcopies.text_hash())
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns)))
+    once = keyed.join(heads, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_head"))).select(
+        *docs.columns, turn.alias("_turn")).where("_turn = 1")
     return once.drop("_turn").unionByName(docs.where("doc_id is null"))
 
 

@@ -218,3 +218,12 @@ def test_copies_are_found_wherever_they_differ(spark, copies):
     root = joined([(a, b) for k in range(0, len(copies), 5) for (a, s) in copies[k:k + 5] for (b, t) in copies[k:k + 5]
                    if a < b and similarity(s, t) >= 0.8], [i for i, _ in copies])
     assert grouped(spark, copies) == {i for i in root if root[i] == i}
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    """3 ~ 5 (first text) and 5 (second text) ~ 9: one row of each pair stays."""
+    import corpus_pipeline
+    one, two, three = (" ".join(f"{c}{i}" for i in range(200)) for c in "abc")
+    rows = [(3, one), (5, one + " more"), (5, two), (9, two + " more"), (7, three), (7, three), (7, "other text here")]
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, made(spark, rows), "").collect())
+    assert got == [(3, one), (5, two), (7, three), (7, "other text here")]

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import (
-    ann, decontaminate, sentencepieces, simhash, substrings, token_counts, toolcalls, toxicity, urlgraph, warc,
+    ann, collocations, decontaminate, importance, quality, sentencepieces, simhash, substrings, token_counts, toolcalls, toxicity, urlgraph, warc,
 )
 
 
@@ -64,9 +64,22 @@ def op10_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     return toolcalls.formatted(calls, results, schemas).withColumn("problems", F.array_join("problems", "; "))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(_table(spark, sf, "documents"), _table(spark, sf, "labels").where("quality = 1"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hnsw_neighbours, op2_toxicity_chain, op3_token_counts, op4_simhash_near_dedup, op5_warc_archives,
-    op6_benchmark_decontamination, op7_substring_dedup, op8_sentencepiece, op9_url_link_graph, op10_tool_calls)}
+    op6_benchmark_decontamination, op7_substring_dedup, op8_sentencepiece, op9_url_link_graph, op10_tool_calls,
+    op11_collocations, op12_importance_resampling, op13_quality_rules)}
 
 
 
@@ -152,4 +165,22 @@ ORACLES = {
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+            words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+            places AS (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS size)),
+            f AS MATERIALIZED (SELECT lang, w[i:i + size - 1] AS p, count(*) AS n FROM places GROUP BY ALL HAVING count(*) >= 30),
+            candidates AS (SELECT lang, p, n AS a FROM f WHERE len(p) > 1),
+            cuts AS (SELECT c.lang, c.p, a, k, x.n AS l, y.n AS r, (2000000::HUGEINT * a // (x.n + y.n))::BIGINT AS score
+                FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM candidates) c
+                JOIN f x ON x.lang = c.lang AND x.p = c.p[:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+            best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+            inner_parts AS (SELECT DISTINCT lang, p[i:i + w - 1] AS p, a AS longer FROM (SELECT *, unnest(generate_series(1, len(p) - w + 1)) AS i
+                FROM (SELECT *, unnest(generate_series(2, len(p) - 1)) AS w FROM candidates))),
+            kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts x WHERE x.lang = b.lang AND x.p = b.p AND 100::HUGEINT * longer >= 80::HUGEINT * b.a)),
+            ranked AS (SELECT *, array_to_string(p, ' ') AS phrase FROM kept)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM ranked JOIN (SELECT lang, count(*) AS n FROM (SELECT lang, unnest(w) FROM words) GROUP BY lang) USING (lang)
+        QUALIFY rank <= 2000""",
 }

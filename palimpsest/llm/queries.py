@@ -58,10 +58,10 @@ def op9_url_link_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     schemas = spark.sql("""SELECT * FROM VALUES ('lookup', 'query', 'string', true), ('lookup', 'words', 'integer', true),
-        ('answer', 'query', 'string', true), ('answer', 'words', 'integer', true), ('answer', 'lang', 'string', true)
+        ('answer', 'query', 'array', true), ('answer', 'words', 'integer', true), ('answer', 'lang', 'string', false)
         AS schemas(tool, parameter, type, required)""")
-    calls, results = toolcalls.exchanges(_table(spark, sf, "conversations"))
-    return toolcalls.formatted(calls, results, schemas).withColumn("problems", F.array_join("problems", "; "))
+    calls, results, context = toolcalls.exchanges(_table(spark, sf, "conversations"))
+    return toolcalls.formatted(calls, results, schemas).unionByName(context).withColumn("problems", F.array_join("problems", "; "))
 
 
 def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,20 +125,34 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to FROM d""",
     "op9_url_link_graph": _graph_sql(),
     "op10_tool_calls": r"""
-        WITH RECURSIVE t AS (SELECT conv_id AS conversation, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations),
-        calls AS (SELECT 'call_' || conversation || '_' || turn AS call_id, conversation, turn, CASE WHEN words <= 20 THEN 'lookup' ELSE 'answer' END AS name, text, words,
-                  CASE WHEN turn >= 2 THEN 'call_' || conversation || '_' || (turn - 2) END AS parent FROM t WHERE role = 'user'),
-        levels AS (SELECT call_id, 0 AS level FROM calls WHERE parent IS NULL OR parent NOT IN (SELECT call_id FROM calls)
-                   UNION ALL SELECT c.call_id, level + 1 FROM levels l JOIN calls c ON c.parent = l.call_id),
-        answers AS (SELECT 'call_' || conversation || '_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS results FROM t WHERE role = 'assistant' GROUP BY ALL),
-        told AS (SELECT c.*, level, content, coalesce(results, 0)::BIGINT AS results,
-                 concat_ws('; ', CASE WHEN name = 'answer' THEN 'missing lang' END, CASE WHEN level = 0 AND parent IS NOT NULL THEN 'unknown parent' END) AS problems
-                 FROM calls c JOIN levels USING (call_id) LEFT JOIN answers USING (call_id))
-        SELECT conversation, turn, call_id, level::BIGINT AS level, CASE WHEN results = 0 THEN 'pending' ELSE 'linked' END AS status, results, problems,
-               problems = '' AS valid,
-               '{"arguments":{"query":' || to_json(text) || ',"words":' || words || '},"id":"' || call_id || '","name":"' || name || '"' ||
+        WITH RECURSIVE t AS (SELECT conv_id AS conversation, turn::BIGINT AS turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations),
+        asked AS (SELECT DISTINCT conversation, turn, 'call_' || turn AS call_id, CASE WHEN words <= 20 THEN 'lookup' ELSE 'answer' END AS name, contains(text, chr(10)) AS many,
+                  '{"query":' || CASE WHEN contains(text, chr(10)) THEN to_json(string_split(text, chr(10)))::VARCHAR ELSE to_json(text)::VARCHAR END || ',"words":' || words || '}' AS arguments,
+                  CASE WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS parent FROM t WHERE role = 'user'),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conversation, call_id ORDER BY turn, name, arguments, parent NULLS FIRST) AS place FROM asked),
+        calls AS (SELECT * FROM numbered WHERE place = 1),
+        levels AS (SELECT conversation, call_id, 0 AS level FROM calls c WHERE parent IS NULL OR NOT EXISTS (
+                       SELECT 1 FROM calls p WHERE p.conversation = c.conversation AND p.call_id = c.parent)
+                   UNION ALL SELECT c.conversation, c.call_id, level + 1 FROM levels l JOIN calls c ON c.conversation = l.conversation AND c.parent = l.call_id),
+        told AS (SELECT conversation, 'call_' || (turn - 1) AS call_id, text AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY ALL),
+        answers AS (SELECT conversation, call_id, min(content) AS content, sum(n)::BIGINT AS results FROM told GROUP BY ALL),
+        every AS (SELECT n.*, CASE WHEN place = 1 THEN level END AS level, CASE WHEN place = 1 THEN content END AS content,
+                  CASE WHEN place = 1 THEN results END AS results FROM numbered n LEFT JOIN levels USING (conversation, call_id) LEFT JOIN answers USING (conversation, call_id)),
+        checked AS (SELECT *, concat_ws('; ', CASE WHEN many <> (name = 'answer') THEN 'type of query' END,
+                    CASE WHEN level = 0 AND parent IS NOT NULL THEN 'unknown parent' END) AS problems FROM every)
+        SELECT conversation, turn, call_id, level::BIGINT AS level, CASE WHEN place > 1 THEN 'duplicate' WHEN results IS NULL THEN 'pending' ELSE 'linked' END AS status,
+               coalesce(results, 0) AS results, problems, problems = '' AS valid,
+               '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '"' ||
                CASE WHEN parent IS NOT NULL THEN ',"parent":"' || parent || '"' ELSE '' END ||
-               CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}' AS message FROM told""".replace("\\\\x", "\\x"),
+               CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}' AS message FROM checked
+        UNION ALL SELECT r.conversation, NULL, r.call_id, NULL, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'extra' END, n,
+               CASE WHEN c.call_id IS NULL THEN 'unknown call' ELSE '' END, c.call_id IS NOT NULL,
+               '{"id":"' || r.call_id || '"' || CASE WHEN r.content IS NOT NULL THEN ',"result":' || to_json(r.content) ELSE '' END || '}'
+        FROM told r LEFT JOIN calls c USING (conversation, call_id) LEFT JOIN answers a ON a.conversation = r.conversation AND a.call_id = r.call_id
+        WHERE c.call_id IS NULL OR r.content IS DISTINCT FROM a.content
+        UNION ALL SELECT conversation, turn, NULL, NULL, 'context', 0, '', true,
+               '{' || CASE WHEN text IS NOT NULL THEN '"content":' || to_json(text) || ',' ELSE '' END || '"role":' || to_json(role) || '}'
+        FROM t WHERE role NOT IN ('user', 'assistant')""",
     "op6_benchmark_decontamination": r"""
         WITH texts AS (
             SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -85,24 +85,61 @@ def calls(spark, rows):
     return spark.createDataFrame(rows, "call_id string, conversation long, turn long, name string, arguments string, parent_id string, level string")
 
 
+SCHEMAS = [("t", "q", "string", True), ("t", "n", "integer", False), ("t", "z", "array", False), (None, "q", "string", True)]
+
+
+def schemas(spark):
+    return spark.createDataFrame(SCHEMAS, "tool string, parameter string, type string, required boolean")
+
+
+def results(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "conversation long, call_id string, content string, status string")
+
+
 def test_tool_calls(spark):
     good = '{"z": [1, {"y": null, "a": "é\\n"}], "q": "x", "n": 3}'
     rows = [("a", 1, 0, "t", good, None, "x"), ("b", 1, 2, "t", '{"q": 5, "more": 1}', "a", "x"), ("c", 1, 4, "t", "not json", "b", "x"),
             ("d", 1, 6, "other", "{}", "gone", "x"), ("e", 2, 0, "t", "[1]", "f", "x"), ("f", 2, 1, "t", None, "e", "x"), ("g", 2, 2, "t", '{"q": ""}', "f", "x"),
             (None, 3, 0, "t", "{}", None, "x"), ("a", 1, 9, "t", "{}", "b", "x"), ("h", None, None, None, '{"q": "x"}', None, "x")]
-    results = spark.createDataFrame([("a", "two"), ("a", "one"), ("b", None), (None, "lost"), ("zz", "nobody")], "call_id string, content string")
-    schemas = spark.createDataFrame([("t", "q", "string", True), ("t", "n", "integer", False), ("t", "z", "array", False), (None, "q", "string", True)],
-                                    "tool string, parameter string, type string, required boolean")
-    got = {r.call_id: r for r in toolcalls.formatted(calls(spark, rows), results, schemas).collect()}
+    told = results(spark, [(1, "a", "two"), (1, "a", "one"), (1, "a", None), (1, "b", None), (1, None, "lost"), (1, "zz", "nobody"), (2, "a", "elsewhere"), (None, "h", "y"), (None, "h", "y")])
+    every = toolcalls.formatted(calls(spark, rows + rows[:1]), told, schemas(spark)).collect()
+    got = {r.call_id: r for r in every if r.status in ("linked", "pending", "cycle")}
     assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": None, "f": None, "g": None, "h": 0}
-    assert {k: r.status for k, r in got.items()} == {"a": "linked", "b": "linked", **dict.fromkeys("cdh", "pending"), **dict.fromkeys("efg", "cycle")}
+    assert {k: r.status for k, r in got.items()} == {**dict.fromkeys("abh", "linked"), **dict.fromkeys("cd", "pending"), **dict.fromkeys("efg", "cycle")}
     assert {k: list(r.problems) for k, r in got.items()} == {
         "a": [], "b": ["type of q", "unknown more"], "c": ["not an object"], "d": ["unknown tool", "unknown parent"], "e": ["not an object"],
         "f": ["not an object"], "g": [], "h": ["unknown tool"]}
-    assert got["a"].valid and not got["b"].valid and (got["a"].results, got["b"].results, got["c"].results) == (2, 1, 0)
+    assert got["a"].valid and not got["b"].valid and [got[k].results for k in "abch"] == [3, 1, 0, 2]
     assert got["a"].message == '{"arguments":{"n":3,"q":"x","z":[1,{"a":"é\\n","y":null}]},"id":"a","name":"t","result":"one"}'
     assert json.loads(got["c"].message) == {"arguments_text": "not json", "id": "c", "name": "t", "parent": "b"}
-    assert toolcalls.formatted(calls(spark, rows).limit(0), results, schemas).count() == 0
+    rest = sorted((str(r.conversation), str(r.turn), str(r.call_id), r.status, r.results, "; ".join(r.problems), r.message) for r in every if r.status not in ("linked", "pending", "cycle"))
+    assert rest == [
+        ("1", "9", "a", "duplicate", 0, "missing q", '{"arguments":{},"id":"a","name":"t","parent":"b"}'),
+        ("1", "None", "None", "orphan", 1, "unknown call", '{"result":"lost"}'), ("1", "None", "a", "extra", 1, "", '{"id":"a","result":"two"}'),
+        ("1", "None", "a", "extra", 1, "", '{"id":"a"}'), ("1", "None", "zz", "orphan", 1, "unknown call", '{"id":"zz","result":"nobody"}'),
+        ("2", "None", "a", "orphan", 1, "unknown call", '{"id":"a","result":"elsewhere"}'),
+        ("3", "0", "None", "unidentified", 0, "missing q", '{"arguments":{},"name":"t"}')]
+    assert toolcalls.formatted(calls(spark, rows).limit(0), told.limit(0), schemas(spark)).count() == 0
+    assert toolcalls.formatted(calls(spark, rows).limit(0), told, schemas(spark)).count() == 8
+
+
+def test_one_identifier_in_every_conversation(spark):
+    rows = [("call_1", c, 1, "t", f'{{"q": "{c}"}}', None, "x") for c in range(500)] + [("call_1", 7, 3, "t", '{"q": "again"}', "call_1", "x")]
+    got = toolcalls.formatted(calls(spark, rows), results(spark, [(c, "call_1", f"r{c}") for c in range(0, 520, 2)]), schemas(spark)).collect()
+    assert sorted((r.status, r.conversation) for r in got) == sorted(
+        [("linked" if c % 2 == 0 else "pending", c) for c in range(500)] + [("duplicate", 7)] + [("orphan", c) for c in range(500, 520, 2)])
+    assert all(json.loads(r.message)["arguments"]["q"] == str(r.conversation) for r in got if r.status in ("linked", "pending"))
+
+
+def test_exchanges_keep_every_turn(spark):
+    chat = spark.createDataFrame([(1, 0, "system", "be brief"), (1, 1, "user", "one\ntwo"), (1, 2, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 3, "user", None),
+                                  (2, 1, "user", "w " * 30), (2, 5, "assistant", "late"), (2, 6, None, "?"), (2, 7, "tool", None), (2, 1, "user", "w " * 30)],
+                                 "conv_id int, turn int, role string, text string")
+    told, answers, context = toolcalls.exchanges(chat)
+    got = toolcalls.formatted(told, answers, schemas(spark)).unionByName(context).collect()
+    assert sorted((r.conversation, str(r.turn), r.status) for r in got) == [
+        (1, "0", "context"), (1, "1", "linked"), (1, "3", "pending"), (1, "None", "extra"), (2, "1", "pending"), (2, "6", "context"), (2, "7", "context"), (2, "None", "orphan")]
+    assert json.loads(next(r.message for r in got if (r.conversation, r.turn) == (1, 1)))["arguments"] == {"query": ["one", "two"], "words": 2}
 
 
 def test_long_chains_take_few_rounds(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.domain import AXES, CHANGE_KEY
 from palimpsest.functions.labels import blank_unchanged, is_pending, pick_labels
-from palimpsest.learn.neighbours import neighbour_shares, send_points, weighted_points
+from palimpsest.learn.neighbours import shares_by, weighted_points
 from palimpsest.learn.prepare import FOLD, Scaler, binarise, fit_scaler, label_classes, numeric, stratified_folds, truth_column
 from palimpsest.operators.evaluation import label_metrics
 from palimpsest.session import shared_dir
@@ -58,7 +58,7 @@ class Bundle:
     scaler: Scaler
     models: dict = field(default_factory=dict)
     points: dict = field(default_factory=dict)
-    sent: dict = field(default_factory=dict)  # points of each fold as a broadcast, made once
+    voters: dict = field(default_factory=dict)  # how each fold's points are searched, made once
 
     @property
     def folds(self) -> list[int]:
@@ -115,9 +115,9 @@ def _fold_probabilities(df: DataFrame, bundle: Bundle, fold: int) -> DataFrame:
     """Add p_{fold}_{i} for every class i."""
     names = [f"p_{fold}_{i}" for i in range(len(bundle.classes))]
     if bundle.algo == "kn":
-        if fold not in bundle.sent:
-            bundle.sent[fold] = send_points(bundle.points[fold])
-        shares = neighbour_shares(df, bundle.sent[fold], bundle.params.get("k", 5), "_shares")
+        if fold not in bundle.voters:
+            bundle.voters[fold] = shares_by(bundle.points[fold], bundle.params.get("k", 5))
+        shares = bundle.voters[fold](df, "_shares")
         return shares.select("*", *[F.col("_shares")[i].alias(n) for i, n in enumerate(names)]).drop("_shares")
     for i, label in enumerate(bundle.classes):
         df = _probability(df, bundle.models[(fold, label)], names[i])

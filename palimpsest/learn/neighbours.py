@@ -1,22 +1,25 @@
 """Exact k-nearest-neighbour class shares.
 
-Equal training points are counted once with a weight. The distinct points are sent to all
-tasks once per bundle, under a bound in bytes; queries are answered where they are.
+Equal training points are counted once with a weight. :func:`neighbour_shares` partitions points by pivots and shuffles;
+:func:`shares_by` sends a sample of labelled rows to all tasks where it is small, with the same result.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.shipping import by_value
+from palimpsest.session import shared_dir
 
 by_value(__name__)
 
 _SHARES = T.ArrayType(T.DoubleType())
-#: bytes of training points (rows x numbers x 8) that may be sent to all tasks
-MOST_BYTES = 512 << 20
+#: bytes of labelled fit rows (rows x numbers x 8) up to which they are sent to all tasks
+SMALL_BYTES = 16 << 20
+#: points of a cell as the pivots are chosen, pivots at most, rows of either side that one task compares
+PER_CELL, MOST_PIVOTS, BLOCK = 2_048, 512, 4_096
 
 
 def weighted_points(df: DataFrame, truths) -> DataFrame:
@@ -56,23 +59,26 @@ def _vote(dist, ys, weights, k):
     return (taken[:, :, None] * ys[near]).sum(axis=1) / total
 
 
-def send_points(points: DataFrame, most_bytes: int = MOST_BYTES):
-    """The points as a broadcast, sorted by hash; more than ``most_bytes`` of them is an error, never another method.
-
-    Reduce the labelled rows that are used to fit, or raise the bound, if it does not fit.
-    """
-    rows, wide = points.agg(F.count(F.lit(1)), F.max(F.size("features") + F.size("ys"))).first()
-    if rows * ((wide or 0) + 2) * 8 > most_bytes:
-        raise ValueError(f"{rows} training points of {wide} numbers exceed {most_bytes} bytes")
+def _size(points: DataFrame) -> tuple[int, int, int]:
+    """(rows, numbers of a point, classes)."""
+    rows, wide, classes = points.agg(F.count(F.lit(1)), F.max(F.size("features")), F.max(F.size("ys"))).first()
     if not rows:
         raise ValueError("no training points")
+    return rows, wide, classes
+
+
+def shares_by(points: DataFrame, k: int):
+    """A function (queries, out) that adds class shares; ``points`` are labelled fit rows.
+
+    Up to ``SMALL_BYTES`` of them are sent to all tasks once; more are searched by cells. The result does not depend on it.
+    """
+    rows, wide, classes = _size(points)
+    if rows * (wide + classes + 1) * 8 > SMALL_BYTES:
+        return lambda queries, out: neighbour_shares(queries, points, k, out)
     table = points.orderBy("h").toPandas()
-    return points.sparkSession.sparkContext.broadcast((
+    sent = points.sparkSession.sparkContext.broadcast((
         np.stack(table["features"].to_numpy()), np.stack(table["ys"].to_numpy()), table["w"].to_numpy()))
 
-
-def neighbour_shares(queries: DataFrame, sent, k: int, out: str = "shares") -> DataFrame:
-    """Add the share of each class among the k nearest training points of ``features``; ``sent`` is from send_points."""
     @F.pandas_udf(_SHARES)
     def vote(features: pd.Series) -> pd.Series:
         known, ys, w = sent.value
@@ -83,4 +89,101 @@ def neighbour_shares(queries: DataFrame, sent, k: int, out: str = "shares") -> D
         parts = [_vote(_distances(asked[i:i + step], known), ys, w, k) for i in range(0, len(asked), step)]
         return pd.Series(list(np.concatenate(parts)))
 
-    return queries.withColumn(out, vote(F.col("features")))
+    return lambda queries, out: queries.withColumn(out, vote(F.col("features")))
+
+
+def _assigned(df: DataFrame, pivots) -> DataFrame:
+    """Add the cell of the nearest pivot and the distance to it."""
+    @F.pandas_udf("struct<cell:int,far:double>")
+    def nearest(features: pd.Series) -> pd.DataFrame:
+        if not len(features):
+            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "far": pd.Series(dtype="float64")})
+        d = _distances(np.stack(features.to_numpy()), pivots.value)
+        cell = d.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "far": d[np.arange(len(d)), cell]})
+
+    return df.withColumn("_a", nearest("features")).select(*df.columns, "_a.cell", "_a.far")
+
+
+def _searched(visits: DataFrame, points: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """(qid, d, h, w, ys): of each pair of blocks the k nearest points of each query that visits the cell.
+
+    Cells and their visitors are cut into blocks of bounded size, so a crowded cell is many groups.
+    """
+    spread = cells.join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")), "cell").select(
+        "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("q"))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = visits.join(spread, "cell").select("cell", span("p").alias("pb"), F.pmod(F.xxhash64("qid"), F.col("q")).cast("int").alias("qb"), "qid", F.col("features").alias("asked"))
+    right = points.join(spread, "cell").select("cell", F.pmod(F.xxhash64("h"), F.col("p")).cast("int").alias("pb"), span("q").alias("qb"), F.col("features").alias("known"), "ys", "w", "h")
+
+    def compare(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(known):
+            return pd.DataFrame({"qid": [], "d": [], "h": [], "w": [], "ys": []})
+        known = known.sort_values("h", kind="stable")
+        d = _distances(np.stack(asked["asked"].to_numpy()), np.stack(known["known"].to_numpy()))
+        near = _nearest(d, k)
+        at = near.ravel()
+        return pd.DataFrame({"qid": np.repeat(asked["qid"].to_numpy(), near.shape[1]), "d": np.take_along_axis(d, near, 1).ravel(),
+                             "h": known["h"].to_numpy()[at], "w": known["w"].to_numpy()[at], "ys": known["ys"].to_numpy()[at]})
+
+    keys = ["cell", "pb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid long, d double, h long, w long, ys array<double>")
+
+
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query with the weight before each; a task passes on no more than k rows of a query."""
+    order = Window.partitionBy("qid").orderBy("d", "h")
+    kept = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return kept.withColumn("before", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).drop("_n")
+
+
+def neighbour_shares(queries: DataFrame, points: DataFrame, k: int, out: str = "shares", per_cell: int | None = None) -> DataFrame:
+    """Add the share of each class among the k nearest training points of ``features``; points are from weighted_points.
+
+    Exact Euclidean search without a full comparison where the data allow it. Pivots (a bounded sample of the points) cut
+    space into Voronoi cells, of which each keeps size and radius. A query is first answered in its own cell; the k-th
+    distance found there rules out every cell that the triangle inequality puts further away, and the query visits the others.
+    Ties go to the smaller hash. What the driver sees are pivots and one row a cell, both at most ``MOST_PIVOTS``.
+    """
+    shared_dir(queries.sparkSession)
+    spark = queries.sparkSession
+    rows, _, classes = _size(points)
+    wanted = max(1, min(MOST_PIVOTS, rows // (per_cell or PER_CELL)))
+    pivots = spark.sparkContext.broadcast(np.array([r.features for r in points.orderBy("h").limit(wanted).collect()]))
+    points = _assigned(points, pivots).checkpoint()
+    asked = _assigned(queries.select("features").distinct(), pivots).withColumn("qid", F.monotonically_increasing_id()).checkpoint()
+    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.max("far").alias("radius")).checkpoint()
+    size = cells.toPandas().set_index("cell").reindex(range(len(pivots.value)))
+    known = spark.sparkContext.broadcast((size["w"].fillna(0).to_numpy(), size["radius"].fillna(-np.inf).to_numpy(), _distances(pivots.value, pivots.value)))
+
+    own = _first(_searched(asked, points, cells, k), k).checkpoint()
+    reached = own.groupBy("qid").agg(F.min(F.when(F.col("before") + F.col("w") >= k, F.col("d"))).alias("bound"))
+
+    @F.pandas_udf("array<int>")
+    def visits(features: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        weight, radius, between = known.value
+        d = _distances(np.stack(features.to_numpy()), pivots.value)
+        result = []
+        for row, c, most in zip(d, cell.to_numpy(), bound.to_numpy()):
+            if np.isnan(most):  # fewer than k points in the own cell: as far as the nearest whole cells that hold k
+                far = row + radius
+                order = np.argsort(far, kind="stable")
+                order = order[weight[order] > 0]
+                enough = np.searchsorted(np.cumsum(weight[order]), k)
+                most = far[order[min(enough, len(order) - 1)]] if enough < len(order) else np.inf
+            with np.errstate(divide="ignore", invalid="ignore"):
+                beyond = (row ** 2 - row[c] ** 2) / (2 * between[c])  # to the plane halfway to the other pivot
+            least = np.fmax(row - radius, beyond)
+            ok = (least <= most * (1 + 1e-9) + 1e-12) & (weight > 0)
+            ok[c] = False
+            result.append(np.flatnonzero(ok).astype("int32"))
+        return pd.Series(result)
+
+    more = asked.join(reached, "qid", "left").select("qid", "features", F.explode(visits("features", "cell", "bound")).alias("cell")).checkpoint()
+    near = _first(own.drop("before").unionByName(_searched(more, points, cells, k)), k)
+    taken = F.greatest(F.lit(0), F.least(F.col("w"), k - F.col("before")))
+    voted = near.groupBy("qid").agg(F.sum(taken).alias("_t"), *[F.sum(taken * F.col("ys")[i]).alias(f"_y{i}") for i in range(classes)])
+    shares = asked.join(voted, "qid").select(F.col("features").alias("_features"), F.array(*[F.col(f"_y{i}") / F.col("_t") for i in range(classes)]).alias(out))
+    return queries.join(shares, F.col("features") == F.col("_features"), "left").drop("_features")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.domain import GOLD_SCHEMA
 from palimpsest.learn import classifiers, prepare
-from palimpsest.learn.neighbours import neighbour_shares, send_points, weighted_points
+from palimpsest.learn import neighbours
+from palimpsest.learn.neighbours import neighbour_shares, shares_by, weighted_points
 from palimpsest.operators.ordered import Split
 from palimpsest.operators.reversion import first_reversion
 from palimpsest.operators.routing import features_for
@@ -44,17 +45,42 @@ def brute_shares(points, k):
     return out
 
 
-def test_neighbours_are_exact(points):
-    got = neighbour_shares(points, send_points(weighted_points(points, ["a", "b"])), 7, "s")
-    want = brute_shares(points, 7)
-    rows = got.collect()
+def search(way, points, k):
+    known = weighted_points(points, ["a", "b"])
+    return shares_by(known, k)(points, "s") if way == "sent" else neighbour_shares(points, known, k, "s", per_cell=way)
+
+
+# by cells: one cell, about ten, about a hundred with fewer points than k in most of them
+@pytest.mark.parametrize("way,k", [("sent", 7), (5_000, 7), (20, 7), (2, 7), (2, 40), (20, 500)])
+def test_neighbours_are_exact(points, monkeypatch, way, k):
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    want = brute_shares(points, min(k, 300))
+    rows = search(way, points, k).collect()
     assert len(rows) == 300
     assert all(tuple(round(x, 9) for x in r["s"]) == want[tuple(r["features"])] for r in rows)
 
 
-def test_too_many_training_points_are_an_error(points):
-    with pytest.raises(ValueError, match="exceed"):
-        send_points(weighted_points(points, ["a", "b"]), most_bytes=1000)
+def test_many_training_points_are_searched_by_cells(points, monkeypatch):
+    monkeypatch.setattr(neighbours, "SMALL_BYTES", 1000)
+    sent = {tuple(r["features"]): r["s"] for r in neighbour_shares(points, weighted_points(points, ["a", "b"]), 7, "s").collect()}
+    for r in search("sent", points, 7).collect():
+        assert r["s"] == pytest.approx(sent[tuple(r["features"])])
+
+
+def test_cells_are_ruled_out(spark, monkeypatch):
+    """Clusters far apart: what is compared is a small part of all pairs."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(size=(60, 4)) + 100 * c for c in range(20)])
+    table = spark.createDataFrame([(v.tolist(), float(i % 2)) for i, v in enumerate(values)], "features array<double>, y double")
+    seen, search_ = [], neighbours._searched
+
+    def counted(visits, *rest):
+        seen.append(visits.count())
+        return search_(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    assert neighbour_shares(table, weighted_points(table, ["y"]), 5, "s", per_cell=20).count() == 1200
+    assert seen[0] == 1200 and seen[1] < 1200 * 12
 
 
 def test_depths_beyond_the_limit_are_one_or_refused():

@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of shingles; fingerprints only find the pairs that are looked at."""
+"""Near copies by exact similarity of shingles; fingerprints and bands only say which texts are compared."""
 
 import numpy as np
 import pyarrow as pa
@@ -7,23 +7,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import components, map_texts, stored
-from palimpsest.llm.simhash import _BUCKET, _SEED, _probes, _simhash
+from palimpsest.llm.common import by_bytes, components, map_texts, stored
+from palimpsest.llm.simhash import _SEED, links
+from palimpsest.llm.substrings import _filter, _hits
+from palimpsest.llm.words import _FACTORS, Words, mixed
 
 #: values hashed at once; bounds the memory of one very long text
 _BLOCK = 8_192
-#: segments from this number on are bands of minima, below it they are shifts of the fingerprint
-_BANDS = 64
-
-
-def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
-    """Sorted distinct XXH64 of the ``words``-word shingles; fewer words are one shingle, none are no shingle."""
-    n = max(1, len(tokens) - words + 1) if tokens else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i:i + words]), _SEED) for i in range(n)), np.uint64, n))
+#: shingles of the sets that one task compares at once; larger groups are taken apart
+_SHINGLES = 2_000_000
+
+
+def _shingles(texts: list, words: int) -> tuple[Words, list[np.ndarray]]:
+    """The words of texts (A-Z lower-cased), and for each the sorted distinct hashes of its ``words``-word shingles; fewer words are one
+    shingle, none are no shingle."""
+    found = Words(texts, lower=True)
+    grams, out = found.grams(words), []
+    for a, b in zip(found.first.tolist(), found.first.tolist()[1:]):
+        if b - a >= words:
+            out.append(np.unique(grams[a:b - words + 1]))
+        elif b > a:
+            few = (found.hash[a:b] * _FACTORS[:b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mixed(few + np.uint64(b - a)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return found, out
 
 
 def _majority(h: np.ndarray) -> int:
-    """The SimHash of hashed shingles, as a signed 64-bit number."""
+    """The SimHash of distinct hashes, as a signed 64-bit number."""
     votes = np.zeros(64, np.int64)
     for start in range(0, len(h), _BLOCK):
         votes += np.unpackbits(h[start:start + _BLOCK].byteswap().view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -43,8 +55,13 @@ def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (least * mix).reshape(bands, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def text_hash():
+    """Tells apart rows that repeat a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash")).alias("key"), "text")
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -56,160 +73,153 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(keys, texts):
-        tokens = [_tokens(t) for t in texts]
-        sets = [_shingles(t, words) for t in tokens]
+        found, sets = _shingles(texts, words)
+        cut = found.first.tolist()
         return {"doc_id": [k["doc_id"] for k in keys], "text_hash": [k["text_hash"] for k in keys],
                 "content": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets],
-                "fp": [_simhash(t, 1, True) for t in tokens], "check": [_majority(h) for h in sets],
+                "fp": [_majority(np.unique(found.hash[a:b])) for a, b in zip(cut, cut[1:])], "check": [_majority(h) for h in sets],
                 "bands": [_bands(h, bands, rows) for h in sets]}
 
-    return map_texts(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash")).alias("key"), "text"),
-                     "key", "text", run, schema)
+    return map_texts(_keyed(docs), "key", "text", run, schema)
 
 
-def text_hash():
-    """Tells apart rows that repeat a doc_id."""
-    return F.xxhash64(F.col("text").cast("string"))
+def forest(ids: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """Edges between sets with a Jaccard similarity of 0.8 or more that connect all such pairs; set i is values[starts[i]:starts[i + 1]].
 
-
-class _Bucketed:
-    """Rows in runs of one bucket each, and which of them are candidates."""
-
-    def __init__(self, cols: dict[str, np.ndarray], distance: int, check_distance: int, spanning: bool):
-        self.__dict__.update(cols)
-        self.fp, self.check = self.fp.view(np.uint64), self.check.view(np.uint64)
-        self.distance, self.check_distance, self.spanning = distance, check_distance, spanning
-
-    def near(self, i, j) -> np.ndarray:
-        # sizes further apart than 4 to 5 exclude a similarity of 0.8
-        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        return (5 * low >= 4 * high) & (self.group[i] != self.group[j]) & ((self.segment[i] >= _BANDS) | (
-            (np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance) & (np.bitwise_count(self.check[i] ^ self.check[j]) <= self.check_distance)))
-
-    def one(self, s: int, e: int):
-        """Candidates of one run; a spanning forest where there are many and ``spanning`` is set."""
-        heads, tails, count = [], [], 0
-        step = max(1, (1 << 20) // (e - s))
-        for r in range(s, e, step):
-            stop = min(e, r + step)
-            if self.segment[s] >= _BANDS:
-                close = np.ones((stop - r, e - r), bool)
-            else:
-                close = np.bitwise_count(self.fp[r:stop, None] ^ self.fp[None, r:e]) <= self.distance
-            a, b = np.nonzero(close)
-            a, b = a[a < b] + r, b[a < b] + r
-            ok = self.near(a, b)
-            heads.append(a[ok])
-            tails.append(b[ok])
-            count += int(ok.sum())
-            if self.spanning and count > 4 * (e - s):
-                return self.forest(s, e)
-        return heads, tails
-
-    def forest(self, s: int, e: int):
-        left, heads, tails = np.arange(s, e), [], []
-        while len(left):
-            stack, left = [left[0]], left[1:]
-            while stack and len(left):
-                x = stack.pop()
-                near = self.near(left, x)
-                if near.any():
-                    new, left = left[near], left[~near]
-                    heads.append(np.full(len(new), x))
-                    tails.append(new)
-                    stack.extend(new.tolist())
-        return heads, tails
-
-    def pairs(self, starts: np.ndarray, ends: np.ndarray):
-        """Candidates inside each run [start, end): small runs all at once by shifts, larger ones one by one."""
-        heads, tails = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        sizes = ends - starts
-        small = (sizes > 1) & (sizes <= 16)
-        at = np.concatenate([np.arange(s, e) for s, e in zip(starts[small], ends[small])]) if small.any() else np.empty(0, np.int64)
-        stop = np.repeat(ends[small], sizes[small])
-        for shift in range(1, 16):
-            keep = at + shift < stop
-            at, stop = at[keep], stop[keep]
-            near = self.near(at, at + shift)
-            heads.append(at[near])
-            tails.append(at[near] + shift)
-        for s, e in zip(starts[sizes > 16], ends[sizes > 16]):
-            if (self.group[s:e] != self.group[s]).any():
-                h, t = self.one(int(s), int(e))
-                heads += h
-                tails += t
-        a, b = self.id[np.concatenate(heads)], self.id[np.concatenate(tails)]
-        return np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(classes: DataFrame, distance: int, count: int, check_distance: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of classes (id, n, fp, check, bands, group) of different groups that may be similar.
-
-    Pairs are those with an equal band, and those of fingerprints at most ``distance`` bits apart, whose check fingerprints
-    are at most ``check_distance`` apart. With ``spanning``, a bucket of many gives edges that connect what all its pairs would;
-    every class that has a candidate occurs in them. Buckets above a fixed size are cut into blocks, and each pair of
-    blocks is a bucket.
+    A set that is similar to x has one of the rarest fifth of x's values among its own rarest fifth. An index of these finds
+    whom x is compared with; what has been reached is not compared again.
     """
-    names = ["id", "n", "fp", "check", "group"]
-    rows = classes.select(*names, F.explode(F.concat(_probes(distance, count), F.transform("bands", lambda x, i: F.struct(
-        (i + _BANDS).alias("segment"), x.alias("value"))))).alias("k")).select(*names, "k.segment", "k.value")
-    full = rows.groupBy("segment", "value").count().where(F.col("count") > _BUCKET).select(
-        "segment", "value", F.ceil(F.col("count") / _BUCKET).cast("int").alias("blocks"))
+    size = np.diff(starts)
+    owner = np.repeat(np.arange(len(ids)), size)
+    _, code, often = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    rarity = rank[code]
+    rarity = rarity[np.lexsort((rarity, owner))]
+    shared = np.empty(len(often), bool)
+    shared[rank] = often > 1
+    prefix = (np.arange(len(values)) - starts[owner] < (size - (4 * size + 4) // 5 + 1)[owner]) & shared[rarity]
+    key, holder = rarity[prefix], owner[prefix]
+    order = np.argsort(key, kind="stable")
+    key, holder = key[order], holder[order]
+    begin, end = np.searchsorted(key, np.arange(len(often))), np.searchsorted(key, np.arange(len(often)), side="right")
+    left, flag = np.ones(len(ids), bool), np.zeros(len(often), bool)
+    remaining, heads, tails = int(size.sum()), [], []
+    for first in range(len(ids)):
+        if not left[first]:
+            continue
+        left[first] = False
+        remaining -= int(size[first])
+        stack = [first]
+        while stack and remaining:
+            x = stack.pop()
+            mine = rarity[starts[x]:starts[x + 1]]
+            asked = mine[:size[x] - (4 * size[x] + 4) // 5 + 1]
+            if int((end[asked] - begin[asked]).sum()) > remaining:
+                near = np.flatnonzero(left)
+            else:
+                near = [holder[a:b] for a, b in zip(begin[asked].tolist(), end[asked].tolist()) if b - a > 1]
+                near = np.unique(np.concatenate(near)) if near else np.empty(0, np.int64)
+                near = near[left[near]]
+            near = near[(5 * np.minimum(size[near], size[x]) >= 4 * np.maximum(size[near], size[x])) & (size[near] > 0)]
+            if not len(near):
+                continue
+            flag[mine] = True
+            both = np.add.reduceat(flag[np.concatenate([rarity[starts[c]:starts[c + 1]] for c in near.tolist()])].astype(np.int64),
+                                   np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+            flag[mine] = False
+            near = near[9 * both >= 4 * (size[near] + size[x])]
+            left[near] = False
+            remaining -= int(size[near].sum())
+            heads += [ids[x]] * len(near)
+            tails += ids[near].tolist()
+            stack.extend(near.tolist())
+    return heads, tails
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(id, n, band, value) of classes (id, n, bands)."""
+    return classes.select("id", "n", F.posexplode("bands").alias("band", "value"))
+
+
+def _candidate_edges(classes: DataFrame, distance: int, count: int, check_distance: int) -> DataFrame:
+    """Edges (a, b) that connect what shares a band, and what has near fingerprints; as many as there are such memberships."""
+    rows = _buckets(classes)
+    shared = rows.groupBy("band", "value").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band", "value", "a")
+    stars = rows.join(shared, ["band", "value"]).where("a < id").select("a", F.col("id").alias("b"))
+    return stars.unionByName(links(classes.select("id", "fp", "check"), distance, count, check_distance)).distinct()
+
+
+def _dealt(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, part, id): who is compared with whom. A component of candidates is one group if its sets are not too many; else each of its
+    buckets is, equal ones once, and each near pair of fingerprints; fuller buckets go as pairs of blocks."""
+    found = stored(components(edges).join(classes.select("id", "n", "bands"), F.col("node") == F.col("id")), "candidates")
+    weight = found.groupBy("root").agg(F.sum("n").alias("weight"))
+    small = found.join(weight.where(F.col("weight") <= _SHINGLES), "root").select(F.col("root").alias("key"), F.lit(0).cast("long").alias("part"), "id")
+    large = weight.where(F.col("weight") > _SHINGLES)
+    if large.isEmpty():
+        return small
+    rows = stored(_buckets(found.join(large, "root")), "large-groups")
+    kinds = rows.groupBy("band", "value").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("id")).alias("who")).where("m > 1")
+    once = kinds.groupBy("who", "m", "weight").agg(F.min(F.struct("band", "value")).alias("k")).select(
+        "k.*", F.ceil(2 * F.col("weight") / _SHINGLES).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
-    dealt = rows.join(stored(full, "full-buckets"), ["segment", "value"], "left").select(
-        *names, "segment", "value", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(others, lambda j: F.least(mine, j).cast("long") * (1 << 20) + F.greatest(mine, j)))).alias("part"))
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def flush(last: bool):
-            table = pa.Table.from_batches(held)
-            cols = {c: table.column(c).to_numpy() for c in (*names, "segment", "value", "part")}
-            cut = np.flatnonzero(np.any([cols[c][1:] != cols[c][:-1] for c in ("segment", "value", "part")], axis=0)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [table.num_rows]])
+    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(others, lambda j: F.least(mine, j).cast("long") * (1 << 20) + F.greatest(mine, j)))
+    parted = rows.join(once, ["band", "value"]).select(F.xxhash64("band", "value").alias("key"), F.explode(pairs).alias("part"), "id")
+    inside = large.join(found.select("root", "node"), "root").select(F.col("node").alias("a"))
+    near = edges.join(inside, "a").select(F.xxhash64("a", "b").alias("key"), F.lit(-1).cast("long").alias("part"), F.explode(F.array("a", "b")).alias("id"))
+    return small.unionByName(parted).unionByName(near)
+
+
+def similar(docs: DataFrame, classes: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) of similarity 0.8 or more, a forest for each group of ``dealt``; sets are made again from the texts of those that
+    are in a group, and no pair leaves its task unless it is an edge."""
+    rows = stored(dealt.join(classes.select("id", "head"), "id").select("key", "part", "id", "head.*"), "dealt")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(rows.select(F.col("text_hash").alias("m")).distinct()))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def sets(batches):
+        for part in by_bytes(batches, 1):
+            key = part.column(0).flatten()
+            at = np.flatnonzero(_hits(wanted.value, key[1].to_numpy().view(np.uint64)))
+            if len(at):
+                part = part.take(pa.array(at))
+                doc_id, hashes = part.column(0).flatten()
+                _, found = _shingles(part.column(1).cast(pa.binary()).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([doc_id, hashes, pa.array([h.view(np.int64) for h in found], schema.field(2).type)], schema=schema)
+
+    def decided(batches):
+        held, place, out = [], None, ([], [])
+
+        def finish():
+            ids = np.array([i for i, _ in held])
+            _, one = np.unique(ids, return_index=True)  # rows that repeat doc_id and text
+            chosen = [held[i][1] for i in one.tolist()]
+            starts = np.concatenate([[0], np.cumsum([len(c) for c in chosen])])
+            a, b = forest(ids[one], starts, np.concatenate(chosen))
+            out[0].extend(a)
+            out[1].extend(b)
             held.clear()
-            if not last:  # the last run may go on in the next batch
-                held.extend(table.slice(int(starts[-1])).to_batches())
-                starts, ends = starts[:-1], ends[:-1]
-            a, b = _Bucketed(cols, distance, check_distance, spanning).pairs(starts, ends)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-        rows_held = 0
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows_held += batch.num_rows
-            if rows_held > 200_000:
-                yield flush(False)
-                rows_held = sum(b.num_rows for b in held)
+            key, part, ids, shingles = batch.columns
+            for k, p, i, row in zip(key.to_pylist(), part.to_pylist(), ids.to_pylist(), range(batch.num_rows)):
+                if (k, p) != place and held:
+                    finish()
+                place = k, p
+                held.append((i, shingles[row].values.to_numpy().copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+            out = [], []
         if held:
-            yield flush(True)
-
-    return dealt.repartition("segment", "value", "part").sortWithinPartitions("segment", "value", "part").mapInArrow(
-        run, "a long, b long").distinct()
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (id, shingles) have a Jaccard similarity of at least 0.8."""
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
-
-
-def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of rows (id, doc_id, text_hash)."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-
-    def run(ids, texts):
-        return {"id": ids, "shingles": [_shingles(_tokens(t), words).view(np.int64) for t in texts]}
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    # rows that repeat doc_id and text give the same set
-    found = map_texts(texts.join(rows, ["doc_id", "text_hash"]), "id", "text", run, schema)
-    return found.dropDuplicates(["id"])
+    texts = _keyed(docs).select("key", F.col("text").cast("string").alias("text"))
+    made = texts.mapInArrow(sets, "doc_id long, text_hash long, shingles array<long>")
+    return made.join(rows, ["doc_id", "text_hash"]).select("key", "part", "id", "shingles").repartition("key", "part").sortWithinPartitions(
+        "key", "part").mapInArrow(decided, "a long, b long").where("a <> b")
 
 
 def heads(docs: DataFrame, words: int, distance: int, count: int, check_distance: int, bands: int, rows: int) -> DataFrame:
@@ -217,28 +227,19 @@ def heads(docs: DataFrame, words: int, distance: int, count: int, check_distance
 
     Texts are linked if the Jaccard similarity of their distinct ``words``-word shingles is at least 0.8, and groups are
     what links connect. A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, fewer words than ``words`` are one
-    shingle; shingles count as equal if their XXH64 is. NULL and empty texts have none and are copies of each other.
-    Texts of equal sets are one class before anything is compared. Fingerprints and ``bands`` bands of ``rows`` minima say which
-    pairs of classes are looked at (:func:`candidates`): two texts of similarity s have an equal band with probability
-    1 - (1 - s^rows)^bands, wherever they differ. And every such pair is decided on the sets, unless it is in one group already: first come
-    pairs that connect each bucket, then all pairs of a bucket that lie in different groups of the links found. Rows
-    without a doc_id take no part. Other columns are not read. Empty input: empty.
+    shingle; shingles count as equal if their 64-bit hashes are. NULL and empty texts have none and are copies of each other.
+    Texts of equal sets are one class before anything is compared. Candidates are classes with one of ``bands`` bands of ``rows``
+    minima in common, which at similarity s has a chance of 1 - (1 - s^rows)^bands wherever texts differ, and those whose fingerprints
+    are within ``distance`` bits and whose check fingerprints within ``check_distance``, found by multi-index hashing. Every candidate
+    pair is decided on the sets: the sets are brought to their group, and only edges of a forest leave it, so a large group of near
+    copies, linked or just below the similarity, costs no more rows than it has members. Rows without a doc_id take no part. Other columns
+    are not read. Empty input: empty.
     """
-    made = stored(sketches(docs.where("doc_id is not null"), words, bands, rows), "sketches")
+    made = stored(sketches(docs, words, bands, rows), "sketches")
     classes = stored(made.groupBy("content").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("head"), *[F.first(c).alias(c) for c in ("n", "fp", "check", "bands")]).select(
         F.monotonically_increasing_id().alias("id"), "head", "n", "fp", "check", "bands"), "classes")
-    find = (distance, count, check_distance)
-    tried = stored(candidates(classes.withColumn("group", F.col("id")), *find, True), "tried")
-    nodes = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets(docs, classes.join(nodes, "id").select("id", "head.*"), words), "sets")
-    links = stored(similar(tried, sets), "links")
-
-    def grouped(edges):
-        return classes.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
-
-    # only classes that have a candidate can have another one
-    apart = stored(grouped(links).join(nodes, "id").select("id", "n", "fp", "check", "bands", "group"), "apart")
-    rest = stored(candidates(apart, *find, False).join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(similar(rest, sets))
-    return grouped(stored(links, "links")).groupBy("group").agg(F.min("head").alias("head")).select("head.*")
+    edges = stored(_candidate_edges(classes, distance, count, check_distance), "candidate-edges")
+    found = stored(similar(docs, classes, _dealt(classes, edges), words), "links")
+    grouped = classes.join(components(found), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
+    return grouped.groupBy("group").agg(F.min("head").alias("head")).select("head.*")

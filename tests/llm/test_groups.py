@@ -227,3 +227,48 @@ def test_texts_that_share_an_id_stay_apart(spark):
     rows = [(3, one), (5, one + " more"), (5, two), (9, two + " more"), (7, three), (7, three), (7, "other text here")]
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, made(spark, rows), "").collect())
     assert got == [(3, one), (5, two), (7, three), (7, "other text here")]
+
+
+def test_forest_connects_what_is_similar():
+    from palimpsest.llm.nearcopies import forest
+    rng = random.Random(13)
+    for share in (0.02, 0.06, 0.11, 0.15, 0.3):
+        common = rng.sample(range(1 << 60), 120)
+        sets = [set(), {1}, {1}]
+        for _ in range(60):
+            some = common[:rng.randint(60, 120)]
+            sets.append({rng.randrange(1 << 60) if rng.random() < share else x for x in some})
+        values = [np.array(sorted(s), np.uint64) for s in sets]
+        starts = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        ids = np.array(rng.sample(range(1000), len(sets)))
+        a, b = forest(ids, starts, np.concatenate(values))
+        assert len(a) < len(sets)
+        want = [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and
+                5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        assert joined(list(zip(a, b)), ids.tolist()) == joined(want, ids.tolist())
+
+
+@pytest.mark.parametrize("shingles", [2_000_000, 20_000, 1_500])
+def test_large_group_below_the_similarity_stays(spark, monkeypatch, shingles):
+    """Texts of one template with 0.6 to 0.79 in common share many bands; none is a copy of another but for its own twin."""
+    from palimpsest.llm import nearcopies
+    monkeypatch.setattr(nearcopies, "_SHINGLES", shingles)
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(2000 if shingles > 100_000 else 150):
+        some = list(words)
+        for k in range(2, 120, 30):  # four of five-word spans of its own
+            some[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(some)))
+    rows += [(10_000 + i, t + " end") for i, t in rows[:20]]
+    found = [similarity(rows[0][1], t) for _, t in rows[1:9]]
+    assert all(0.6 < s < 0.8 for s in found)
+    assert grouped(spark, rows) == {i for i, _ in rows if i < 10_000}
+
+
+def test_large_groups_are_taken_apart(spark, monkeypatch, copies):
+    from palimpsest.llm import nearcopies
+    want = grouped(spark, copies)
+    monkeypatch.setattr(nearcopies, "_SHINGLES", 600)
+    assert grouped(spark, copies) == want

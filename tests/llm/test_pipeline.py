@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm.queries import ORACLES, QUERIES
@@ -57,3 +58,17 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+CLASHING = ["_id", "_head", "_turn", "_text", "rejected", "p_toxic", "kept", "n_words", "n_removed", "_places", "text_hash", "key", "_c3"]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns(
+        {c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHING})
+    labels = f"{SF}"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, labels)
+        assert rows.columns == docs.columns and rows.schema == docs.schema, name
+        kept = rows.collect()
+        assert kept and all(r[c] == f"{c} of {r.doc_id}" for r in kept for c in CLASHING), name

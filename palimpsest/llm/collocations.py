@@ -7,6 +7,7 @@ subtrees on its own.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from palimpsest.llm.substrings import _filter, _hits
 from palimpsest.llm.words import Words, mixed
 
 #: suffixes that one group of prefixes holds; a prefix with more is dealt out by the word after it
-BUDGET = 2_000_000
+BUDGET = 250_000
+#: UTF-8 bytes of text whose equal sequences are combined before they are shuffled
+_SLICE = 8 << 20
 #: prefixes are packed by slots of their hash: this many at least and at most
 _SLOT_BITS = 10, 22
 #: rows that one step of building subtrees takes up
@@ -39,6 +42,10 @@ class _Pieces:
         row = self.words.row
         self.lang = seed[row]
         self.piece = np.searchsorted(hard, self.words.start) + (row.astype(np.int64) << 40)
+        self._names = pa.array(self.langs.tolist(), pa.binary())
+        # words and what is between them as one array over the buffer: word i is cell 2i
+        edges = np.column_stack([self.words.start, self.words.end]).ravel().astype(np.int32)
+        self._cells = pa.Array.from_buffers(pa.binary(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(self.words.buffer)])
 
     def __len__(self):
         return len(self.words)
@@ -51,17 +58,20 @@ class _Pieces:
         count = max(0, len(self) - n + 1)
         return self.piece[:count] == self.piece[n - 1:n - 1 + count]
 
-    def phrase(self, at: int, n: int) -> bytes:
-        w = self.words
-        return b" ".join(w.buffer[a:b] for a, b in zip(w.start[at:at + n].tolist(), w.end[at:at + n].tolist()))
+    def word(self, at: np.ndarray) -> pa.Array:
+        return self._cells.take(pa.array(2 * at))
+
+    def phrase(self, at: np.ndarray, n: int) -> pa.Array:
+        """The ``n`` words from each place on, joined by a space."""
+        return pc.binary_join_element_wise(*[self.word(at + k) for k in range(n)], pa.scalar(b" ")) if n > 1 else self.word(at)
 
     def lang_of(self, at: np.ndarray) -> pa.Array:
-        return pa.array(self.langs[self.words.row[at]].tolist(), pa.binary())
+        return self._names.take(pa.array(self.words.row[at]))
 
 
 def _scan(docs: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
-        for part in by_bytes(batches, 1):
+        for part in by_bytes(batches, 1, _SLICE):
             yield fn(_Pieces(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()))
 
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
@@ -79,7 +89,7 @@ def words(docs: DataFrame) -> DataFrame:
         langs, first, total = np.unique(p.lang, return_index=True, return_counts=True)
         where = np.concatenate([at, first]).astype(np.int64)
         return pa.RecordBatch.from_arrays([
-            p.lang_of(where), pa.array([p.phrase(i, 1) for i in at.tolist()] + [None] * len(first), pa.binary()),
+            p.lang_of(where), pa.concat_arrays([p.word(at), pa.nulls(len(first), pa.binary())]),
             pa.array(np.concatenate([n, total])), pa.array(np.concatenate([keys, langs]).view(np.int64))],
             names=["lang", "phrase", "n", "key"])
 
@@ -94,7 +104,7 @@ def pairs(docs: DataFrame, frequent) -> DataFrame:
         at = np.flatnonzero(p.inside(2) & good[:-1] & good[1:]) if len(p) else np.empty(0, np.int64)
         keys, first, n = np.unique(p.keys(2)[at], return_index=True, return_counts=True)
         at = at[first]
-        return pa.RecordBatch.from_arrays([p.lang_of(at), pa.array([p.phrase(i, 2) for i in at.tolist()], pa.binary()), pa.array(n),
+        return pa.RecordBatch.from_arrays([p.lang_of(at), p.phrase(at, 2), pa.array(n),
                                            pa.array(keys.view(np.int64))], names=["lang", "phrase", "n", "key"])
 
     return _scan(docs, fn, "lang binary, phrase binary, n long, key long").groupBy("lang", "phrase", "key").agg(
@@ -133,26 +143,16 @@ def suffixes(docs: DataFrame, longest: int, frequent, hot, slots) -> DataFrame:
             ahead = np.zeros(count, bool)
             ahead[:count - k] = pair[k:]
             depth[(depth == k + 1) & ahead] = k + 2
-        out = [[] for _ in range(2 + longest)]
-        size = np.uint64(64 - (len(slots.value).bit_length() - 1))
+        size, out = np.uint64(64 - (len(slots.value).bit_length() - 1)), []
         for d in range(3, longest + 1):
             at = np.flatnonzero(depth == d)
             _, first, n = np.unique(p.keys(d)[at], return_index=True, return_counts=True)
             at = at[first]
-            deal = two[at]
-            many = _hits(hot.value, deal)
-            deal = np.where(many, p.keys(3)[at], deal)
-            out[0].append(slots.value[deal >> size])
-            out[1].extend(p.langs[p.words.row[at]].tolist())
-            for i in at.tolist():
-                out[2].append(p.phrase(i, 2))
-                rest = p.phrase(i + 2, d - 2).split(b" ")
-                for k in range(longest - 2):
-                    out[3 + k].append(rest[k] if k < len(rest) else None)
-            out[-1].append(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out[0]).astype(np.int32)), *[pa.array(c, pa.binary()) for c in out[1:-1]],
-             pa.array(np.concatenate(out[-1]).astype(np.int64))], names=["part", "lang", *names, "n"])
+            many = _hits(hot.value, two[at])
+            part = slots.value[np.where(many, p.keys(3)[at], two[at]) >> size]
+            rest = [p.word(at + k) if k < d else pa.nulls(len(at), pa.binary()) for k in range(2, longest)]
+            out.append(pa.RecordBatch.from_arrays([pa.array(part), p.lang_of(at), p.phrase(at, 2), *rest, pa.array(n)], names=["part", "lang", *names, "n"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else out[0]
 
     return _scan(docs, fn, "part int, lang binary, " + ", ".join(f"{x} binary" for x in names) + ", n long")
 
@@ -180,12 +180,11 @@ def subtrees(rows: DataFrame, longest: int, support: int) -> DataFrame:
             begin = np.flatnonzero(differs)
             total = np.add.reduceat(n, begin)
             begin, total = begin[(total >= support) & (code[begin] >= 0)], total[(total >= support) & (code[begin] >= 0)]
-            found = [cols[k].take(pa.array(begin)).to_pylist() for k in range(depth + 1)]
-            langs += found[0]
-            phrases += [b" ".join(x) for x in zip(*found[1:])]
-            counts += total.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())],
-                                          names=["lang", "phrase", "n"])
+            found = [cols[k].take(pa.array(begin)) for k in range(depth + 1)]
+            langs.append(found[0])
+            phrases.append(pc.binary_join_element_wise(*found[1:], pa.scalar(b" ")))
+            counts.append(pa.array(total))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in (langs, phrases, counts)], names=["lang", "phrase", "n"])
 
     def run(batches):
         held, size = [], 0

@@ -12,10 +12,21 @@ from palimpsest.session import shared_dir
 
 _KEY = list(STATEMENT_KEY)
 _LASTING = "is_reverted = 0 and reversion = 0"
+# Parts of a time text: a year alone (two forms), anywhere or at the start; a month, a day not known; no day after a month (fixed values).
+YEAR_ALONE = ("\\d+-00-00", "\\d+-01-01")
+YEAR_ALONE_FIRST = ("^\\+?\\d+-00-00", "^\\+?\\d+-01-01")
+NO_MONTH, NO_DAY, MONTH_NO_DAY = "\\d+-00-", "-00T", "\\d+-\\d{2}-00"
 # A degree-minute-second coordinate in a comment (fixed value).
 DMS = "(\\d+)°(\\d+)'(\\d+\\.?\\d*)\""
 
 
+def _any(text, patterns):
+    found = text.rlike(patterns[0])
+    for p in patterns[1:]:
+        found = found | text.rlike(p)
+    return found
+
+
 def _total(condition):
     """Sum of a 0/1 condition: NULL, not 0, when there are no rows."""
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
@@ -63,11 +74,11 @@ def time_refinement(features_time: DataFrame, revision: DataFrame) -> DataFrame:
         revision.select("revision_id"), "revision_id").select(
             scalar_text(F.col("old_value")).alias("o"), scalar_text(F.col("new_value")).alias("n"))
     o, n = F.col("o"), F.col("n")
-    year_only = o.rlike("\\d+-00-00") | o.rlike("\\d+-01-01")
-    has_month, no_day = ~n.rlike("\\d+-00-"), n.rlike("-00T")
+    year_only = _any(o, YEAR_ALONE)
+    has_month, no_day = ~n.rlike(NO_MONTH), n.rlike(NO_DAY)
     return rows.agg(
         F.count(F.lit(1)).alias("total_time_refinements"), _total(year_only & has_month & no_day).alias("only_month_refinements"),
-        _total(o.rlike("\\d+-\\d{2}-00") & ~no_day).alias("only_day_refinements"),
+        _total(o.rlike(MONTH_NO_DAY) & ~no_day).alias("only_day_refinements"),
         _total(year_only & has_month & ~no_day).alias("day_month_refinements"))
 
 
@@ -75,7 +86,7 @@ def year_only_creations(value_change: DataFrame) -> DataFrame:
     n = scalar_text(F.col("new_value"))
     rows = value_change.where("action = 'CREATE' and new_datatype = 'time' and change_target = ''")
     return rows.agg(F.count(F.lit(1)).alias("total_time_values"),
-                    _total(n.rlike("^\\+?\\d+-00-00") | n.rlike("^\\+?\\d+-01-01")).alias("year_only"))
+                    _total(_any(n, YEAR_ALONE_FIRST)).alias("year_only"))
 
 
 def _degrees(d, m, s):

@@ -41,6 +41,114 @@ def closure(edges: DataFrame, relations=None, max_depth: int | None = None, seed
     return found.where("src <> dst")
 
 
+# ---- reachability of given pairs, without the closure --------------------------------
+
+_RANKS = 4
+
+
+def reach_labels(edges: DataFrame) -> DataFrame:
+    """(relation, node, d0.., u0..): the least of several random ranks among all nodes that a node reaches (d) and that reach it (u),
+    itself included.
+
+    If x reaches y then what y reaches is reached by x too, so no d of x is greater than that of y and no u of y greater than
+    that of x; one rank out of order proves that there is no path. Ranks spread from neighbour to neighbour, and only
+    nodes whose labels fell in a round pass them on, so the whole takes as many rounds as the longest shortest path, each one join
+    of the changed nodes with their edges. Cycles need no care: their nodes end with equal labels. The labels have one row a node,
+    however many pairs the closure has.
+    """
+    shared_dir(edges.sparkSession)
+    edges = edges.select(*_PAIR).where("src is not null and dst is not null and src <> dst").distinct()
+    names = [f"m{i}" for i in range(_RANKS)]
+    links = edges.select("relation", F.explode(F.array(
+        F.struct(F.lit("d").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("of")),
+        F.struct(F.lit("u").alias("kind"), F.col("dst").alias("node"), F.col("src").alias("of")))).alias("l")).select("relation", "l.*").checkpoint()
+    now = links.select("relation", "kind", "node").union(links.select("relation", F.when(F.col("kind") == "d", "u").otherwise("d"), "node")).distinct()
+    now = now.select("*", *[F.xxhash64("node", F.lit(i)).alias(n) for i, n in enumerate(names)], F.lit(True).alias("fell")).checkpoint()
+    while not (changed := now.where("fell")).isEmpty():
+        told = changed.select("relation", "kind", F.col("node").alias("of"), *names).join(links, ["relation", "kind", "of"]).groupBy(
+            "relation", "kind", "node").agg(*[F.min(n).alias(f"_{n}") for n in names])
+        lower = [F.least(n, f"_{n}").alias(n) for n in names]
+        fell = F.lit(False)
+        for n in names:
+            fell = fell | F.coalesce(F.col(f"_{n}") < F.col(n), F.lit(False))
+        now = now.join(told, ["relation", "kind", "node"], "left").select("relation", "kind", "node", *lower, fell.alias("fell")).checkpoint()
+    return now.groupBy("relation", "node").agg(*[
+        F.max(F.when(F.col("kind") == k, F.col(n))).alias(f"{k}{i}") for k in ("d", "u") for i, n in enumerate(names)])
+
+
+def _possible(node: str, target: str) -> Column:
+    """Whether labels allow a path from the one to the other."""
+    out = F.lit(True)
+    for i in range(_RANKS):
+        out = out & (F.col(f"{node}.d{i}") <= F.col(f"{target}.d{i}")) & (F.col(f"{target}.u{i}") <= F.col(f"{node}.u{i}"))
+    return out
+
+
+def reachable_pairs(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct (relation, src, dst) of ``asked`` with a path from src to dst; pairs of one node with itself have none.
+
+    Labels (:func:`reach_labels`) dismiss most pairs without a path. What is left is searched exactly, all pairs at once: a
+    round follows the edges out of the nodes reached last, keeps those whose labels allow the pair's target, and ends for pairs
+    that have arrived. Nothing of the closure is stored but the nodes between the pairs that were asked for.
+    """
+    shared_dir(edges.sparkSession)
+    pairs = asked.select(*_PAIR).where("src <> dst").distinct()
+    edges = edges.join(pairs.select("relation").distinct(), "relation", "left_semi")
+    labels = reach_labels(edges).checkpoint()
+    packed = labels.select("relation", "node", F.struct(*[c for c in labels.columns if c not in ("relation", "node")]).alias("l"))
+    start = pairs.join(packed.select("relation", F.col("node").alias("src"), F.col("l").alias("a")), ["relation", "src"]).join(
+        packed.select("relation", F.col("node").alias("dst"), F.col("l").alias("b")), ["relation", "dst"]).where(_possible("a", "b"))
+    step = edges.select(*_PAIR).where("src <> dst").distinct().join(packed.select("relation", F.col("node").alias("dst"), F.col("l").alias("a")), [
+        "relation", "dst"]).select("relation", F.col("src").alias("node"), F.col("dst").alias("next"), "a").checkpoint()
+    key = [*_PAIR, "node"]
+    front = start.select(*_PAIR, F.col("src").alias("node"), "b").checkpoint()
+    seen, found = front.select(*key), None
+    while not front.isEmpty():
+        moved = front.join(step, ["relation", "node"]).where(_possible("a", "b")).select(*_PAIR, F.col("next").alias("node"), "b").dropDuplicates(key)
+        moved = moved.join(seen, key, "left_anti").checkpoint()
+        arrived = moved.where("node = dst").select(*_PAIR)
+        found = arrived if found is None else found.unionByName(arrived)
+        seen = seen.unionByName(moved.select(*key))
+        front = moved.join(arrived, _PAIR, "left_anti")
+    return found if found is not None else pairs.limit(0)
+
+
+def asked_pairs(df: DataFrame, relations, old: str = "old_value", new: str = "new_value") -> DataFrame:
+    """(relation, src, dst): both values of every change in both directions, for each relation."""
+    base = df.select(_cleaned(old).alias("o"), _cleaned(new).alias("n")).where("o <> n").distinct()
+    ways = F.array(F.struct(F.col("o").alias("src"), F.col("n").alias("dst")), F.struct(F.col("n").alias("src"), F.col("o").alias("dst")))
+    return base.select(F.explode(ways).alias("w")).select(F.explode(F.array(*[F.lit(r) for r in relations])).alias("relation"), "w.src", "w.dst").distinct()
+
+
+def paths(edges: DataFrame, steps, seeds: DataFrame | None = None) -> DataFrame:
+    """(src, dst) with src <> dst, joined by a path whose relations match ``steps``, a list of (relation, how often).
+
+    How often is ``1``, ``?``, ``+`` or ``*``: once, at most once, at least once, any number of times. The steps are a small
+    automaton; the search runs over (source, node, state) and extends only what was new in the round before, so cycles end. With
+    ``seeds`` (one column ``src``) only paths from these are followed.
+    """
+    shared_dir(edges.sparkSession)
+    optional = [often in "?*" for _, often in steps]
+    moves = [(s, relation, t + 1) for s in range(len(steps) + 1) for t, (relation, often) in enumerate(steps)
+             if (t >= s and all(optional[s:t])) or (t == s - 1 and often in "+*")]
+    final = [s for s in range(len(steps) + 1) if all(optional[s:])]
+    rules = edges.sparkSession.createDataFrame(moves, "state int, relation string, next_state int")
+    step = edges.select("relation", F.col("src").alias("node"), F.col("dst").alias("next")).where("node is not null and next is not null").join(
+        F.broadcast(rules), "relation").select("node", "state", "next", "next_state").distinct().checkpoint()
+    front = step.where("state = 0").select(F.col("node").alias("src"), "node", "state").distinct()
+    if seeds is not None:
+        front = front.join(seeds.select("src").distinct(), "src", "left_semi")
+    front = front.checkpoint()
+    found = None
+    while not front.isEmpty():
+        reached = front.join(step, ["node", "state"]).select("src", F.col("next").alias("node"), F.col("next_state").alias("state")).distinct()
+        front = (reached if found is None else reached.join(found, ["src", "node", "state"], "left_anti")).checkpoint()
+        found = front if found is None else found.unionByName(front)
+    if found is None:
+        return front.select("src", F.col("node").alias("dst"))
+    return found.where(F.col("state").isin(final)).select("src", F.col("node").alias("dst")).where("src <> dst").distinct()
+
+
 def composite_path(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs (src, dst) joined by a path of the first closure followed by one of the second."""
     a = first.select("src", F.col("dst").alias("mid"))

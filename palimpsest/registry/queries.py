@@ -593,7 +593,7 @@ def _(log):
 @query("E13_metaclass_flags")
 def _(log):
     df = log.features_entity.select("change_id", "old_value", "new_value")
-    return big(graph.metaclass_flags(df, graph.closure(log.edges, ["metaclass"], seeds=graph.sources(df))))
+    return big(graph.metaclass_flags(df, graph.reachable_pairs(graph.asked_pairs(df, ["metaclass"]), log.edges)))
 
 
 @query("E14_composite_flags")
@@ -610,6 +610,13 @@ def _(log):
     return graph.composite_path(closed.where("relation = 'part_of'"), closed.where("relation = 'subclass'"))
 
 
+@query("E14_path_expression")
+def _(log):
+    """What an entity of a change is an instance of or is, then any way up the classes, then a part of something."""
+    seeds = graph.sources(log.features_entity.select("old_value", "new_value"))
+    return graph.paths(log.edges, [("instance_of", "?"), ("subclass", "*"), ("part_of", "+")], seeds)
+
+
 @query("E15_entity_types")
 def _(log):
     seen = log.features_entity.select("old_value").distinct()

@@ -32,6 +32,7 @@ from palimpsest.learn import classifiers, prepare
 from palimpsest.learn.neighbours import neighbour_shares, weighted_points
 from palimpsest.operators.routing import datatype_group, features_for
 from palimpsest.sources import csvfiles
+from palimpsest.sources.committed import CommittedFacts
 from palimpsest.sources.derived import ChangeLog
 from palimpsest.sources.store import load_or_compute, write_back, write_metrics
 from palimpsest.streaming.classify import change_stream, classify_stream
@@ -331,6 +332,30 @@ def _(log):
     return big(write_back(log.features_text, predictions).select("revision_id", "property_id", "value_id", "label"))
 
 
+@query("S7_committed_write_back")
+def _(log):
+    """Two batches of labels committed to a stored table; the second is interrupted before it is valid, tried again and repeated."""
+    facts, key = log.features_text, F.col("revision_id")
+    table = CommittedFacts.create(facts, log.scratch(f"committed/{uuid.uuid4().hex}"), buckets=8)
+    pending = facts.where(L.is_pending(F.col("label"))).select(*CHANGE_KEY, "is_reverted")
+    first = pending.where(key % 3 == 0).select(*CHANGE_KEY, F.lit("refinement").alias("predicted_labels"))
+    second = pending.where(key % 3 != 0).select(*CHANGE_KEY, F.when(F.col("is_reverted") == 0, F.lit("textual_change")).alias("predicted_labels"))
+
+    def lost():
+        raise TimeoutError
+
+    table.commit(first, "first")
+    try:
+        table.commit(second, "second", before_publish=lost)
+    except TimeoutError:
+        pass
+    between = table.read().where(L.is_pending(F.col("label"))).count()
+    done = [table.commit(second, "second"), table.commit(first, "second")]
+    if done != [True, False] or between != second.count():
+        raise ValueError(f"commits {done}, {between} rows pending in between")
+    return big(table.read().select("revision_id", "property_id", "value_id", "label"))
+
+
 @query("P1_datatype_routing")
 def _(log):
     return log.value_change.groupBy(datatype_group(F.col("new_datatype")).alias("dt_group")).agg(F.count(F.lit(1)).alias("count"))

@@ -231,3 +231,29 @@ def test_stream_labels_pending_changes(spark, log, tmp_path):
     pending = df.where("label = ''")
     assert done.count() == pending.count() and done.where("label = '' or label is null").count() == 0
     assert done.select("value_id").exceptAll(pending.select("value_id")).count() == 0
+
+
+def test_commits(spark, tmp_path):
+    from palimpsest.sources.committed import CommittedFacts, Conflict
+    schema = "revision_id long, property_id int, value_id string, change_target string, label string"
+    rows = [(i, i % 3, str(i % 2), None if i % 5 == 0 else "rank", "") for i in range(60)]
+    table = CommittedFacts.create(spark.createDataFrame(rows, schema), str(tmp_path / "t"), buckets=6)
+    predictions = lambda ids, text: spark.createDataFrame([(*rows[i][:3], rows[i][3] or "", text) for i in ids], schema).withColumnRenamed("label", "predicted_labels")
+
+    def labels():
+        return {r.revision_id: r.label for r in table.read().collect()}
+
+    assert table.commit(predictions([3, 4, 5], "a"), "one") and labels() == {i: "a" if i in (3, 4, 5) else "" for i in range(60)}
+    before = table.manifest()
+    with pytest.raises(KeyError):  # data written, manifest not
+        table.commit(predictions(range(60), "b"), "two", before_publish=lambda: {}["lost"])
+    assert table.manifest() == before and set(labels().values()) == {"a", ""}
+    # only touched buckets get a new version
+    assert table.commit(predictions([7], None), "three") and not table.commit(predictions(range(60), "c"), "three")
+    assert sum(a != b for a, b in zip(before["data"].values(), table.manifest()["data"].values())) == 1 and labels()[7] is None
+    # of two commits on the same version one is valid, the other can be repeated
+    with pytest.raises(Conflict):
+        table.commit(predictions([1], "x"), "four", before_publish=lambda: CommittedFacts(spark, str(tmp_path / "t")).commit(predictions([2], "y"), "five"))
+    assert labels()[1] == "" and labels()[2] == "y" and table.commit(predictions([1], "x"), "four") and (labels()[1], labels()[2]) == ("x", "y")
+    assert len(labels()) == 60 and table.read().schema.simpleString() == spark.createDataFrame(rows, schema).schema.simpleString()
+    assert table.commit(predictions([], "z"), "none") and len(labels()) == 60

@@ -236,7 +236,7 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     def run(ids, texts):
         if not held:
             held.append(Pieces(path))
-        made = held[0].encode([t.decode() if t else "" for t in texts])
+        made = held[0].encode([t.decode("utf-8", "replace") if t else "" for t in texts])
         out = {"doc_id": ids, "n_pieces": [len(m) // 4 for m in made], "ids_sha256": [hashlib.sha256(m).hexdigest() for m in made],
                "round_trip": [held[0].decode(m) == (t or b"").replace(_MARK.encode(), b" ") for m, t in zip(made, texts)]}
         return out | ({"ids": [np.frombuffer(m, "<i4") for m in made]} if keep_ids else {})

@@ -2,7 +2,6 @@
 
 import json
 import os
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +14,6 @@ CHUNK, OVERLAP = 16_384, 256
 #: word counts that one task remembers, and bytes of these words
 _MEMO, _MEMO_BYTES = 400_000, 64 << 20
 _SPACE = " \t\n\r\x0b\x0c"
-_WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
 
 
 def separable(spec: dict) -> bool:
@@ -55,7 +53,7 @@ class TokenCounter:
 
     def count(self, texts: list) -> list[int]:
         """Tokens of each text (UTF-8 bytes or None)."""
-        whole = [t.decode() if t and len(t) > self.chunk else None for t in texts]
+        whole = [t.decode("utf-8", "replace") if t and len(t) > self.chunk else None for t in texts]
         out = [self.spliced(w) if w is not None and len(w) > self.chunk else None for w in whole]
         short = [i for i, n in enumerate(out) if n is None]
         for i, n in zip(short, self._short([texts[i] or b"" for i in short])):
@@ -64,7 +62,7 @@ class TokenCounter:
 
     def _short(self, texts: list[bytes]) -> list[int]:
         if not self.independent:
-            return [len(e) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return [len(e) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         split = [t.split() for t in texts]
         self._need(split)
         return [sum(map(self.memo.__getitem__, words)) for words in split]
@@ -83,46 +81,36 @@ class TokenCounter:
     def _learn(self, words: list[bytes]) -> None:
         """Counts of words, many of them in one text; a token belongs to the word in which it starts."""
         for k in range(0, len(words), 512):
-            part = [w.decode() for w in words[k:k + 512]]
+            part = [w.decode("utf-8", "replace") for w in words[k:k + 512]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False).offsets
             begin = np.cumsum([0] + [len(w) + 1 for w in part])
             at = np.fromiter((a for a, _ in found), np.int64, len(found))
             tokens = np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(part))
             self.memo.update(zip(words[k:k + 512], tokens.tolist()))
 
-    def _encoded(self, text: str, start: int, stop: int) -> tuple[np.ndarray, ...]:
-        """A chunk with offsets: first and last character in the document, and number of tokens, of each encoded unit.
+    def _encoded(self, text: str, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character in the document of each token of a chunk."""
+        found = self.tokenizer.encode(text[start:stop], add_special_tokens=False).offsets
+        at = np.array(found, np.int64).reshape(-1, 2) + start
+        return at[:, 0], at[:, 1]
 
-        The unit is a word if words are independent of each other, else a token.
-        """
-        if self.independent:
-            at = np.array([m.span() for m in _WORD.finditer(text, start, stop)], np.int64).reshape(-1, 2)
-            words = [text[a:b].encode() for a, b in at.tolist()]
-            self._need([words])
-            counts = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-            return at[:, 0], at[:, 1], counts
-        e = self.tokenizer.encode(text[start:stop], add_special_tokens=False)
-        at = np.array(e.offsets, np.int64).reshape(-1, 2) + start
-        return at[:, 0], at[:, 1], np.ones(len(at), np.int64)
-
-    def _boundary(self, text: str, left, right, begin: int, end: int) -> int | None:
-        """The last place in the overlap [begin, end) where both chunks may be cut, or None.
+    def _boundary(self, cuts: list[int], left, right) -> int | None:
+        """The last of the places ``cuts`` in the overlap where both chunks may be cut, or None.
 
         A cut is the start of a run of ASCII white space that has text before it. No pre-token of the tokenizers in use
         reaches over such a place, so what is on one side has no influence on the other. The cut counts as proven if from
         the first such place in the overlap up to it both chunks hold the same units at the same offsets; before the first
         one, the right chunk may have begun inside a word.
         """
-        cuts = [p for p in range(begin + 1, end) if text[p] in _SPACE and text[p - 1] not in _SPACE]
         if len(cuts) < 2:
             return None
         low, high = cuts[0], cuts[-1]
         views = []
-        for first, last, tokens in (left, right):
+        for first, last in (left, right):
             inside = (first >= low) & (last <= high)
             if ((first < high) & (last > high)).any() or not inside.any():
                 return None
-            views.append((first[inside], last[inside], tokens[inside]))
+            views.append((first[inside], last[inside]))
         same = all(len(a) == len(b) and (a == b).all() for a, b in zip(*views))
         return high if same else None
 
@@ -130,28 +118,34 @@ class TokenCounter:
         """Tokens of a huge text: overlapping chunks are encoded with offsets and spliced at proven common boundaries.
 
         Where chunks do not align, the overlap is doubled. It may grow to the last splice; then the chunk itself
-        grows, at the end to the whole rest of the text. Memory is that of the chunk.
+        doubles, at the end to the whole rest of the text, so a run without a place to cut is encoded a few times its length. Memory is
+        that of the chunk.
         """
-        n, cut, total = len(text), 0, 0
+        n, cut, total, size = len(text), 0, 0, self.chunk
         stop = min(n, self.chunk)
         left = self._encoded(text, 0, stop)
         while stop < n:
             overlap = self.overlap
             while True:
                 begin = max(cut, stop - overlap)
-                end = min(n, max(begin, stop) + self.chunk - self.overlap)
+                cuts = [p for p in range(begin + 1, stop) if text[p] in _SPACE and text[p - 1] not in _SPACE]
+                if len(cuts) < 2 and begin > cut:  # nothing to align at: nothing to encode yet
+                    self.widened += 1
+                    overlap *= 2
+                    continue
+                end = min(n, max(begin, stop) + size - self.overlap)
                 right = self._encoded(text, begin, end)
-                at = self._boundary(text, left, right, begin, stop)
+                at = self._boundary(cuts, left, right)
                 if at is not None:
-                    total += int(left[2][(left[0] >= cut) & (left[0] < at)].sum())
-                    cut, left, stop = at, right, end
+                    total += int(((left[0] >= cut) & (left[0] < at)).sum())
+                    cut, left, stop, size = at, right, end, self.chunk
                     break
                 self.widened += 1
                 if begin == cut:  # no place to cut since the last splice: one longer chunk
-                    left, stop = right, end
+                    left, stop, size = right, end, 2 * size
                     break
                 overlap *= 2
-        return total + int(left[2][left[0] >= cut].sum())
+        return total + int((left[0] >= cut).sum())
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -160,8 +154,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     The counts are those of the library on the whole text: no tokens added, strings of special tokens handled as its
     default, no truncation. NULL and empty texts have 0 bytes and 0 tokens; rows that repeat a doc_id, or have none, are
     counted one by one; other columns are not read. An empty table gives an empty one. A text longer than ``chunk``
-    characters is encoded in overlapping chunks. Shorter ones are one chunk; if the tokenizer is :func:`separable`, equal
-    words of a task are encoded once.
+    characters is encoded in overlapping chunks, spliced by the offsets of their tokens. Shorter ones are one chunk; if the tokenizer is
+    :func:`separable`, equal words of a task's short texts are encoded once. Bytes that are no UTF-8 count as U+FFFD.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])

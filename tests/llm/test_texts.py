@@ -48,6 +48,15 @@ def test_overlaps_widen():
     assert counter.widened > 0
 
 
+def test_long_runs_without_blanks_are_encoded_a_few_times():
+    counter = token_counts.TokenCounter(public_tokenizers.path("word_bpe_49k.json"), chunk=100, overlap=4)
+    encoded, encode = [], counter._encoded
+    counter._encoded = lambda text, a, b: encoded.append(b - a) or encode(text, a, b)
+    text = "start " + "日本語x" * 3000 + " end" + " word" * 300
+    assert counter.count([text.encode()]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert sum(encoded) < 6 * len(text)
+
+
 def test_chunks_by_token_offsets():
     counter = token_counts.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"), chunk=120, overlap=16)
     assert not counter.independent
@@ -147,9 +156,31 @@ def test_toxicity_held_out(spark):
     assert toxicity.scored(docs.limit(0), table).count() == 0
 
 
-def test_chain_is_fed_by_out_of_fold_probabilities():
+def test_chain_is_fed_by_out_of_fold_probabilities(monkeypatch):
+    """What the second model sees of the first is what models say that were not fitted on the row."""
     rng = np.random.default_rng(6)
-    n, row, feature = 400, np.arange(400), rng.integers(0, 2, 400)
-    labels = np.column_stack([feature, rng.integers(0, 2, n)])
-    chain = toxicity.fit_chain(row, feature, n, labels, np.arange(n) % 3, 4)
+    n = 600
+    row = np.repeat(np.arange(n), 3)
+    feature = rng.integers(0, 40, 3 * n)
+    first = (np.bincount(row, feature < 12, n) + rng.normal(size=n) > 1).astype(int)
+    labels, fold = np.column_stack([first, rng.integers(0, 2, n)]), rng.integers(0, 3, n)
+    seen, fit = [], toxicity.fit
+
+    def watched(*args, **options):
+        seen.append(args)
+        return fit(*args, **options)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    chain = toxicity.fit_chain(row, feature, n, labels, fold, 40)
     assert [len(m.dense) for m in chain] == [0, 1]
+    given = seen[-1][3][:, 0]
+    inside = fit(row, feature, n, np.zeros((n, 0)), labels[:, 0].astype(float), 40).probability(row, feature, n, np.zeros((n, 0)))
+    for f in range(3):
+        rest = np.flatnonzero(fold != f)
+        place = np.full(n, -1)
+        place[rest] = np.arange(len(rest))
+        part = fold[row] != f
+        model = fit(place[row[part]], feature[part], len(rest), np.zeros((len(rest), 0)), labels[rest, 0].astype(float), 40)
+        held = fold == f
+        assert given[held] == pytest.approx(model.probability(row, feature, n, np.zeros((n, 0)))[held])
+        assert np.abs(given[held] - inside[held]).max() > 1e-3

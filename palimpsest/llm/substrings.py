@@ -18,6 +18,8 @@ _GRAM = 5
 _SPAN = 64
 #: occurrences from which the windows of a shard are dealt out one by one
 _HOT = 5_000
+#: spans of hot windows that one task remembers having sent
+_MEMO = 200_000
 #: the largest filter, in bits (32 MB); fuller ones let more spans through to the exact stage, no fewer
 _MOST_BITS = 1 << 28
 
@@ -120,11 +122,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(ids, text hashes, words)`` over slices of the documents that have an id."""
+    """``fn(ids, text hashes, words, memo)`` over slices of the documents that have an id; the memo is a task's own."""
     def run(batches):
+        memo: dict = {}
         for part in by_bytes(batches, 2):
             ids = part.column(0).to_numpy()
-            yield fn(ids, part.column(1).to_numpy(), Words(part.column(2).cast(pa.binary()).to_pylist()))
+            yield fn(ids, part.column(1).to_numpy(), Words(part.column(2).cast(pa.binary()).to_pylist()), memo)
 
     return docs.where("doc_id is not null and text is not null").mapInArrow(run, schema)
 
@@ -134,12 +137,13 @@ def _spans(docs: DataFrame, length: int, common, hot, texts: bool) -> DataFrame:
     of each slice of the input, (key, sh, doc_id, span).
 
     A span is a run of windows with one minimizer. Windows of hot minimizers are spans of their own, under a hash of the
-    whole window. Equal windows of any two documents get equal keys.
+    whole window. Equal windows of any two documents get equal keys. A task sends a hot window again only for a smaller document, so a
+    window that occurs everywhere is a few rows a task.
     """
     schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64())] + (
         [("span", pa.binary())] if texts else [("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]))
 
-    def fn(ids, hashes, found):
+    def fn(ids, hashes, found, memo):
         m, inside = _minimizers(found, length)
         at = np.flatnonzero(inside)
         at = at[_hits(common.value, m[at])]
@@ -166,6 +170,14 @@ def _spans(docs: DataFrame, length: int, common, hot, texts: bool) -> DataFrame:
             columns = [c[order] for c in columns]
             once = np.ones(len(order), bool)
             once[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            for i in np.flatnonzero(once & alone[begin][order]).tolist():
+                span, doc = (int(columns[0][i]), int(columns[1][i])), int(columns[2][i])
+                if memo.get(span, doc + 1) <= doc:
+                    once[i] = False
+                    continue
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                memo[span] = doc
             columns = [c[once] for c in columns] + [pa.array([spans[i] for i in order[once].tolist()], pa.binary())]
         else:
             columns += [hashes[row], (first - found.first[row]).astype(np.int32), run.astype(np.int32)]
@@ -225,7 +237,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     own = _identified(docs)
 
-    def names(ids, hashes, found):
+    def names(ids, hashes, found, memo):
         m, inside = _minimizers(found, length)
         at = np.flatnonzero(inside)
         key, row = m[at], found.row[at]
@@ -284,7 +296,7 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
                     gone = np.cumsum(edges[:-1]) > 0
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append(b" ".join(words).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()),
                                               pa.array(n_removed, pa.int64())], names=schema.names)
 

@@ -86,18 +86,14 @@ QUERIES = {f.__name__: f for f in (
 _LINK = r"(?i)href\s*=\s*[\x22\x27]?(?:https?:)?//([^/?#\x22\x27\s<>]+)"
 
 
-def _graph_sql(rounds: int = urlgraph.ROUNDS, damping: float = urlgraph.DAMPING) -> str:
-    """The propagation of op9, a common table expression for each round."""
+def _graph_sql(rounds: int = 400, damping: float = urlgraph.DAMPING) -> str:
+    """The propagation of op9, by recursion over far more rounds than it takes to settle."""
     cases = "\n".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    steps = "".join(f""",
-        r{i} AS MATERIALIZED (SELECT host, kind, sum(rank) AS rank FROM (
-            SELECT dst AS host, s.kind, rank * share * {damping} AS rank FROM steps s JOIN r{i - 1} r ON s.kind = r.kind AND s.src = r.host
-            UNION ALL SELECT host, kind, rank * {1 - damping} FROM r0) GROUP BY host, kind)""" for i in range(1, rounds + 1))
     return rf"""
-        WITH parts AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+        WITH RECURSIVE parts AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
         hit AS MATERIALIZED (SELECT *, CASE {cases} END AS hit FROM parts),
         links AS (SELECT host AS src, {lower.format(f"unnest(regexp_extract_all(html, '{_LINK}', 1))")} AS dst
@@ -108,9 +104,14 @@ def _graph_sql(rounds: int = urlgraph.ROUNDS, damping: float = urlgraph.DAMPING)
         both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
         steps AS MATERIALIZED (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
         seeds AS (SELECT host, CASE WHEN hit LIKE 'allow%' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS n FROM hit WHERE hit IS NOT NULL GROUP BY ALL),
-        r0 AS MATERIALIZED (SELECT host, kind, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds){steps},
+        r0 AS MATERIALIZED (SELECT host, kind, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds),
+        walk AS (SELECT host, kind, rank, 0 AS round FROM r0
+            UNION ALL SELECT host, kind, sum(rank), max(round) FROM (
+                SELECT dst AS host, s.kind, rank * share * {damping} AS rank, round + 1 AS round FROM steps s JOIN walk w ON s.kind = w.kind AND s.src = w.host WHERE round < {rounds}
+                UNION ALL SELECT host, kind, rank * {1 - damping}, (SELECT max(round) + 1 FROM walk) FROM r0 WHERE (SELECT max(round) FROM walk) < {rounds})
+            GROUP BY host, kind),
         scores AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d
-            FROM r{rounds} GROUP BY host)
+            FROM walk WHERE round = {rounds} GROUP BY host)
         SELECT page_id, host, path, split_part(hit, '|', 2) AS rule,
             CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 1) WHEN coalesce(d, 0) > coalesce(t, 0) * {urlgraph.FACTOR} THEN 'block' ELSE 'allow' END AS verdict
         FROM hit LEFT JOIN scores USING (host)"""

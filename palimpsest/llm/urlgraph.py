@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import stored
 
-#: rounds of the propagation and the share that is passed on
-ROUNDS, DAMPING = 10, 0.85
+#: the share that is passed on, and the relative change of a rank below which it counts as settled
+DAMPING, TOLERANCE = 0.85, 1e-7
+#: rounds between two looks at the change, and rounds after which something must be wrong
+_ROUNDS, _MOST_ROUNDS = 5, 10_000
 #: a host is blocked if its distrust exceeds its trust by more than this factor
 FACTOR = 1.000001
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,12 +55,14 @@ def host_edges(pages: DataFrame, hierarchy: bool = True) -> DataFrame:
     return edges
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust: weights).
 
     Personalised PageRank: trust starts at the trusted seeds and follows links, distrust starts at the blocked ones and
     follows them backwards, both in one join a round. Weights are shares of their sum; what a host without onward links
-    holds is not passed on. Each round is a table in the shared folder.
+    holds is not passed on. Rounds go on until no rank changes by more than ``tolerance`` of itself, so a host is reached however far
+    it is from a seed; the change is one number, looked at every few rounds, when the ranks become a table in the shared folder. With
+    damping d that takes about log(tolerance) / log(d) rounds more than the longest way from a seed.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -68,21 +72,35 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = seeds.select("host", F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), (F.col(k) / F.lit(float(mass[k] or 1))).alias("rank")) for k in ("trust", "distrust")])).alias("s"))
     start = stored(start.select("host", "s.kind", "s.rank").where("rank > 0"), "seeds")
+    links = steps.select("kind", F.col("src").alias("host"), "dst", "share")
+    base = start.select("host", "kind", (F.col("rank") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
+
+    def moved(now: DataFrame, compared: bool) -> DataFrame:
+        rows = links.join(now.select("host", "kind", "rank"), ["kind", "host"]).select(
+            F.col("dst").alias("host"), "kind", (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before")).unionByName(base)
+        if compared:
+            rows = rows.unionByName(now.select("host", "kind", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        return rows.groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+
     now = start
-    for _ in range(rounds):
-        moved = steps.join(now, (steps["kind"] == now["kind"]) & (steps["src"] == now["host"])).select(
-            F.col("dst").alias("host"), steps["kind"], (F.col("rank") * F.col("share") * damping).alias("rank"))
-        now = stored(moved.unionByName(start.withColumn("rank", F.col("rank") * (1 - damping))).groupBy("host", "kind").agg(
-            F.sum("rank").alias("rank")), "ranks")
+    for _ in range(0, _MOST_ROUNDS, _ROUNDS):
+        for i in range(_ROUNDS):
+            now = moved(now, i == _ROUNDS - 1)
+        now = stored(now, "ranks")
+        if not now.where(F.abs(F.col("rank") - F.col("before")) > tolerance * F.col("rank")).count():
+            break
+    else:
+        raise RuntimeError(f"ranks still change after {_MOST_ROUNDS} rounds")
     return now.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = ROUNDS, damping: float = DAMPING,
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], tolerance: float = TOLERANCE, damping: float = DAMPING,
            factor: float = FACTOR, hierarchy: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row.
 
     The longest rule that fits decides. Where none fits, the host's distrust and trust do: it is blocked if distrust
-    exceeds ``factor`` times trust, else allowed; so a host that neither reaches is allowed. Seeds are the hosts of pages
+    exceeds ``factor`` times trust, else allowed; so a host that neither reaches is allowed. Scores are those of the settled graph, up
+    to a ``tolerance``. Seeds are the hosts of pages
     with a rule, weighted by their number. A NULL url, or one without ``://``, has an empty host and path, fits no rule
     and is allowed. NULL html has no links. Repeated rows are judged one by one and count as often. Empty input: empty.
     Other columns are not read.
@@ -93,7 +111,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = RO
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     seeds = rows.where(F.col("hit").isNotNull()).groupBy("host").agg(*[
         F.count(F.when(F.col("hit.verdict") == v, 1)).cast("double").alias(k) for k, v in (("trust", "allow"), ("distrust", "block"))])
-    scores = propagate(stored(host_edges(rows, hierarchy), "edges"), stored(seeds, "weights"), rounds, damping)
+    scores = propagate(stored(host_edges(rows, hierarchy), "edges"), stored(seeds, "weights"), tolerance, damping)
     judged = rows.select("page_id", "host", "path", "hit").join(scores, "host", "left")
     none = F.lit(0.0)
     trust, distrust = F.coalesce("trust", none), F.coalesce("distrust", none)

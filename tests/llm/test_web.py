@@ -81,6 +81,20 @@ def test_trust_spreads_over_links(spark):
     assert len(urlgraph.judged(table, rules).collect()) == len(rows) and urlgraph.judged(table.limit(0), rules).count() == 0
 
 
+def test_trust_reaches_hosts_far_away(spark):
+    chain = [f"h{i}.net" for i in range(25)]
+    rows = [(0, "http://good.org/a", "<a href='//h0.net/'>")] + [(i + 1, f"http://{h}/", f"<a href='//{n}/'>") for i, (h, n) in enumerate(zip(chain, [*chain[1:], "bad.com"]))]
+    rows += [(50, "http://bad.com/x", ""), (51, "http://c0.com/", "<a href='//c1.com/'>"), (52, "http://c1.com/", "<a href='//c0.com/'><a href='//bad.com/'>")]
+    got = {r.page_id: r for r in urlgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), [
+        ("allow", "good.org", "/"), ("block", "bad.com", "/")], hierarchy=False).collect()}
+    for i in range(25):  # half of the distrust of bad.com goes to the chain, half to c1.com
+        trust, distrust = 0.15 * 0.85 ** (i + 1), 0.075 * 0.85 ** (25 - i)
+        assert got[i + 1].trust == pytest.approx(trust) and got[i + 1].distrust == pytest.approx(distrust)
+        assert got[i + 1].verdict == ("block" if distrust > trust else "allow")
+    # a cycle settles: x = 0.85 y, y = 0.85 (x + 0.15 / 2)
+    assert got[52].distrust == pytest.approx(0.85 * 0.15 / 2 / (1 - 0.85 ** 2), rel=1e-5)
+
+
 def calls(spark, rows):
     return spark.createDataFrame(rows, "call_id string, conversation long, turn long, name string, arguments string, parent_id string, level string")
 

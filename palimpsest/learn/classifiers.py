@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.domain import AXES, CHANGE_KEY
 from palimpsest.functions.labels import blank_unchanged, is_pending, pick_labels
 from palimpsest.learn.neighbours import shares_by, weighted_points
-from palimpsest.learn.prepare import FOLD, Scaler, binarise, fit_scaler, label_classes, numeric, stratified_folds, truth_column
+from palimpsest.learn.prepare import FOLD, Scaler, binarise, fit_scaler, label_classes, multilabel_folds, numeric, truth_column
 from palimpsest.operators.evaluation import label_metrics
 from palimpsest.session import shared_dir
 from palimpsest.sources.store import write_back
@@ -136,7 +136,7 @@ def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", pa
     params = params or KNOWN_PARAMS.get(algo, {}).get(dt_class, {})
     columns, key = list(columns), list(key)
     classes = list(classes or label_classes(df, label))
-    rows = stratified_folds(binarise(numeric(df, columns), classes, label), key, folds, label, seed)
+    rows = multilabel_folds(binarise(numeric(df, columns), classes, label), key, folds, label, seed)
     scaler = fit_scaler(rows, columns)
     truths = [truth_column(c) for c in classes]
     rows = _prepared(rows, scaler, columns).select(*key, label, FOLD, *truths, "features", "vector")

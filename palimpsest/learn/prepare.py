@@ -1,5 +1,6 @@
 """Feature frames for training and scoring: assembly, scaling, label columns, folds."""
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -80,3 +81,51 @@ def stratified_folds(df: DataFrame, key, k: int = 5, label: str = "label", seed:
     base, split = with_chunk(base, ["_set"], "_h", split)
     numbered = position(base, ["_set"], "_h", key, "_n", split)
     return numbered.select(*df.columns, F.pmod(F.col("_n") - 1, F.lit(k)).cast("int").alias(FOLD))
+
+
+def apportion(sets: dict[tuple, int], k: int) -> dict[tuple, list[int]]:
+    """How many rows of each label set every fold gets; ``sets`` maps a label set to its number of rows.
+
+    Labels are served from the rarest on: of each open set that holds the label every fold gets a k-th, and the rows that are
+    left over go one by one to the folds that lack most of this label, then most of the set's other labels, then most rows.
+    """
+    totals = Counter()
+    for labels, n in sets.items():
+        totals.update(dict.fromkeys(labels, n))
+    lack = {label: [n / k] * k for label, n in totals.items()}
+    rows, out = [sum(sets.values()) / k] * k, {}
+    for label in sorted(totals, key=lambda x: (totals[x], x)):
+        for labels in sorted((s for s in sets if label in s and s not in out), key=lambda s: (sets[s], s)):
+            base, left = divmod(sets[labels], k)
+            out[labels] = [base] * k
+            for f in range(k):
+                rows[f] -= base
+                for x in labels:
+                    lack[x][f] -= base
+            for _ in range(left):
+                f = max((f for f in range(k) if out[labels][f] == base),
+                        key=lambda f: (round(lack[label][f], 6), round(sum(lack[x][f] for x in labels), 6), round(rows[f], 6), -f))
+                out[labels][f] += 1
+                rows[f] -= 1
+                for x in labels:
+                    lack[x][f] -= 1
+    return out
+
+
+def multilabel_folds(df: DataFrame, key, k: int = 5, label: str = "label", seed: int = 42, split: Split | None = DEFAULT_SPLIT) -> DataFrame:
+    """Add ``fold`` 0..k-1 so that each fold has its share of every label, and of every set of labels.
+
+    The driver sees the histogram of label sets and decides how many rows of each go to a fold (:func:`apportion`). Rows of a
+    set are numbered in the order of a seeded hash of their key, a frequent set in chunks, and take the folds in turn.
+    """
+    named = F.array_join(F.array_sort(F.array_distinct(_label_list(label))), "\x1f")
+    base = df.withColumn("_set", named).withColumn("_h", F.shiftright(F.xxhash64(F.lit(seed), *key), 2))
+    sets = {tuple(r["_set"].split("\x1f")): r["count"] for r in base.groupBy("_set").count().collect()}
+    ends = []
+    for labels, quota in apportion(sets, k).items():
+        ends.append(("\x1f".join(labels), [sum(quota[:f + 1]) for f in range(k)]))
+    table = df.sparkSession.createDataFrame(ends, "_named string, _ends array<long>")
+    base, split = with_chunk(base, ["_set"], "_h", split)
+    numbered = position(base, ["_set"], "_h", key, "_n", split).join(F.broadcast(table), F.col("_set") == F.col("_named"))
+    fold = F.size(F.filter("_ends", lambda e: e < F.col("_n"))).cast("int")
+    return numbered.select(*df.columns, fold.alias(FOLD))

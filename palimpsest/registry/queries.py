@@ -817,6 +817,16 @@ def _(log):
     return big(folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("count")))
 
 
+@query("M5_multilabel_folds")
+def _(log):
+    """Rows of each single label, and whether each of three folds has its share of them but for less than one row."""
+    folds = prepare.multilabel_folds(labelled_documents(log).select("doc_id", "label"), DOC_KEY, 3)
+    counted = folds.select("fold", F.explode(L.parse_labels(F.col("label"))).alias("label")).groupBy("label", "fold").count()
+    share = F.sum("count").over(Window.partitionBy("label")) / 3
+    return counted.withColumn("off", F.abs(F.col("count") - share)).groupBy("label").agg(
+        F.sum("count").alias("rows"), F.count(F.lit(1)).alias("folds"), (F.max("off") < 1).alias("even"))
+
+
 @query("M6_grid_search")
 def _(log):
     best = classifiers.grid_search(labelled_documents(log), "documents", DOC_COLUMNS, "kn", {"k": [3, 5]}, folds=3, key=DOC_KEY)

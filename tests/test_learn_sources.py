@@ -257,3 +257,26 @@ def test_commits(spark, tmp_path):
     assert labels()[1] == "" and labels()[2] == "y" and table.commit(predictions([1], "x"), "four") and (labels()[1], labels()[2]) == ("x", "y")
     assert len(labels()) == 60 and table.read().schema.simpleString() == spark.createDataFrame(rows, schema).schema.simpleString()
     assert table.commit(predictions([], "z"), "none") and len(labels()) == 60
+
+
+def test_apportionment_is_even_for_every_label():
+    import random
+    rng = random.Random(8)
+    for trial in range(200):
+        names, k = "abcdef"[:rng.randint(1, 6)], rng.randint(2, 7)
+        sets = {tuple(sorted(rng.sample(names, rng.randint(1, min(3, len(names)))))): rng.choice([1, 2, 3, 10, 101]) for _ in range(rng.randint(1, 9))}
+        quota = prepare.apportion(sets, k)
+        assert {s: sum(q) for s, q in quota.items()} == sets and all(max(q) - min(q) <= 1 for q in quota.values())
+        off = [abs(sum(q[f] for s, q in quota.items() if x in s) - sum(n for s, n in sets.items() if x in s) / k) for x in names for f in range(k)]
+        assert max(off) < 2
+
+
+def test_multilabel_folds(spark):
+    rows = [(i, label) for i, label in enumerate(["a"] * 7 + ["a, b"] * 2 + ["b, a"] * 3 + ["c"] * 1 + ["b, c"] * 1 + [""] * 6 + [None] * 2)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = prepare.multilabel_folds(df, ["id"], 3).collect()
+    assert sorted((r.id, r.label or "") for r in got) == [(i, t or "") for i, t in rows] and {r.fold for r in got} == {0, 1, 2}
+    for label in ("a", "b", "c", ""):
+        n = [sum(label in [x.strip() for x in (r.label or "").split(",")] for r in got if r.fold == f) for f in range(3)]
+        assert max(n) - min(n) <= 1, (label, n)
+    assert {r.id: r.fold for r in got} == {r.id: r.fold for r in prepare.multilabel_folds(df.repartition(5), ["id"], 3).collect()}

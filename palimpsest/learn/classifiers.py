@@ -58,6 +58,7 @@ class Bundle:
     scaler: Scaler
     models: dict = field(default_factory=dict)
     points: dict = field(default_factory=dict)
+    held: dict = field(default_factory=dict)  # the rows of each fold as prepared for training
     voters: dict = field(default_factory=dict)  # how each fold's points are searched, made once
 
     @property
@@ -163,9 +164,9 @@ def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", pa
         with ThreadPoolExecutor(parallelism) as pool:
             bundle.models = dict(pool.map(fit, tasks))
 
-    held = []
+    held, bundle.held = [], {fold: rows.where(F.col(FOLD) == fold) for fold in bundle.folds}
     for fold in bundle.folds:
-        scored = _fold_probabilities(rows.where(F.col(FOLD) == fold), bundle, fold)
+        scored = _fold_probabilities(bundle.held[fold], bundle, fold)
         picked = pick_labels([F.col(f"p_{fold}_{i}") for i in range(len(classes))], classes, threshold)
         held.append(scored.select(*key, FOLD, label, *truths, picked.alias("predicted_labels")))
     predictions = held[0]
@@ -201,6 +202,8 @@ def grid_search(df: DataFrame, dt_class: str, columns, algo: str, grid: dict | N
     found = (KNOWN_PARAMS if known is None else known).get(algo, {}).get(dt_class)
     if found:
         return found
+    if algo == "kn":
+        return _best_k(df, dt_class, columns, list((grid or GRIDS[algo])["k"]), folds, **options)
     combos = [{}]
     for name, values in (grid or GRIDS[algo]).items():
         combos = [c | {name: v} for c in combos for v in values]
@@ -213,6 +216,34 @@ def grid_search(df: DataFrame, dt_class: str, columns, algo: str, grid: dict | N
     return best
 
 
+def _best_k(df: DataFrame, dt_class: str, columns, ks: list[int], folds: int, threshold: float = 0.5, **options) -> dict:
+    """One search per fold for the largest k: the neighbours of a smaller one are a prefix, so all are scored together."""
+    bundle, _ = train(df, dt_class, columns, "kn", {"k": max(ks)}, folds, threshold=threshold, **options)
+    truths, count = [truth_column(c) for c in bundle.classes], len(bundle.classes)
+    total = None
+    for fold, rows in bundle.held.items():
+        rows = shares_by(bundle.points[fold], ks)(rows, "_shares")
+        right = []
+        for j, k in enumerate(ks):
+            picked = F.split(pick_labels([F.col("_shares")[j * count + i] for i in range(count)], bundle.classes, threshold), ", ")
+            same = F.lit(True)
+            for c, t in zip(bundle.classes, truths):
+                same = same & (F.array_contains(picked, c) == (F.col(t) == 1))
+            right.append(F.coalesce(F.sum(same.cast("long")), F.lit(0)).alias(f"k{k}"))
+        got = rows.agg(*right).first()
+        total = [a + b for a, b in zip(total, got)] if total else list(got)
+    return {"k": ks[max(range(len(ks)), key=lambda j: (total[j], -j))]}
+
+
+def store_best(spark: SparkSession, path: str, algo: str, dt_class: str, params: dict) -> None:
+    """Keep the parameters of a search as JSON below ``path``."""
+    spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{algo}/{dt_class}")
+
+
+def read_best(spark: SparkSession, path: str, algo: str, dt_class: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/{algo}/{dt_class}").first()["value"])
+
+
 def score(df: DataFrame, bundle: Bundle, threshold: float = 0.5) -> DataFrame:
     """Add ``predicted_labels``: the mean probability of the fold models, then the threshold rule.
 

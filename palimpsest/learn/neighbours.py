@@ -49,14 +49,19 @@ def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _vote(dist, ys, weights, k):
-    """Class shares among the k nearest, a point of weight w counting as w neighbours."""
-    near = _nearest(dist, k)
+def _vote(dist, ys, weights, ks):
+    """Class shares among the nearest for each k, side by side, a point of weight w counting as w neighbours.
+
+    The neighbours for a smaller k are the first of those for the largest.
+    """
+    near = _nearest(dist, max(ks))
     w = weights[near]
     before = np.cumsum(w, axis=1) - w
-    taken = np.clip(k - before, 0, w)
-    total = taken.sum(axis=1, keepdims=True)
-    return (taken[:, :, None] * ys[near]).sum(axis=1) / total
+    out = []
+    for k in ks:
+        taken = np.clip(k - before, 0, w)
+        out.append((taken[:, :, None] * ys[near]).sum(axis=1) / taken.sum(axis=1, keepdims=True))
+    return np.concatenate(out, axis=1)
 
 
 def _size(points: DataFrame) -> tuple[int, int, int]:
@@ -67,8 +72,12 @@ def _size(points: DataFrame) -> tuple[int, int, int]:
     return rows, wide, classes
 
 
-def shares_by(points: DataFrame, k: int):
-    """A function (queries, out) that adds class shares; ``points`` are labelled fit rows.
+def _several(k) -> list[int]:
+    return [k] if isinstance(k, int) else list(k)
+
+
+def shares_by(points: DataFrame, k):
+    """A function (queries, out) that adds class shares; ``points`` are labelled fit rows. Of several k, the shares follow each other.
 
     Up to ``SMALL_BYTES`` of them are sent to all tasks once; more are searched by cells. The result does not depend on it.
     """
@@ -86,7 +95,7 @@ def shares_by(points: DataFrame, k: int):
             return pd.Series([], dtype=object)
         asked = np.stack(features.to_numpy())
         step = max(1, (1 << 22) // len(known))
-        parts = [_vote(_distances(asked[i:i + step], known), ys, w, k) for i in range(0, len(asked), step)]
+        parts = [_vote(_distances(asked[i:i + step], known), ys, w, _several(k)) for i in range(0, len(asked), step)]
         return pd.Series(list(np.concatenate(parts)))
 
     return lambda queries, out: queries.withColumn(out, vote(F.col("features")))
@@ -137,8 +146,9 @@ def _first(rows: DataFrame, k: int) -> DataFrame:
     return kept.withColumn("before", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).drop("_n")
 
 
-def neighbour_shares(queries: DataFrame, points: DataFrame, k: int, out: str = "shares", per_cell: int | None = None) -> DataFrame:
-    """Add the share of each class among the k nearest training points of ``features``; points are from weighted_points.
+def neighbour_shares(queries: DataFrame, points: DataFrame, k, out: str = "shares", per_cell: int | None = None) -> DataFrame:
+    """Add the share of each class among the k nearest training points of ``features``; points are from weighted_points. For a list of
+    k there is one search, for the largest, and the shares of each k follow each other.
 
     Exact Euclidean search without a full comparison where the data allow it. Pivots (a bounded sample of the points) cut
     space into Voronoi cells, of which each keeps size and radius. A query is first answered in its own cell; the k-th
@@ -146,7 +156,8 @@ def neighbour_shares(queries: DataFrame, points: DataFrame, k: int, out: str = "
     Ties go to the smaller hash. What the driver sees are pivots and one row a cell, both at most ``MOST_PIVOTS``.
     """
     shared_dir(queries.sparkSession)
-    spark = queries.sparkSession
+    spark, ks = queries.sparkSession, _several(k)
+    k = max(ks)
     rows, _, classes = _size(points)
     wanted = max(1, min(MOST_PIVOTS, rows // (per_cell or PER_CELL)))
     pivots = spark.sparkContext.broadcast(np.array([r.features for r in points.orderBy("h").limit(wanted).collect()]))
@@ -183,7 +194,9 @@ def neighbour_shares(queries: DataFrame, points: DataFrame, k: int, out: str = "
 
     more = asked.join(reached, "qid", "left").select("qid", "features", F.explode(visits("features", "cell", "bound")).alias("cell")).checkpoint()
     near = _first(own.drop("before").unionByName(_searched(more, points, cells, k)), k)
-    taken = F.greatest(F.lit(0), F.least(F.col("w"), k - F.col("before")))
-    voted = near.groupBy("qid").agg(F.sum(taken).alias("_t"), *[F.sum(taken * F.col("ys")[i]).alias(f"_y{i}") for i in range(classes)])
-    shares = asked.join(voted, "qid").select(F.col("features").alias("_features"), F.array(*[F.col(f"_y{i}") / F.col("_t") for i in range(classes)]).alias(out))
+    taken = {j: F.greatest(F.lit(0), F.least(F.col("w"), j - F.col("before"))) for j in ks}
+    voted = near.groupBy("qid").agg(*[F.sum(taken[j]).alias(f"_t{j}") for j in ks], *[
+        F.sum(taken[j] * F.col("ys")[i]).alias(f"_y{j}_{i}") for j in ks for i in range(classes)])
+    shares = asked.join(voted, "qid").select(F.col("features").alias("_features"), F.array(*[
+        F.col(f"_y{j}_{i}") / F.col(f"_t{j}") for j in ks for i in range(classes)]).alias(out))
     return queries.join(shares, F.col("features") == F.col("_features"), "left").drop("_features")

@@ -20,7 +20,7 @@ from palimpsest.operators import graph, prompts
 from palimpsest.operators.histogram import histogram
 from palimpsest.operators.latest import keep_last, latest_per_key, no_later_row
 from palimpsest.operators.ordered import adjacent, position, with_chunk
-from palimpsest.operators.pairs import first_values, pair_features
+from palimpsest.operators.pairs import PAIR_COLUMNS, first_values, pair_features
 from palimpsest.operators.reversion import (
     first_reversion, keyword_in_next, reversion_pairs, reverted_features, sample_training_set, time_to_neighbour,
     trailing_count,
@@ -833,6 +833,17 @@ def _(log):
     return labelled_documents(log).agg(F.lit(best["k"]).alias("k"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("M6_full_grid")
+def _(log):
+    """The whole grid of k, one neighbour search a fold; the winner is stored and read back."""
+    df = labelled_documents(log)
+    best = classifiers.grid_search(df, "documents", DOC_COLUMNS, "kn", folds=3, key=DOC_KEY)
+    path = log.scratch(f"best/{uuid.uuid4().hex}")
+    classifiers.store_best(log.spark, path, "kn", "documents", best)
+    found = classifiers.read_best(log.spark, path, "kn", "documents")
+    return df.agg(F.lit(found["k"]).cast("bigint").alias("k"), F.lit(found == best).alias("stored"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("M7_random_forest_metrics")
 def _(log):
     return held_out(log, "random_forest", {"trees": 10, "depth": 5})
@@ -887,6 +898,10 @@ def _(log):
 
 def class_changes(log: ChangeLog, dt_class: str) -> tuple[DataFrame, list[str], list[str]]:
     """(features, feature columns, key) of all labelled changes that a classifier of the class works on."""
+    if dt_class == "property_replacement":  # a deletion and a creation within a month of each other count as one act
+        features = pair_features(replacement_pairs(log), vector="vec_id", vectors=log.embeddings.select("vec_id", "embedding"), complete=True)
+        label = F.when(F.col("time_diff") <= 30 * 86400, dt_class).otherwise("independent")
+        return features.withColumn("label", label), list(PAIR_COLUMNS), ["pair_id"]
     if dt_class == "reverted_edit":
         key = ["revision_id", "change_target"]
         edits = log.edits.select("revision_id", "entity_id", "property_id", "value_id", "change_target", "timestamp", "username", "comment",
@@ -914,10 +929,55 @@ def classify_held_back(log: ChangeLog, dt_class: str) -> DataFrame:
     return done.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == F.col("truth")).alias("right"))
 
 
-for _class in ("text", "time", "quantity", "globecoordinate_latitude", "globecoordinate_longitude", "entity", "reverted_edit"):
+for _class in ("text", "time", "quantity", "globecoordinate_latitude", "globecoordinate_longitude", "entity", "reverted_edit", "property_replacement"):
     query(f"M_class_{_class}")(lambda log, c=_class: classify_held_back(log, c))
 
 
+def trained_predictions(log: ChangeLog) -> DataFrame:
+    """(model, doc_id, datatype, label, predicted_labels): held-out predictions of three trained models, stored once per application."""
+    def compute():
+        out = None
+        for model, params in (("kn", {"k": 5}), ("random_forest", {"trees": 10, "depth": 5}), ("xgboost", {"trees": 5, "depth": 3})):
+            _, predictions = classifiers.train(labelled_documents(log), "documents", DOC_COLUMNS, model, params, folds=3, key=DOC_KEY)
+            rows = predictions.join(log.documents.select("doc_id", F.col("lang").alias("datatype")), "doc_id").select(
+                F.lit(model).alias("model"), "doc_id", "datatype", "label", "predicted_labels")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    return load_or_compute(log.spark, log.scratch("trained_predictions"), compute)
+
+
+def trained_metrics(log: ChangeLog) -> DataFrame:
+    counted = ev.long_labels(trained_predictions(log), L.parse_labels(F.col("label")), L.parse_labels(F.col("predicted_labels")), ["model", "datatype"])
+    return ev.label_metrics(counted, ["model", "datatype"])
+
+
+@query("V4_trained_pivot")
+def _(log):
+    return rounded(ev.pivot_metrics(trained_metrics(log)), "kn", "random_forest", "xgboost")
+
+
+@query("V5_trained_best")
+def _(log):
+    return rounded(ev.best_per_task(trained_metrics(log)), "best_f1")
+
+
+@query("V6_trained_wins")
+def _(log):
+    return ev.win_counts(trained_metrics(log))
+
+
+@query("V7_trained_summary")
+def _(log):
+    return rounded(ev.model_summary(trained_metrics(log)), *[f"mean_{c}" for c in ("precision", "recall", "accuracy", "f1")])
+
+
+@query("V8_trained_against_each_other")
+def _(log):
+    m = trained_metrics(log)
+    return rounded(ev.compare_systems(m.where("model = 'xgboost'"), m.where("model = 'kn'")), "left", "right", "difference")
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 @contextmanager

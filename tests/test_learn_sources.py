@@ -280,3 +280,41 @@ def test_multilabel_folds(spark):
         n = [sum(label in [x.strip() for x in (r.label or "").split(",")] for r in got if r.fold == f) for f in range(3)]
         assert max(n) - min(n) <= 1, (label, n)
     assert {r.id: r.fold for r in got} == {r.id: r.fold for r in prepare.multilabel_folds(df.repartition(5), ["id"], 3).collect()}
+
+
+def test_one_search_scores_every_k(spark, points):
+    known = weighted_points(points, ["a", "b"])
+    several = {tuple(r["features"]): r["s"] for r in neighbour_shares(points, known, [3, 7, 25], "s", per_cell=40).collect()}
+    sent = {tuple(r["features"]): r["s"] for r in shares_by(known, [3, 7, 25])(points, "s").collect()}
+    for j, k in enumerate((3, 7, 25)):
+        for q, share in brute_shares(points, k).items():
+            assert several[q][2 * j:2 * j + 2] == pytest.approx(share, abs=1e-8) == sent[q][2 * j:2 * j + 2]
+
+
+def test_grid_of_k_picks_what_separate_runs_pick(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(160, 2))
+    rows = [(i, *map(float, v), "up" if v[0] + rng.normal() * 0.8 > 0 else "down") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label string")
+    ks = [1, 9, 21]
+    best = classifiers.grid_search(df, "d", ["x", "y"], "kn", {"k": ks}, 3, key=["id"])
+    scores = []
+    for k in ks:
+        bundle, predictions = classifiers.train(df, "d", ["x", "y"], "kn", {"k": k}, 3, key=["id"])
+        scores.append(classifiers.exact_match(predictions, bundle.classes))
+    assert best == {"k": ks[scores.index(max(scores))]}
+
+
+def test_trained_models_are_compared_on_their_held_out_predictions(log):
+    from palimpsest.registry import queries as q
+    rows = q.trained_predictions(log).collect()
+    split = lambda t: {x for x in (t or "").split(", ") if x}
+    assert {r.model for r in rows} == {"kn", "random_forest", "xgboost"} and len({(r.model, r.doc_id) for r in rows}) == len(rows)
+    got = {(r.model, r.datatype, r.label): (r.precision, r.recall, r.accuracy, r.f1) for r in q.trained_metrics(log).collect()}
+    want = {}
+    for m, d in {(r.model, r.datatype) for r in rows}:
+        part = [(split(r.label), split(r.predicted_labels)) for r in rows if (r.model, r.datatype) == (m, d)]
+        for x in set().union(*(t for t, _ in part)):
+            tp, fp, fn = (sum((x in t, x in p) == c for t, p in part) for c in ((True, True), (False, True), (True, False)))
+            want[m, d, x] = (tp / (tp + fp) if tp + fp else 0, tp / (tp + fn), (len(part) - fp - fn) / len(part), 2 * tp / (2 * tp + fp + fn))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

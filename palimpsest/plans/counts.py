@@ -37,6 +37,16 @@ def table_counts(tables: dict) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(metric).alias("metric"), "count") for metric, df in tables.items()])
 
 
+def subset_counts(tables: dict, subset, subsets) -> DataFrame:
+    """(subset, metric, count): rows of each named table by subset, one scan a table; a subset without rows counts 0."""
+    def one(metric, df):
+        cells = F.array(*[F.struct(F.lit(s).alias("subset"), F.col(f"_{i}").alias("count")) for i, s in enumerate(subsets)])
+        sums = df.select(subset.alias("_subset")).agg(*[F.count_if(F.col("_subset") == s).alias(f"_{i}") for i, s in enumerate(subsets)])
+        return sums.select(F.explode(cells).alias("c")).select("c.subset", F.lit(metric).alias("metric"), "c.count")
+
+    return reduce(DataFrame.unionByName, [one(metric, df) for metric, df in tables.items()])
+
+
 def feature_table_counts(features: dict) -> DataFrame:
     names = {"globecoordinate": "globe"}
     return table_counts({f"number of {names.get(n, n)} changes": df for n, df in features.items()})

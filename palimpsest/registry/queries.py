@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.domain import CHANGE_KEY
+from palimpsest.domain import AXES, CHANGE_KEY, GLOBE_GOLD_SCHEMA, GOLD_SCHEMA
 from palimpsest.functions import labels as L
 from palimpsest.functions.calendar import age
 from palimpsest.functions.jsontext import number_text, scalar_text
@@ -206,6 +206,14 @@ def _(log):
         f"number of {t}": getattr(log, t) for t in ("revision", "value_change", "reference_change", "qualifier_change")})
 
 
+@query("A11_table_counts_by_subset")
+def _(log):
+    """Two families of entities are kept apart in the log, '_sa' and '_ao'; the others have no suffix."""
+    family = F.when(F.col("entity_id") % 4 == 0, "_sa").when(F.col("entity_id") % 4 == 1, "_ao").otherwise("")
+    return counts.subset_counts({f"number of {t}": getattr(log, t) for t in ("revision", "value_change", "reference_change", "qualifier_change")},
+                                family, ("", "_sa", "_ao"))
+
+
 @query("A11_feature_table_counts")
 def _(log):
     return counts.feature_table_counts(features(log))
@@ -500,6 +508,27 @@ def _(log):
 TEXT_FIELDS = ["revision_id", "property_id", "value_id", "change_target", "old_value", "new_value"]
 
 
+def through_csv(log: ChangeLog, rows: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """The rows in a schema's columns, missing ones empty, written as hand-labelled CSV and read by that schema; blank texts are ''."""
+    path = log.scratch(f"{name}/{uuid.uuid4().hex}")
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit("")).cast(f.dataType).alias(f.name) for f in schema.fields]
+    rows.select(*columns).write.csv(path, header=True, quote='"', escape='"')
+    return big(csvfiles.labelled_csv(log.spark, path, schema).fillna("", list(csvfiles.BLANK_COLUMNS)))
+
+
+@query("S1_gold_standard")
+def _(log):
+    rows = log.features_text.where(L.is_labelled(F.col("label"))).withColumn("datatype", F.lit("string"))
+    return through_csv(log, rows, GOLD_SCHEMA, "gold").select("revision_id", "property_id", "value_id", "change_target", "entity_id", "datatype", "old_value", "new_value", "label")
+
+
+@query("S1_globe_gold_standard")
+def _(log):
+    rows = log.features_globecoordinate.join(log.revision.select("revision_id", "entity_id"), "revision_id").withColumn("datatype", F.lit("globecoordinate"))
+    return through_csv(log, rows, GLOBE_GOLD_SCHEMA, "gold_globe").select(
+        "revision_id", "property_id", "value_id", "change_target", "entity_id", "datatype", "old_value", "new_value", *[f"label_{a}" for a in AXES])
+
+
 @query("S2_normalised_csv")
 def _(log):
     """Written with semicolons, normalised to commas, read back with a declared schema."""
@@ -538,6 +567,14 @@ def _(log):
     return big(cached.groupBy("property_id").agg(F.sum("precision_change").alias("precision_changes"), F.count(F.lit(1)).alias("count")))
 
 
+@query("S8_metric_csv")
+def _(log):
+    path = log.scratch("metrics_csv")
+    write_metrics(rounded(model_metrics(log), "precision", "recall", "accuracy", "f1"), path, "csv")
+    return log.spark.read.schema("datatype string, label string, precision double, recall double, accuracy double, f1 double, model string").csv(
+        path, header=True, enforceSchema=False)
+
+
 @query("S8_metric_files")
 def _(log):
     path = log.scratch("metrics_json")
@@ -898,9 +935,9 @@ def _(log):
 
 def class_changes(log: ChangeLog, dt_class: str) -> tuple[DataFrame, list[str], list[str]]:
     """(features, feature columns, key) of all labelled changes that a classifier of the class works on."""
-    if dt_class == "property_replacement":  # a deletion and a creation within a month of each other count as one act
+    if dt_class == "property_replacement":  # a deletion and a creation within a day of each other count as one act
         features = pair_features(replacement_pairs(log), vector="vec_id", vectors=log.embeddings.select("vec_id", "embedding"), complete=True)
-        label = F.when(F.col("time_diff") <= 30 * 86400, dt_class).otherwise("independent")
+        label = F.when(F.col("time_diff") <= 86400, dt_class).otherwise("independent")
         return features.withColumn("label", label), list(PAIR_COLUMNS), ["pair_id"]
     if dt_class == "reverted_edit":
         key = ["revision_id", "change_target"]

@@ -15,7 +15,7 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _labels(features: dict, columns, labels_on_entity: bool) -> DataFrame:
+def _labels(features: dict, columns, labels_on_entity: bool = True) -> DataFrame:
     """(source, label, columns) of all labelled rows, one scan per table; both axes come out of a single scan."""
     frames = []
     for name, df in features.items():
@@ -38,15 +38,13 @@ def labelled_changes(features: dict, columns=("is_reverted", "reversion"), label
     return explode_labels(_labels(features, columns, labels_on_entity)).select("source", "individual_label", *columns)
 
 
-def label_counts(features: dict, by=(), reverted: bool = True, labels_on_entity: bool = True) -> DataFrame:
-    """Counts per (by, source, individual_label), the last not yet added up.
+def label_counts(features: dict) -> DataFrame:
+    """Counts per (source, individual_label), the last not yet added up.
 
     Rows are counted under their whole label text before it is split: there are few such
     texts, so only counts are exploded.
     """
-    flags = ("is_reverted", "reversion") if reverted else ()
-    counted = _labels(features, (*by, *flags), labels_on_entity).groupBy(*by, "source", "label").agg(
-        *(_reverted() if reverted else [F.count(F.lit(1)).alias("n")]))
+    counted = _labels(features, ("is_reverted", "reversion")).groupBy("source", "label").agg(*_reverted())
     return explode_labels(counted).drop("label")
 
 
@@ -110,19 +108,19 @@ def change_type_distribution(features: dict, value_change: DataFrame, qualifier_
 def distribution_per_user_type(features: dict, revision: DataFrame) -> DataFrame:
     """The same per (datatype, user type, label) for the feature tables.
 
-    Rows are counted per revision and label before the join: a revision with many changes
-    travels as a handful of counts.
+    Changes meet their revision in one shuffle (AQE splits a revision with very many); what follows are counts.
     """
-    joined = label_counts(features, ("revision_id",)).join(revision.select("revision_id", "user_type"), "revision_id")
-    return _with_rate(joined.groupBy(
+    known = _labels(features, ("revision_id", "is_reverted", "reversion")).join(revision.select("revision_id", "user_type"), "revision_id")
+    counted = explode_labels(known.groupBy("source", "user_type", "label").agg(*_reverted())).drop("label")
+    return _with_rate(counted.groupBy(
         F.col("source").alias("datatype"), "user_type", F.col("individual_label").alias("label")).agg(*_sums()[:2]))
 
 
 def change_types_overtime(features: dict, revision: DataFrame) -> DataFrame:
     """Changes per (datatype, label, year), reverted ones included, entity labels not required."""
-    counted = label_counts(features, ("revision_id",), reverted=False, labels_on_entity=False)
-    joined = counted.join(revision.select("revision_id", "year"), "revision_id")
-    return joined.groupBy(F.col("source").alias("datatype"), "individual_label", "year").agg(F.sum("n").alias("count"))
+    known = _labels(features, ("revision_id",), labels_on_entity=False).join(revision.select("revision_id", "year"), "revision_id")
+    counted = explode_labels(known.groupBy("source", "year", "label").agg(F.count(F.lit(1)).alias("n"))).drop("label")
+    return counted.groupBy(F.col("source").alias("datatype"), "individual_label", "year").agg(F.sum("n").alias("count"))
 
 
 def dense_years(overtime: DataFrame, first: int = 2012, last: int = 2025, per_datatype: bool = True) -> DataFrame:

@@ -147,3 +147,19 @@ def test_ordered_results_are_in_order(spark, log):
     assert swings == sorted(swings) and len(swings) > 5
     reasons = [-r["count"] for r in rows("A22_latest_reasons")]
     assert reasons == sorted(reasons)
+
+
+@pytest.mark.parametrize("name", ["A2_distribution_per_user_type", "A3_change_types_overtime", "A6_reverted_edits_by_month"])
+def test_facts_are_shuffled_once(spark, log, name):
+    """By revision to meet it; what is shuffled after that are partial counts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        lines = plan(QUERIES[name](spark, log.folder)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    partial = [i for i in shuffled if "HashAggregate" in lines[i + 1] and "partial_" in lines[i + 1]]
+    rest = [lines[i] for i in shuffled if i not in partial]
+    assert len(rest) == 2 and all("hashpartitioning(revision_id" in x for x in rest)

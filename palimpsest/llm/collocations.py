@@ -19,7 +19,7 @@ from palimpsest.llm.words import Words, mixed
 #: suffixes that one group of prefixes holds; a prefix with more is dealt out by the word after it
 BUDGET = 250_000
 #: UTF-8 bytes of text whose equal sequences are combined before they are shuffled
-_SLICE = 3 << 20
+_SLICE = 2 << 20
 #: prefixes are packed by slots of their hash: this many at least and at most
 _SLOT_BITS = 10, 22
 #: rows that one step of building subtrees takes up

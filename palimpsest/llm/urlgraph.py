@@ -9,6 +9,8 @@ from palimpsest.llm.common import stored
 DAMPING, TOLERANCE = 0.85, 1e-7
 #: rounds between two looks at the change, and rounds after which something must be wrong
 _ROUNDS, _MOST_ROUNDS = 5, 10_000
+#: links and ranks that one task of a round works on: small graphs need few tasks, and rounds are many
+_ROWS = 100_000
 #: a host is blocked if its distrust exceeds its trust by more than this factor
 FACTOR = 1.000001
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,11 +69,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    steps = stored(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "steps")
+    parts = max(1, -(-edges.count() // _ROWS))
+    steps = stored(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")).coalesce(parts), "steps")
     mass = seeds.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     start = seeds.select("host", F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), (F.col(k) / F.lit(float(mass[k] or 1))).alias("rank")) for k in ("trust", "distrust")])).alias("s"))
-    start = stored(start.select("host", "s.kind", "s.rank").where("rank > 0"), "seeds")
+    start = stored(start.select("host", "s.kind", "s.rank").where("rank > 0").coalesce(parts), "seeds")
     links = steps.select("kind", F.col("src").alias("host"), "dst", "share")
     base = start.select("host", "kind", (F.col("rank") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
 
@@ -80,7 +83,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
             F.col("dst").alias("host"), "kind", (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before")).unionByName(base)
         if compared:
             rows = rows.unionByName(now.select("host", "kind", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
-        return rows.groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        return rows.groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")).coalesce(parts)
 
     now = start
     for _ in range(0, _MOST_ROUNDS, _ROUNDS):

@@ -19,7 +19,9 @@ _SHARES = T.ArrayType(T.DoubleType())
 #: bytes of labelled fit rows (rows x numbers x 8) up to which they are sent to all tasks
 SMALL_BYTES = 16 << 20
 #: points of a cell as the pivots are chosen, pivots at most, rows of either side that one task compares
-PER_CELL, MOST_PIVOTS, BLOCK = 2_048, 512, 4_096
+PER_CELL, MOST_PIVOTS, BLOCK = 16_384, 512, 32_768
+#: points of a leaf and queries of a group inside a task, either for vectors of many numbers, which rule out little, and from how many on
+LEAF, GROUP, WIDE, MANY = 128, 64, 512, 16
 
 
 def weighted_points(df: DataFrame, truths) -> DataFrame:
@@ -36,25 +38,113 @@ def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the first k columns by (distance, position)."""
-    count = dist.shape[1]
-    if count <= 4 * k:
-        return np.argsort(dist, axis=1, kind="stable")[:, :k]
-    out = np.empty((len(dist), k), dtype=np.int64)
-    limits = np.partition(dist, k - 1, axis=1)[:, k - 1]
-    for i, (row, limit) in enumerate(zip(dist, limits)):
-        close = np.flatnonzero(row <= limit)
-        out[i] = close[np.argsort(row[close], kind="stable")[:k]]
+def _leaves(points: np.ndarray, most: int):
+    """(order, starts, low, high): rows cut at the median of the widest dimension until no leaf has more than ``most`` of them,
+    and the box around each leaf. Leaf i is ``order[starts[i]:starts[i + 1]]``."""
+    order, ends, open_ = np.arange(len(points)), [], [(0, len(points))]
+    while open_:
+        start, end = open_.pop()
+        if end - start <= most:
+            ends.append(end)
+            continue
+        part = points[order[start:end]]
+        middle = (end - start) // 2
+        wide = np.argmax(np.nan_to_num(np.max(part, axis=0) - np.min(part, axis=0)))
+        order[start:end] = order[start:end][np.argpartition(part[:, wide], middle)]
+        open_ += [(start + middle, end), (start, start + middle)]
+    starts = np.array([0, *ends])
+    sorted_ = points[order]
+    return order, starts, np.minimum.reduceat(sorted_, starts[:-1]), np.maximum.reduceat(sorted_, starts[:-1])
+
+
+def _to_boxes(least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes on the left to boxes on the right; what is no number rules nothing out."""
+    out = np.zeros((len(least), len(low)))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i in range(low.shape[1]):
+            gap = np.maximum(np.maximum(low[:, i] - most[:, i, None], least[:, i, None] - high[:, i]), 0)
+            out += np.where(np.isfinite(gap), gap, 0) ** 2
     return out
 
 
-def _vote(dist, ys, weights, ks):
-    """Class shares among the nearest for each k, side by side, a point of weight w counting as w neighbours.
+def _nearest(asked: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray | None = None, leaves=None):
+    """(query, point, distance), flat: the first k points of each query by (distance, position), none beyond its bound.
+
+    Near queries are answered together. They visit the leaves of the points from the nearest box on, until no box can hold a
+    neighbour; products of matrices pick out who may be one, and the distances of those are computed one by one.
+    """
+    dims = points.shape[1]
+    order, starts, low, high = leaves or _leaves(points, WIDE if dims >= MANY else LEAF)
+    sorted_, counts = points[order], np.diff(starts)
+    kind = np.float32 if dims >= MANY else np.float64  # of the products, where they are most of the work
+    error = 4 * (dims + 4) * np.finfo(kind).eps
+    groups, cuts, least, most = _leaves(asked, WIDE if dims >= MANY else GROUP)
+    none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+    out = [none]
+    for g in range(len(cuts) - 1):
+        rows = groups[cuts[g]:cuts[g + 1]]
+        a = asked[rows]
+        limit = np.full(len(rows), np.inf) if bounds is None else np.where(np.isnan(bounds[rows]), np.inf, _squared(bounds[rows]))
+        far = _to_boxes(least[g][None], most[g][None], low, high)[0]
+        middle = np.nan_to_num(np.median(a, axis=0))
+        left = np.argsort(_to_boxes(middle[None], middle[None], low, high)[0], kind="stable")
+        with np.errstate(over="ignore", invalid="ignore"):
+            moved = (a - middle).astype(kind)
+            size = (moved ** 2).sum(axis=1)
+        q, p, d, chunk = *none, max(4 * k, 2 * LEAF)
+        while True:
+            left = left[far[left] <= limit.max()]
+            if not len(left):
+                break
+            now, left = np.split(left, [1 + np.searchsorted(np.cumsum(counts[left]), chunk)])
+            chunk = min(2 * chunk, 4_096)
+            within = _to_boxes(a, a, low[now], high[now]) <= limit[:, None]
+            now, who = now[within.any(axis=0)], np.flatnonzero(within.any(axis=1))
+            if not len(now):
+                continue
+            at = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in now])
+            with np.errstate(over="ignore", invalid="ignore"):
+                known = (sorted_[at] - middle).astype(kind)
+                length = (known ** 2).sum(axis=1)
+                about = moved[who] @ (-2 * known.T)
+                about += size[who, None]
+                about += length
+                slack = np.nan_to_num(error * (size[who] + length[np.isfinite(length)].max(initial=0)), nan=0, posinf=0)
+            odd = None
+            if not float(size[who].max()) + float(length.max()) < np.finfo(kind).max / 8:  # looked at one by one
+                odd = ~np.isfinite(about)
+                about[odd] = np.inf
+            if len(at) >= k and np.isinf(limit[who]).any():
+                limit[who] = np.minimum(limit[who], np.partition(about, k - 1, axis=1)[:, k - 1] + slack)
+            near = about <= (limit[who] + slack)[:, None]
+            found, c = np.nonzero(near if odd is None else near | odd)
+            if not len(found):
+                continue
+            nq, np_ = who[found], order[at[c]]
+            with np.errstate(over="ignore", invalid="ignore"):
+                nd = [np.sqrt(((a[nq[i:i + 65_536]] - points[np_[i:i + 65_536]]) ** 2).sum(axis=1)) for i in range(0, len(nq), 65_536)]
+            q, p, d = np.concatenate([q, nq]), np.concatenate([p, np_]), np.concatenate([d, *nd])
+            first = np.lexsort((p, d, q))
+            q, p, d = q[first], p[first], d[first]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            full = (rank == k - 1) & ~np.isnan(d)
+            limit[q[full]] = np.minimum(limit[q[full]], _squared(d[full]))
+            q, p, d = q[rank < k], p[rank < k], d[rank < k]
+        kept = np.full(len(q), True) if bounds is None else np.isnan(bounds[rows][q]) | (d <= bounds[rows][q])
+        out.append((rows[q[kept]], p[kept], d[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _squared(d: np.ndarray) -> np.ndarray:
+    """No less than the square, whatever was rounded."""
+    return d ** 2 * (1 + 1e-12) + np.finfo(float).tiny
+
+
+def _vote(near, ys, weights, ks):
+    """Class shares among the nearest (queries x neighbours) for each k, side by side, a point of weight w counting as w neighbours.
 
     The neighbours for a smaller k are the first of those for the largest.
     """
-    near = _nearest(dist, max(ks))
     w = weights[near]
     before = np.cumsum(w, axis=1) - w
     out = []
@@ -85,18 +175,20 @@ def shares_by(points: DataFrame, k):
     if rows * (wide + classes + 1) * 8 > SMALL_BYTES:
         return lambda queries, out: neighbour_shares(queries, points, k, out)
     table = points.orderBy("h").toPandas()
+    known = np.stack(table["features"].to_numpy())
     sent = points.sparkSession.sparkContext.broadcast((
-        np.stack(table["features"].to_numpy()), np.stack(table["ys"].to_numpy()), table["w"].to_numpy()))
+        known, np.stack(table["ys"].to_numpy()), table["w"].to_numpy(), _leaves(known, WIDE if known.shape[1] >= MANY else LEAF)))
 
     @F.pandas_udf(_SHARES)
     def vote(features: pd.Series) -> pd.Series:
-        known, ys, w = sent.value
+        known, ys, w, leaves = sent.value
         if not len(features):
             return pd.Series([], dtype=object)
         asked = np.stack(features.to_numpy())
-        step = max(1, (1 << 22) // len(known))
-        parts = [_vote(_distances(asked[i:i + step], known), ys, w, _several(k)) for i in range(0, len(asked), step)]
-        return pd.Series(list(np.concatenate(parts)))
+        q, p, _ = _nearest(asked, known, max(_several(k)), leaves=leaves)
+        near = np.empty((len(asked), len(p) // len(asked)), dtype=np.int64)
+        near[q, np.arange(len(q)) % near.shape[1]] = p
+        return pd.Series(list(_vote(near, ys, w, _several(k))))
 
     return lambda queries, out: queries.withColumn(out, vote(F.col("features")))
 
@@ -115,25 +207,23 @@ def _assigned(df: DataFrame, pivots) -> DataFrame:
 
 
 def _searched(visits: DataFrame, points: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """(qid, d, h, w, ys): of each pair of blocks the k nearest points of each query that visits the cell.
+    """(qid, d, h, w, ys): of each pair of blocks the k nearest points of each query that visits the cell, none beyond its bound.
 
     Cells and their visitors are cut into blocks of bounded size, so a crowded cell is many groups.
     """
     spread = cells.join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")), "cell").select(
         "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("q"))
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = visits.join(spread, "cell").select("cell", span("p").alias("pb"), F.pmod(F.xxhash64("qid"), F.col("q")).cast("int").alias("qb"), "qid", F.col("features").alias("asked"))
+    left = visits.join(spread, "cell").select("cell", span("p").alias("pb"), F.pmod(F.xxhash64("qid"), F.col("q")).cast("int").alias("qb"), "qid", F.col("features").alias("asked"), "bound")
     right = points.join(spread, "cell").select("cell", F.pmod(F.xxhash64("h"), F.col("p")).cast("int").alias("pb"), span("q").alias("qb"), F.col("features").alias("known"), "ys", "w", "h")
 
     def compare(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(known):
             return pd.DataFrame({"qid": [], "d": [], "h": [], "w": [], "ys": []})
         known = known.sort_values("h", kind="stable")
-        d = _distances(np.stack(asked["asked"].to_numpy()), np.stack(known["known"].to_numpy()))
-        near = _nearest(d, k)
-        at = near.ravel()
-        return pd.DataFrame({"qid": np.repeat(asked["qid"].to_numpy(), near.shape[1]), "d": np.take_along_axis(d, near, 1).ravel(),
-                             "h": known["h"].to_numpy()[at], "w": known["w"].to_numpy()[at], "ys": known["ys"].to_numpy()[at]})
+        q, at, d = _nearest(np.stack(asked["asked"].to_numpy()), np.stack(known["known"].to_numpy()), k, asked["bound"].to_numpy())
+        return pd.DataFrame({"qid": asked["qid"].to_numpy()[q], "d": d, "h": known["h"].to_numpy()[at], "w": known["w"].to_numpy()[at],
+                             "ys": known["ys"].to_numpy()[at]})
 
     keys = ["cell", "pb", "qb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid long, d double, h long, w long, ys array<double>")
@@ -167,7 +257,7 @@ def neighbour_shares(queries: DataFrame, points: DataFrame, k, out: str = "share
     size = cells.toPandas().set_index("cell").reindex(range(len(pivots.value)))
     known = spark.sparkContext.broadcast((size["w"].fillna(0).to_numpy(), size["radius"].fillna(-np.inf).to_numpy(), _distances(pivots.value, pivots.value)))
 
-    own = _first(_searched(asked, points, cells, k), k).checkpoint()
+    own = _first(_searched(asked.withColumn("bound", F.lit(float("nan"))), points, cells, k), k).checkpoint()
     reached = own.groupBy("qid").agg(F.min(F.when(F.col("before") + F.col("w") >= k, F.col("d"))).alias("bound"))
 
     @F.pandas_udf("array<int>")
@@ -192,7 +282,8 @@ def neighbour_shares(queries: DataFrame, points: DataFrame, k, out: str = "share
             result.append(np.flatnonzero(ok).astype("int32"))
         return pd.Series(result)
 
-    more = asked.join(reached, "qid", "left").select("qid", "features", F.explode(visits("features", "cell", "bound")).alias("cell")).checkpoint()
+    more = asked.join(reached, "qid", "left").select(
+        "qid", "features", F.coalesce("bound", F.lit(float("nan"))).alias("bound"), F.explode(visits("features", "cell", "bound")).alias("cell")).checkpoint()
     near = _first(own.drop("before").unionByName(_searched(more, points, cells, k)), k)
     taken = {j: F.greatest(F.lit(0), F.least(F.col("w"), j - F.col("before"))) for j in ks}
     voted = near.groupBy("qid").agg(*[F.sum(taken[j]).alias(f"_t{j}") for j in ks], *[

@@ -83,6 +83,32 @@ def test_cells_are_ruled_out(spark, monkeypatch):
     assert seen[0] == 1200 and seen[1] < 1200 * 12
 
 
+@pytest.mark.parametrize("dims,k", [(3, 5), (3, 700), (20, 5)])
+def test_neighbours_inside_a_task_are_those_of_all_pairs(dims, k):
+    rng = np.random.default_rng(7)
+    points, asked = rng.normal(size=(600, dims)).round(1), rng.normal(size=(90, dims)).round(1)
+    points[3], points[5, 1], asked[2, 0] = np.nan, np.inf, np.nan
+    bounds = np.where(np.arange(90) % 3 == 0, np.nan, 1.0)
+    for limit in (None, bounds):
+        q, p, d = neighbours._nearest(asked, points, k, limit)
+        for i, row in enumerate(asked):
+            far = np.sqrt(((points - row) ** 2).sum(axis=1))
+            want = [j for j in np.argsort(far, kind="stable")[:k] if limit is None or np.isnan(limit[i]) or far[j] <= limit[i]]
+            assert p[q == i].tolist() == want and np.array_equal(d[q == i], far[want], equal_nan=True)
+
+
+def test_few_of_all_pairs_are_compared_inside_a_task(monkeypatch):
+    rng, seen, nonzero = np.random.default_rng(8), [], np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda x: (seen.append(x.size), nonzero(x))[1])
+    looked = []
+    for n in (10_000, 40_000):
+        values = rng.normal(size=(n, 1)) @ np.ones((1, 4)) + rng.normal(size=(n, 4)) / 10
+        neighbours._nearest(values[:2_000], values, 5)
+        looked.append(sum(seen))
+        seen.clear()
+    assert looked[0] < 2_000 * 10_000 / 8 and looked[1] < 2_000 * 40_000 / 12
+
+
 def test_depths_beyond_the_limit_are_one_or_refused():
     combos = [{"trees": 5, "depth": d} for d in (None, 5, 30, 40, 100)]
     assert classifiers._trainable(combos) == [{"trees": 5, "depth": 30}, {"trees": 5, "depth": 5}]

@@ -15,7 +15,7 @@ from palimpsest.operators.value_features import TIME_COLUMNS, time_features
 from palimpsest.sources import csvfiles
 from palimpsest.sources.store import load_or_compute, write_back, write_metrics
 from palimpsest.streaming.classify import change_stream, classify_stream
-from palimpsest.streaming.reversions import first_reversions, reversion_stream
+from palimpsest.streaming.reversions import first_reversion_stream, first_reversions, reversion_stream
 
 
 @pytest.fixture(scope="module")
@@ -247,6 +247,37 @@ def test_stream_finds_the_reversions_of_the_batch(spark, log, tmp_path, salts):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_stream_finds_the_first_reversion_in_one_row(spark, log, tmp_path, salts):
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    log.value_change.orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 200).parquet(source)
+    stream = first_reversion_stream(change_stream(spark, source, log.value_change.schema, 1), salts=salts, lateness="40 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True).start().awaitTermination()
+    got = first_reversions(spark.read.parquet(out)).select("revision_id", F.unix_micros("first_reversion").alias("at"))
+    batch = first_reversion(log.value_change).withColumn("us", F.unix_micros("timestamp"))
+    want = batch.where(F.col("first_reversion_us") - F.col("us") <= 28 * 86_400_000_000).select("revision_id", F.col("first_reversion_us").alias("at"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_rows_do_not_grow_with_returns_of_a_state(spark, tmp_path):
+    """A statement that swings 200 times: a row a change, not a row a pair; the order of arrival is corrected within the lateness."""
+    rows = [(i, 1, 1, "v", "", "ab"[i % 2], "ba"[i % 2], 1_700_000_000 + 60 * i) for i in range(400)]
+    rows[7], rows[390] = rows[390], rows[7]  # in another file, late
+    schema = "revision_id long, entity_id long, property_id long, value_id string, change_target string, old_hash string, new_hash string, timestamp long"
+    table = spark.createDataFrame(rows, schema).withColumn("timestamp", F.timestamp_seconds("timestamp"))
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for i in range(4):
+        spark.createDataFrame(table.collect()[100 * i:100 * (i + 1)], table.schema).coalesce(1).write.mode("append").parquet(source)
+    stream = first_reversion_stream(change_stream(spark, source, table.schema, 1), lateness="10 hours")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() < 410
+    assert {(r["revision_id"], r["at"]) for r in first_reversions(got).selectExpr("revision_id", "unix_seconds(first_reversion) as at").collect()} == {
+        (i, 1_700_000_000 + 60 * (i + 1)) for i in range(399)}
+
+
 def test_stream_labels_pending_changes(spark, log, tmp_path):
     df = log.features_time
     bundle, _ = classifiers.train(time_features(df.where("label <> ''")), "time", TIME_COLUMNS, "kn", {"k": 3}, folds=2)

@@ -3,13 +3,16 @@
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.labels import parse_labels
 from palimpsest.operators.ordered import DEFAULT_SPLIT, Split, position, with_chunk
+from palimpsest.session import shared_dir
 
 FOLD = "fold"
+_SPAN_BITS = 50  # of the 62 bits of a hash, those within a span: 4,096 spans a label set
+_NUMBERED = 200_000  # rows that are all numbered, in fewer jobs
 
 
 def truth_column(label: str) -> str:
@@ -116,16 +119,51 @@ def multilabel_folds(df: DataFrame, key, k: int = 5, label: str = "label", seed:
     """Add ``fold`` 0..k-1 so that each fold has its share of every label, and of every set of labels.
 
     The driver sees the histogram of label sets and decides how many rows of each go to a fold (:func:`apportion`). Rows of a
-    set are numbered in the order of a seeded hash of their key, a frequent set in chunks, and take the folds in turn.
+    set take the folds in turn in the order of a seeded hash of their key. Above ``_NUMBERED`` rows a histogram of the hashes says which
+    fold a span of them belongs to; only rows of the few spans that folds share are numbered, and the others are not moved.
     """
     named = F.array_join(F.array_sort(F.array_distinct(_label_list(label))), "\x1f")
-    base = df.withColumn("_set", named).withColumn("_h", F.shiftright(F.xxhash64(F.lit(seed), *key), 2))
-    sets = {tuple(r["_set"].split("\x1f")): r["count"] for r in base.groupBy("_set").count().collect()}
-    ends = []
-    for labels, quota in apportion(sets, k).items():
-        ends.append(("\x1f".join(labels), [sum(quota[:f + 1]) for f in range(k)]))
-    table = df.sparkSession.createDataFrame(ends, "_named string, _ends array<long>")
-    base, split = with_chunk(base, ["_set"], "_h", split)
-    numbered = position(base, ["_set"], "_h", key, "_n", split).join(F.broadcast(table), F.col("_set") == F.col("_named"))
-    fold = F.size(F.filter("_ends", lambda e: e < F.col("_n"))).cast("int")
-    return numbered.select(*df.columns, fold.alias(FOLD))
+    base = df.withColumn("_h", F.shiftright(F.xxhash64(F.lit(seed), *key), 2)).withColumn("_span", F.shiftright("_h", _SPAN_BITS))
+    shared_dir(df.sparkSession)
+    spans = base.groupBy(label, "_span").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_set", named).checkpoint()
+    texts = {r[label] or "": r["_set"] for r in spans.select(label, "_set").distinct().collect()}
+    spans = spans.groupBy("_set", "_span").agg(F.sum("_rows").alias("_rows")).checkpoint()
+    sets = {tuple(r["_set"].split("\x1f")): r["n"] for r in spans.groupBy("_set").agg(F.sum("_rows").alias("n")).collect()}
+    ends = {"\x1f".join(labels): [sum(quota[:f + 1]) for f in range(k)] for labels, quota in apportion(sets, k).items()}
+    table = df.sparkSession.createDataFrame(list(ends.items()), "_named string, _ends array<long>")
+    if sum(sets.values()) <= _NUMBERED:
+        base, split = with_chunk(base.withColumn("_set", named), ["_set"], "_h", split)
+        numbered = position(base, ["_set"], "_h", key, "_n", split).join(F.broadcast(table), F.col("_set") == F.col("_named"))
+        return numbered.select(*df.columns, F.size(F.filter("_ends", lambda e: e < F.col("_n"))).cast("int").alias(FOLD))
+    before = F.sum("_rows").over(Window.partitionBy("_set").orderBy("_span")) - F.col("_rows")
+    spans = spans.join(F.broadcast(table), F.col("_set") == F.col("_named")).withColumn("_before", before)
+    past = lambda n: F.size(F.filter("_ends", lambda e: e < n)).cast("int")
+    spans = spans.select("_set", "_span", "_rows", "_before", past(F.col("_before") + 1).alias("_first"), past(F.col("_before") + F.col("_rows")).alias("_last"))
+    starts, mixed, most = {}, {}, 0  # of each set: the first span of every fold, and the spans that folds share with the rows before them
+    for r in spans.groupBy("_set", "_first").agg(F.min("_span").alias("start")).collect():
+        starts.setdefault(r["_set"], []).append((r["_first"], r["start"]))
+    for r in spans.where("_first < _last").collect():
+        mixed.setdefault(r["_set"], {})[r["_span"]] = r["_before"]
+        most = max(most, r["_rows"])
+
+    def of_set(values: dict):
+        cells = [c for text, name in texts.items() if name in values for c in (F.lit(text), values[name])]
+        return F.try_element_at(F.create_map(*cells), F.coalesce(F.col(label), F.lit("")))
+
+    begun = of_set({s: F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(at).cast("bigint").alias("at")) for f, at in v]) for s, v in starts.items()})
+    fold = F.array_max(F.transform(F.filter(begun, lambda x: x["at"] <= F.col("_span")), lambda x: x["fold"]))
+    whole = base
+    if mixed:
+        shared = of_set({s: F.array(*[F.lit(x).cast("bigint") for x in v]) for s, v in mixed.items()})
+        is_shared = F.coalesce(F.array_contains(shared, F.col("_span")), F.lit(False))
+        whole = base.where(~is_shared)
+    out = whole.select(*df.columns, fold.cast("int").alias(FOLD))
+    if not mixed:
+        return out
+    rows = base.where(is_shared).withColumn("_set", named)
+    keys = ["_set", "_span"]
+    rows, split = with_chunk(rows, keys, "_h", split) if split and most > split.floor else (rows, None)
+    offsets = of_set({s: F.create_map(*[F.lit(x).cast("bigint") for cell in v.items() for x in cell]) for s, v in mixed.items()})
+    numbered = position(rows, keys, "_h", key, "_n", split).withColumn("_n", F.col("_n") + F.try_element_at(offsets, F.col("_span")))
+    quota = of_set({s: F.array(*[F.lit(x).cast("bigint") for x in v]) for s, v in ends.items() if s in mixed})
+    return out.unionByName(numbered.select(*df.columns, F.size(F.filter(quota, lambda e: e < F.col("_n"))).cast("int").alias(FOLD)))

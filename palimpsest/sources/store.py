@@ -1,9 +1,12 @@
 """Writing results: cached frames, label write-back, metric files."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.domain import CHANGE_KEY
+from palimpsest.session import shared_dir
 
 
 def load_or_compute(spark: SparkSession, path: str, compute, reload: bool = False, partition_by=()) -> DataFrame:
@@ -17,6 +20,14 @@ def load_or_compute(spark: SparkSession, path: str, compute, reload: bool = Fals
     return spark.read.parquet(path)
 
 
+def store_once(df: DataFrame) -> DataFrame:
+    """The rows as a table of their own in the shared folder: computed once, columns read as they are needed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/once/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

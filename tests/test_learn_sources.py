@@ -339,6 +339,58 @@ def test_multilabel_folds(spark):
     assert {r.id: r.fold for r in got} == {r.id: r.fold for r in prepare.multilabel_folds(df.repartition(5), ["id"], 3).collect()}
 
 
+def test_folds_by_spans_are_those_of_numbering_all_rows(spark, monkeypatch):
+    texts = ["a", "b, a", "a, b", "c", " ", "b,c", None]
+    rows = [(i if i % 50 else None, texts[i % 7]) for i in range(3000)] + [(i, "a") for i in range(0, 300, 7)] + [(None, "c")] * 40
+    df = spark.createDataFrame(rows, "id long, label string")
+    want = prepare.multilabel_folds(df, ["id"], 3)
+    monkeypatch.setattr(prepare, "_NUMBERED", 10)
+    monkeypatch.setattr(prepare, "_SPAN_BITS", 58)  # few spans, so that folds share some
+    for split in (Split(), Split(20)):
+        got = prepare.multilabel_folds(df, ["id"], 3, split=split)
+        assert got.count() == len(rows) and got.exceptAll(want).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Window" not in plan.split("\n+- ")[0].split("\n:- ")[1]  # most rows are not moved
+
+
+def test_features_of_a_class_are_computed_once(spark, log, monkeypatch):
+    from palimpsest.registry import queries as q
+    seen, class_changes = spark.sparkContext.accumulator(0), q.class_changes
+
+    def counted(*args):
+        features, columns, key = class_changes(*args)
+
+        @F.udf("int")
+        def told(x):
+            seen.add(1)
+            return x
+
+        return features.withColumn(columns[0], told(columns[0])), columns, key
+
+    monkeypatch.setattr(q, "class_changes", counted)
+    assert q.classify_held_back(log, "quantity").count() > 0
+    rows = class_changes(log, "quantity")[0].count()
+    assert seen.value == rows
+
+
+def test_forests_grown_on_distinct_rows(spark, monkeypatch):
+    rows = [(i, float(i % 4), float(i % 3), "up" if i % 4 > 1 else "up, odd" if i % 3 else "down") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label string")
+    want = classifiers.train(df, "d", ["x", "y"], "random_forest", {"trees": 3, "depth": 4}, 2, key=["id"])[1]
+    fitted, fit_one = [], classifiers._fit_one
+    monkeypatch.setattr(classifiers, "_MANY_ROWS", 1)
+    monkeypatch.setattr(classifiers, "_LOTS", 7)
+    monkeypatch.setattr(classifiers, "_fit_one", lambda rows, *rest: (fitted.append(rows), fit_one(rows, *rest))[1])
+    for bootstrap in (True, False):
+        params = {"trees": 3, "depth": 4, "bootstrap": bootstrap}
+        got = classifiers.train(df, "d", ["x", "y"], "random_forest", params, 2, key=["id"])[1]
+        assert got.select("id", "predicted_labels").exceptAll(want.select("id", "predicted_labels")).count() == 0
+    for part in fitted:
+        lots = classifiers._lots(part, True)
+        assert part.count() <= 12 and lots.agg(F.sum("_number")).first()[0] == 300 == part.agg(F.sum("_number")).first()[0]
+        assert lots.groupBy("features", "y_up", "y_odd").count().agg(F.max("count")).first()[0] == 7
+
+
 def test_one_search_scores_every_k(spark, points):
     known = weighted_points(points, ["a", "b"])
     several = {tuple(r["features"]): r["s"] for r in neighbour_shares(points, known, [3, 7, 25], "s", per_cell=40).collect()}

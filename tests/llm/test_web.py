@@ -160,3 +160,19 @@ def test_long_chains_take_few_rounds(spark):
     rows = [(f"c{i}", 1, i, "t", "{}", f"c{i - 1}" if i else None, "x") for i in range(300)]
     got = {r.call_id: r.level for r in toolcalls.levels(calls(spark, rows)).collect()}
     assert got == {f"c{i}": i for i in range(300)}
+
+
+def test_rounds_are_planned_once(spark):
+    """A round is no job of its own, and the caller's settings stay."""
+    edges = spark.createDataFrame([(f"h{i}.net", f"h{i + 1}.net", 1) for i in range(12)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0.net", 1.0, 0.0), ("h12.net", 0.0, 1.0)], "host string, trust double, distrust double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "")
+    try:
+        got = {r.host: r for r in urlgraph.propagate(edges, seeds).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got["h12.net"].trust == pytest.approx(0.15 * 0.85 ** 12) and got["h0.net"].distrust == pytest.approx(0.15 * 0.85 ** 12)
+    assert len(sc.statusTracker().getJobIdsForGroup("rounds")) < 40
+    assert {k: spark.conf.get(k) for k in before} == before

@@ -1,7 +1,10 @@
 """Token counts of whole texts, as the tokenizers library gives them."""
 
+import gc
 import json
 import os
+import string
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,7 +15,11 @@ from palimpsest.llm.common import map_texts
 #: characters of one chunk of a huge document, and of the first overlap that is tried
 CHUNK, OVERLAP = 16_384, 256
 #: word counts that one task remembers, and bytes of these words
-_MEMO, _MEMO_BYTES = 400_000, 64 << 20
+_MEMO, _MEMO_BYTES = 600_000, 64 << 20
+#: words that the tokenizer itself remembers; few of them cost more time than none
+_CACHE = 100_000
+#: a pattern that ends each run of ASCII letters, and each digit, where punctuation other than ``'`` follows
+_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SPACE = " \t\n\r\x0b\x0c"
 
 
@@ -36,6 +43,23 @@ def separable(spec: dict) -> bool:
                         for t in spec.get("added_tokens", [])))
 
 
+def detachable(spec: dict) -> tuple[bytes, bool]:
+    """(ASCII punctuation that is encoded independently of ASCII letters and digits before it, whether these may be lower-cased first).
+
+    It is proven for the pattern ``_RUNS`` of a :func:`separable` file whose other pre-tokenizers cut nothing. The normalizers
+    leave ASCII as it is, but for its case. No character of an added token is detached, and none is letters and digits only.
+    """
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    added = "".join(t["content"] for t in spec.get("added_tokens", []))
+    if not (separable(spec) and pre and pre[0]["pattern"] == {"Regex": _RUNS} and all(
+            p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in pre[1:])
+            and not any(t["content"].isalnum() for t in spec.get("added_tokens", []))):
+        return b"", False
+    steps = spec.get("normalizer") or {}
+    lower = any(s.get("type") == "Lowercase" for s in steps.get("normalizers", [steps]))
+    return "".join(c for c in string.punctuation if c != "'" and c not in added).encode(), lower
+
+
 class TokenCounter:
     """Counts for one tokenizer file (.json); truncation and padding are off, no special tokens are added."""
 
@@ -43,10 +67,14 @@ class TokenCounter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as file:
-            self.independent = separable(json.load(file))
+            spec = json.load(file)
+        self.independent = separable(spec)
+        self.tails, self.lower = detachable(spec)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(_CACHE)
         self.chunk, self.overlap = chunk, overlap
         self.memo: dict[bytes, int] = {}
         self.held = self.widened = 0
@@ -69,14 +97,25 @@ class TokenCounter:
 
     def _need(self, split: list[list[bytes]]) -> None:
         """See to it that the counts of all these words are known."""
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
+        memo, words = self.memo, set().union(*split)
+        new = words.difference(memo)
         self.held += sum(map(len, new))
         if len(memo) + len(new) > _MEMO or self.held > _MEMO_BYTES:
             memo.clear()
-            new = {w for words in split for w in words}
-            self.held = sum(map(len, new))
-        self._learn(sorted(new))
+            new, self.held = words, sum(map(len, words))
+        if not self.tails:
+            self._learn(sorted(new))
+            return
+        memo[b""] = 0
+        cut = []  # letters and digits, and the punctuation after them
+        for w in new:
+            stem = w.rstrip(self.tails)
+            if stem.isalnum():  # of bytes: ASCII only
+                cut.append((w, stem.lower() if self.lower else stem, w[len(stem):]))
+        units = new.difference([w for w, _, _ in cut]).union([x for _, x, _ in cut], [x for _, _, x in cut]).difference(memo)
+        self.held += sum(map(len, units.difference(new)))
+        self._learn(sorted(units))
+        memo.update([(w, memo[stem] + memo[tail]) for w, stem, tail in cut])
 
     def _learn(self, words: list[bytes]) -> None:
         """Counts of words, many of them in one text; a token belongs to the word in which it starts."""
@@ -88,11 +127,15 @@ class TokenCounter:
             tokens = np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(part))
             self.memo.update(zip(words[k:k + 512], tokens.tolist()))
 
-    def _encoded(self, text: str, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last character in the document of each token of a chunk."""
-        found = self.tokenizer.encode(text[start:stop], add_special_tokens=False).offsets
-        at = np.array(found, np.int64).reshape(-1, 2) + start
-        return at[:, 0], at[:, 1]
+    def _encoded(self, text: str, start: int, stop: int):
+        """The first character in the document of a chunk and its encoding; offsets are asked for where they are needed."""
+        return start, self.tokenizer.encode(text[start:stop], add_special_tokens=False)
+
+    @staticmethod
+    def _from(chunk, at: int) -> int:
+        """How many tokens of a chunk start before a character of the document."""
+        start, found = chunk
+        return bisect_left(range(len(found)), at - start, key=lambda i: found.token_to_chars(i)[0])
 
     def _boundary(self, cuts: list[int], left, right) -> int | None:
         """The last of the places ``cuts`` in the overlap where both chunks may be cut, or None.
@@ -106,13 +149,13 @@ class TokenCounter:
             return None
         low, high = cuts[0], cuts[-1]
         views = []
-        for first, last in (left, right):
-            inside = (first >= low) & (last <= high)
-            if ((first < high) & (last > high)).any() or not inside.any():
+        for chunk in (left, right):
+            start, found = chunk
+            units = [(a + start, b + start) for a, b in map(found.token_to_chars, range(self._from(chunk, low), self._from(chunk, high)))]
+            if not units or units[-1][1] > high:
                 return None
-            views.append((first[inside], last[inside]))
-        same = all(len(a) == len(b) and (a == b).all() for a, b in zip(*views))
-        return high if same else None
+            views.append(units)
+        return high if views[0] == views[1] else None
 
     def spliced(self, text: str) -> int:
         """Tokens of a huge text: overlapping chunks are encoded with offsets and spliced at proven common boundaries.
@@ -137,7 +180,7 @@ class TokenCounter:
                 right = self._encoded(text, begin, end)
                 at = self._boundary(cuts, left, right)
                 if at is not None:
-                    total += int(((left[0] >= cut) & (left[0] < at)).sum())
+                    total += self._from(left, at) - self._from(left, cut)
                     cut, left, stop, size = at, right, end, self.chunk
                     break
                 self.widened += 1
@@ -145,7 +188,7 @@ class TokenCounter:
                     left, stop, size = right, end, 2 * size
                     break
                 overlap *= 2
-        return total + int((left[0] >= cut).sum())
+        return total + len(left[1]) - self._from(left, cut)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -163,6 +206,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
 
     def run(ids, texts):
         if not held:
+            gc.collect()  # of the tasks that this worker ran before
             held.append(TokenCounter(path, chunk, overlap))
         counts = held[0].count(texts)
         return {"doc_id": ids, "n_bytes": [len(t or b"") for t in texts], "n_tokens": counts,

@@ -41,6 +41,17 @@ def test_token_counts(spark):
     assert token_counts.token_counts(made(spark, []), path).count() == 0
 
 
+def test_words_are_learned_without_the_punctuation_after_them():
+    counter = token_counts.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    learned, learn = [], counter._learn
+    counter._learn = lambda words: learned.extend(words) or learn(words)
+    text = "House, house. HOUSE! (house) house; don't x<|endoftext|> H\u0331, end|> A\u00e9. 3a: 's,"
+    texts = [text, text.lower(), "house,"]
+    assert counter.count([t.encode() for t in texts]) == [len(counter.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert learned.count(b"house") == 1 and not {b"House,", b"house.", b"HOUSE!", b"house;"} & set(learned)
+    assert token_counts.TokenCounter(public_tokenizers.path("byte_bpe_50k.json")).tails == b""
+
+
 def test_overlaps_widen():
     counter = token_counts.TokenCounter(public_tokenizers.path("word_bpe_49k.json"), chunk=100, overlap=4)
     text = ("word " * 30 + "x" * 300 + " ") * 3

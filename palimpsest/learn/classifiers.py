@@ -148,10 +148,11 @@ def _fold_probabilities(df: DataFrame, bundle: Bundle, fold: int) -> DataFrame:
 
 def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", params: dict | None = None, folds: int = 5,
           key=CHANGE_KEY, label: str = "label", threshold: float = 0.5, seed: int = 42, parallelism: int = 4,
-          classes=None, partitions: int | None = None) -> tuple[Bundle, DataFrame]:
+          classes=None, partitions: int | None = None, predict: bool = True) -> tuple[Bundle, DataFrame | None]:
     """Fit one model per fold and class; returns the bundle and the held-out predictions.
 
-    The predictions hold key, fold, the label, the 0/1 truths and ``predicted_labels``. The
+    The predictions hold key, fold, the label, the 0/1 truths and ``predicted_labels``; without ``predict`` they are None, which
+    saves a neighbour search of all rows that nobody asked for. The
     scaler is fitted on all rows of all folds. Features and folds are computed once and stored in
     the shared folder, in ``partitions`` parts if that is given: each fit scans what it needs of them.
     """
@@ -189,6 +190,8 @@ def train(df: DataFrame, dt_class: str, columns, algo: str = "random_forest", pa
             bundle.models = dict(pool.map(fit, tasks))
 
     held, bundle.held = [], {fold: rows.where(F.col(FOLD) == fold) for fold in bundle.folds}
+    if not predict:
+        return bundle, None
     for fold in bundle.folds:
         scored = _fold_probabilities(bundle.held[fold], bundle, fold)
         picked = pick_labels([F.col(f"p_{fold}_{i}") for i in range(len(classes))], classes, threshold)
@@ -242,7 +245,7 @@ def grid_search(df: DataFrame, dt_class: str, columns, algo: str, grid: dict | N
 
 def _best_k(df: DataFrame, dt_class: str, columns, ks: list[int], folds: int, threshold: float = 0.5, **options) -> dict:
     """One search per fold for the largest k: the neighbours of a smaller one are a prefix, so all are scored together."""
-    bundle, _ = train(df, dt_class, columns, "kn", {"k": max(ks)}, folds, threshold=threshold, **options)
+    bundle, _ = train(df, dt_class, columns, "kn", {"k": max(ks)}, folds, threshold=threshold, predict=False, **options)
     truths, count = [truth_column(c) for c in bundle.classes], len(bundle.classes)
     total = None
     for fold, rows in bundle.held.items():

@@ -78,7 +78,10 @@ def _nearest(asked: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray |
     sorted_, counts = points[order], np.diff(starts)
     kind = np.float32 if dims >= MANY else np.float64  # of the products, where they are most of the work
     error = 4 * (dims + 4) * np.finfo(kind).eps
+    centre = np.nan_to_num(np.median(sorted_, axis=0)) if dims >= MANY else None
+    shared = _known(sorted_, centre, kind) if dims >= MANY else None
     groups, cuts, least, most = _leaves(asked, WIDE if dims >= MANY else GROUP)
+    room = np.empty(0, dtype=kind)  # of the products, used again
     none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
     out = [none]
     for g in range(len(cuts) - 1):
@@ -88,36 +91,44 @@ def _nearest(asked: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray |
         far = _to_boxes(least[g][None], most[g][None], low, high)[0]
         middle = np.nan_to_num(np.median(a, axis=0))
         left = np.argsort(_to_boxes(middle[None], middle[None], low, high)[0], kind="stable")
-        with np.errstate(over="ignore", invalid="ignore"):
-            moved = (a - middle).astype(kind)
-            size = (moved ** 2).sum(axis=1)
-        q, p, d, chunk = *none, max(4 * k, 2 * LEAF)
+        own, common = _moved(a, middle, kind), None
+        q, p, d, chunk = *none, max(4 * k, 2 * LEAF) if np.isinf(limit).any() else 4_096
         while True:
             left = left[far[left] <= limit.max()]
             if not len(left):
                 break
             now, left = np.split(left, [1 + np.searchsorted(np.cumsum(counts[left]), chunk)])
             chunk = min(2 * chunk, 4_096)
-            within = _to_boxes(a, a, low[now], high[now]) <= limit[:, None]
-            now, who = now[within.any(axis=0)], np.flatnonzero(within.any(axis=1))
-            if not len(now):
-                continue
+            who = np.arange(len(rows))
+            if dims < MANY or far.max() > limit.max():  # boxes of many numbers cost more than they save where none is ruled out
+                within = _to_boxes(a, a, low[now], high[now]) <= limit[:, None]
+                now, who = now[within.any(axis=0)], np.flatnonzero(within.any(axis=1))
+                if not len(now):
+                    continue
             at = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in now])
+            moved, size = own
+            known = None
+            if shared is not None and np.isfinite(limit).all():  # one centre for all groups, if what is rounded is small beside the distances
+                common = _moved(a, centre, kind) if common is None else common
+                if error * (float(common[1].max()) + float(shared[1].max())) <= 0.02 * float(limit.min()):
+                    (moved, size), known, length = common, shared[0][at], shared[1][at]
+            if known is None:
+                known, length = _known(sorted_[at], middle, kind)
+            if len(who) < len(rows):
+                moved, size = moved[who], size[who]
+            if room.size < len(who) * len(at):
+                room = np.empty(2 * len(who) * len(at), dtype=kind)
             with np.errstate(over="ignore", invalid="ignore"):
-                known = (sorted_[at] - middle).astype(kind)
-                length = (known ** 2).sum(axis=1)
-                about = moved[who] @ (-2 * known.T)
-                about += size[who, None]
-                about += length
-                slack = np.nan_to_num(error * (size[who] + length[np.isfinite(length)].max(initial=0)), nan=0, posinf=0)
+                about = np.matmul(moved, known.T, out=room[:len(who) * len(at)].reshape(len(who), len(at)))
+                slack = np.nan_to_num(error * (size + length[np.isfinite(length)].max(initial=0)), nan=0, posinf=0)
             odd = None
-            if not float(size[who].max()) + float(length.max()) < np.finfo(kind).max / 8:  # looked at one by one
+            if not float(size.max()) + float(length.max()) < np.finfo(kind).max / 8:  # looked at one by one
                 odd = ~np.isfinite(about)
                 about[odd] = np.inf
             if len(at) >= k and np.isinf(limit[who]).any():
                 limit[who] = np.minimum(limit[who], np.partition(about, k - 1, axis=1)[:, k - 1] + slack)
-            near = about <= (limit[who] + slack)[:, None]
-            found, c = np.nonzero(near if odd is None else near | odd)
+            near = about <= _above(limit[who] + slack, kind)[:, None]
+            found, c = np.divmod(np.flatnonzero(near if odd is None else near | odd), len(at))
             if not len(found):
                 continue
             nq, np_ = who[found], order[at[c]]
@@ -135,6 +146,28 @@ def _nearest(asked: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray |
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _moved(a: np.ndarray, centre: np.ndarray, kind):
+    """(rows, sizes): queries from a centre on, so that their product with :func:`_known` rows is the squared distance, but for rounding."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        moved = (a - centre).astype(kind)
+        size = (moved ** 2).sum(axis=1)
+    return np.column_stack([moved, size, np.ones_like(size)]), size
+
+
+def _known(points: np.ndarray, centre: np.ndarray, kind):
+    """(rows, lengths): the points of such products."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        known = (points - centre).astype(kind)
+        length = (known ** 2).sum(axis=1)
+        return np.column_stack([-2 * known, np.ones_like(length), length]), length
+
+
+def _above(limit: np.ndarray, kind) -> np.ndarray:
+    """Limits as numbers of this kind, none less than before."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(limit.astype(kind), np.array(np.inf, dtype=kind))
+
+
 def _squared(d: np.ndarray) -> np.ndarray:
     """No less than the square, whatever was rounded."""
     return d ** 2 * (1 + 1e-12) + np.finfo(float).tiny
@@ -213,6 +246,7 @@ def _searched(visits: DataFrame, points: DataFrame, cells: DataFrame, k: int) ->
     """
     spread = cells.join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")), "cell").select(
         "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("q"))
+    spread = F.broadcast(spread)  # a row a cell
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = visits.join(spread, "cell").select("cell", span("p").alias("pb"), F.pmod(F.xxhash64("qid"), F.col("q")).cast("int").alias("qb"), "qid", F.col("features").alias("asked"), "bound")
     right = points.join(spread, "cell").select("cell", F.pmod(F.xxhash64("h"), F.col("p")).cast("int").alias("pb"), span("q").alias("qb"), F.col("features").alias("known"), "ys", "w", "h")
@@ -283,11 +317,12 @@ def neighbour_shares(queries: DataFrame, points: DataFrame, k, out: str = "share
         return pd.Series(result)
 
     more = asked.join(reached, "qid", "left").select(
-        "qid", "features", F.coalesce("bound", F.lit(float("nan"))).alias("bound"), F.explode(visits("features", "cell", "bound")).alias("cell")).checkpoint()
+        "qid", "features", F.coalesce("bound", F.lit(float("nan"))).alias("bound"), visits("features", "cell", "bound").alias("cells")).checkpoint()
+    more = more.select("qid", "features", "bound", F.explode("cells").alias("cell"))  # not stored: as many rows as visits
     near = _first(own.drop("before").unionByName(_searched(more, points, cells, k)), k)
     taken = {j: F.greatest(F.lit(0), F.least(F.col("w"), j - F.col("before"))) for j in ks}
     voted = near.groupBy("qid").agg(*[F.sum(taken[j]).alias(f"_t{j}") for j in ks], *[
         F.sum(taken[j] * F.col("ys")[i]).alias(f"_y{j}_{i}") for j in ks for i in range(classes)])
     shares = asked.join(voted, "qid").select(F.col("features").alias("_features"), F.array(*[
-        F.col(f"_y{j}_{i}") / F.col(f"_t{j}") for j in ks for i in range(classes)]).alias(out))
+        F.col(f"_y{j}_{i}") / F.col(f"_t{j}") for j in ks for i in range(classes)]).alias(out)).checkpoint()
     return queries.join(shares, F.col("features") == F.col("_features"), "left").drop("_features")

@@ -436,3 +436,29 @@ def test_trained_models_share_one_table_of_features(log, monkeypatch):
     monkeypatch.setattr(q.classifiers, "train", lambda df, *args, **options: (seen.append(df), df.withColumn("predicted_labels", F.col("label"))))
     assert q.trained_predictions(log).count() == 3 * q.labelled_documents(log).count()
     assert len(seen) == 3 and not any("documents.parquet" in f for df in seen for f in df.inputFiles())
+
+
+def test_held_out_rows_are_only_searched_when_asked_for(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(classifiers, "shares_by", lambda points, k: searched.append(k) or shares_by(points, k))
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), "a" if i % 3 else "b") for i in range(60)], "id long, x double, y double, label string")
+    bundle, predictions = classifiers.train(df, "d", ["x", "y"], "kn", {"k": 3}, 2, key=["id"], predict=False)
+    assert predictions is None and not searched
+    asked = df.withColumn("label", F.lit(""))
+    alone = {r["id"]: r["predicted_labels"] for r in classifiers.score(asked, bundle).collect()}
+    assert alone == {r["id"]: r["predicted_labels"] for r in classifiers.score(asked, classifiers.train(df, "d", ["x", "y"], "kn", {"k": 3}, 2, key=["id"])[0]).collect()}
+
+
+def test_boxes_of_wide_vectors_are_not_compared_one_by_one(monkeypatch):
+    """Where no leaf is ruled out for a group, its queries are not compared with the boxes; the result is that of brute force."""
+    rng = np.random.default_rng(3)
+    known, asked = rng.normal(size=(3_000, 32)), rng.normal(size=(700, 32))
+    distance = np.sqrt(((asked[:, None] - known[None]) ** 2).sum(axis=2))
+    bounds = np.sort(distance, axis=1)[:, 4]
+    boxes, to_boxes = [], neighbours._to_boxes
+    monkeypatch.setattr(neighbours, "_to_boxes", lambda least, *rest: boxes.append(len(least)) or to_boxes(least, *rest))
+    for limits in (None, bounds):
+        q, p, d = neighbours._nearest(asked, known, 5, limits)
+        order = np.lexsort((p, d, q))
+        assert (p[order].reshape(700, 5) == np.argsort(distance, axis=1, kind="stable")[:, :5]).all()
+    assert max(boxes) == 1
